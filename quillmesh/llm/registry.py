@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import mixing, neardup, packing, quality, secrets
+from quillmesh.llm import mixing, neardup, packing, quality, rules, secrets, urls
 from quillmesh.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op2_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -34,6 +38,11 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rules.judge(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -43,11 +52,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
         "op2_minhash_neardup": op2_minhash_neardup,
+        "op3_url_filter": op3_url_filter,
         "op4_quality": op4_quality,
         "op6_secret_scan": op6_secret_scan,
+        "op7_quality_rules": op7_quality_rules,
         "op9_source_mixing": op9_source_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_source_mixing": mixing.MIX_SQL}
+    return {"op3_url_filter": urls.oracle(), "op9_source_mixing": mixing.MIX_SQL}
