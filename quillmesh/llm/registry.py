@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import mixing, neardup, packing, quality, rules, secrets, urls
+from quillmesh.llm import langid, licenses, mixing, neardup, packing, quality, rules, secrets, transport, urls
 from quillmesh.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -43,22 +47,33 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op10_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transport.features(transport.store(table(spark, sf_dir, "documents"))).drop("times", "random_access")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
         "op2_minhash_neardup": op2_minhash_neardup,
         "op3_url_filter": op3_url_filter,
         "op4_quality": op4_quality,
+        "op5_language": op5_language,
         "op6_secret_scan": op6_secret_scan,
         "op7_quality_rules": op7_quality_rules,
+        "op8_license_scan": op8_license_scan,
         "op9_source_mixing": op9_source_mixing,
+        "op10_transport_stream": op10_transport_stream,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": urls.oracle(), "op9_source_mixing": mixing.MIX_SQL}
+    return {"op3_url_filter": urls.oracle(), "op8_license_scan": licenses.oracle(), "op9_source_mixing": mixing.MIX_SQL}
