@@ -1,4 +1,4 @@
-"""Registered queries of the reference's operators, and their SQL."""
+"""All registered queries of the document-graph operators, and their SQL."""
 
 from __future__ import annotations
 
@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillmesh.plans import aggregates, base, classification, extraction, filters, graphs, memory, parsing, retrieval, scalars, windows  # noqa: F401  each registers its queries
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    return base.registered()["fn_chunk_kind"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return base.registered()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return base.oracles()
