@@ -49,12 +49,17 @@ def _term(rule: Rule) -> Column:
     if kind == "words":
         return F.lit(w) * hits(text, what)
     test = {
-        "negation": lambda: F.substring(text, 1, 300).rlike(what), "pattern": lambda: text.rlike(what), "title": lambda: any_of(F.lower(F.coalesce("title", F.lit(""))), what),
+        "negation": lambda: F.substring(text, 1, 300).rlike("(?U)" + what), "pattern": lambda: text.rlike("(?U)" + what), "title": lambda: any_of(F.lower(F.coalesce("title", F.lit(""))), what),
         "near": lambda: F.greatest(*[F.coalesce(f"near_{a}", F.lit(False)) for a in what], F.lit(False)),
     }[kind]()
     return F.when(test, w).otherwise(0.0)
 
 
+def _edged(pattern: str) -> str:
+    """RE2 knows ASCII word boundaries only; a test needs no lookaround."""
+    return pattern.replace(r"\b", r"(?:^|[^\p{L}\p{N}_])", 1)[::-1].replace(r"\b"[::-1], r"(?:$|[^\p{L}\p{N}_])"[::-1], 1)[::-1]
+
+
 def _term_sql(rule: Rule) -> str:
     kind, what, w = rule
     text = "lower(coalesce(context, ''))"
@@ -64,7 +69,7 @@ def _term_sql(rule: Rule) -> str:
         return f"{w}::DOUBLE * {hits_sql(text, what)}"
     else:
         test = {
-            "negation": lambda: f"regexp_matches(substr({text}, 1, 300), {quote(what)})", "pattern": lambda: f"regexp_matches({text}, {quote(what)})", "title": lambda: hits_sql("lower(coalesce(title, ''))", what) + " > 0",
+            "negation": lambda: f"regexp_matches(substr({text}, 1, 300), {quote(_edged(what))})", "pattern": lambda: f"regexp_matches({text}, {quote(what)})", "title": lambda: hits_sql("lower(coalesce(title, ''))", what) + " > 0",
             "near": lambda: "(" + " OR ".join(f"coalesce(near_{a}, false)" for a in what) + ")",
         }[kind]()
     return f"CASE WHEN {test} THEN {w}::DOUBLE ELSE 0.0::DOUBLE END"

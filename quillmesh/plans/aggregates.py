@@ -1 +1,243 @@
+"""Aggregations over papers, atoms, edges and grades."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quillmesh.operators import evaluate
+from quillmesh.operators import scoring as S
+from quillmesh.plans.base import query
+from quillmesh.sources import enums as E
+
+_PRIORITY = S.lookup_sql(E.SECTION_PRIORITY, "section_type", 0.3)
+
+
+@query("agg_graph_stats", "SELECT (SELECT count(*) FROM papers) AS papers, (SELECT count(*) FROM atoms) AS atoms, (SELECT count(*) FROM evidence) AS evidence, (SELECT count(*) FROM edges) AS edges, (SELECT count(*) FROM equations) AS equations")
+def _(c):
+    tables = {"papers": c.papers, "atoms": c.atoms, "evidence": c.evidence, "edges": c.edges, "equations": c.equations}
+    counts = None
+    for name, df in tables.items():
+        one = df.agg(F.count("*").alias("n")).withColumn("of", F.lit(name))
+        counts = one if counts is None else counts.unionByName(one)
+    return counts.groupBy().pivot("of", list(tables)).agg(F.first("n"))
+
+
+@query("agg_atoms_by_category", "SELECT coalesce(CASE WHEN seq % 13 <> 0 THEN category END, 'uncategorized') AS category, count(*) AS n FROM atoms GROUP BY 1")
+def _(c):
+    category = F.coalesce(F.when(F.col("seq") % 13 != 0, F.col("category")), F.lit("uncategorized")).alias("category")
+    return c.atoms.groupBy(category).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "category")
+
+
+@query("agg_top_atoms", "SELECT atom_id, name, coalesce(priority, 0) AS priority FROM atoms ORDER BY coalesce(priority, 0) DESC, atom_id LIMIT 10")
+def _(c):
+    p = F.coalesce("priority", F.lit(0.0))
+    return c.atoms.orderBy(p.desc(), "atom_id").limit(10).select("atom_id", "name", p.alias("priority"))
+
+
+@query("agg_paper_summary", "SELECT paper_id, coalesce(d, 0) AS defined, coalesce(u, 0) AS used FROM papers LEFT JOIN (SELECT defined_by AS paper_id, count(*) AS d FROM atoms GROUP BY 1) USING (paper_id) LEFT JOIN (SELECT paper_id, count(*) AS u FROM usage GROUP BY 1) USING (paper_id)")
+def _(c):
+    defined = c.atoms.groupBy(F.col("defined_by").alias("paper_id")).agg(F.count("*").alias("d"))
+    used = c.usage.groupBy("paper_id").agg(F.count("*").alias("u"))
+    return c.papers.select("paper_id").join(defined, "paper_id", "left").join(used, "paper_id", "left").select("paper_id", F.coalesce("d", F.lit(0)).alias("defined"), F.coalesce("u", F.lit(0)).alias("used"))
+
+
+@query("agg_via_atoms", "SELECT atom_id, string_agg(paper_id, ',' ORDER BY paper_id) AS papers FROM usage GROUP BY atom_id HAVING count(*) >= 2 ORDER BY atom_id LIMIT 30")
+def _(c):
+    users = c.usage.groupBy("atom_id").agg(F.array_sort(F.collect_set("paper_id")).alias("p")).filter(F.size("p") >= 2)
+    return users.orderBy("atom_id").limit(30).select("atom_id", F.array_join("p", ",").alias("papers"))
+
+
+@query("agg_edge_priority", f"""SELECT to_paper, round(sum({_PRIORITY} + CASE WHEN near_equations THEN 0.4 ELSE 0 END + CASE WHEN near_algorithms THEN 0.3 ELSE 0 END + CASE WHEN near_tables THEN 0.2 ELSE 0 END)
+    + 0.1 * (count(*) - 1) + CASE WHEN any_value(influential) > 5 THEN 0.2 ELSE 0 END, 6) AS priority FROM edges JOIN papers ON paper_id = to_paper GROUP BY to_paper""")
+def _(c):
+    near = sum((F.when(F.col(f"near_{k}"), w).otherwise(0.0) for k, w in (("equations", 0.4), ("algorithms", 0.3), ("tables", 0.2))), S.lookup(E.SECTION_PRIORITY, F.col("section_type"), 0.3))
+    sums = c.edges.groupBy("to_paper").agg(F.sum(near).alias("s"), F.count("*").alias("n"))
+    joined = sums.join(c.papers.select(F.col("paper_id").alias("to_paper"), "influential"), "to_paper")
+    return joined.select("to_paper", F.round(F.col("s") + 0.1 * (F.col("n") - 1) + F.when(F.col("influential") > 5, 0.2).otherwise(0.0), 6).alias("priority"))
+
+
+@query("agg_influential", "SELECT paper_id, influential > 5 AS influential FROM papers")
+def _(c):
+    return c.papers.select("paper_id", (F.col("influential") > 5).alias("influential"))
+
+
+_IMPL_SQL = """(SELECT paper_id, coalesce(s, 0) + 0.5 * coalesce(n, 0) AS impl FROM papers
+    LEFT JOIN (SELECT to_paper AS paper_id, sum(confidence + CASE WHEN near_equations THEN 0.3 ELSE 0 END + CASE WHEN near_algorithms THEN 0.2 ELSE 0 END + CASE WHEN section_type = 'method' THEN 0.3 ELSE 0 END) AS s FROM edges GROUP BY 1) USING (paper_id)
+    LEFT JOIN (SELECT defined_by AS paper_id, count(*) AS n FROM atoms GROUP BY 1) USING (paper_id))"""
+
+
+def implementation(c):
+    gain = F.col("confidence") + F.when(F.col("near_equations"), 0.3).otherwise(0.0) + F.when(F.col("near_algorithms"), 0.2).otherwise(0.0) + F.when(F.col("section_type") == "method", 0.3).otherwise(0.0)
+    incoming = c.edges.groupBy(F.col("to_paper").alias("paper_id")).agg(F.sum(gain).alias("s"))
+    defined = c.atoms.groupBy(F.col("defined_by").alias("paper_id")).agg(F.count("*").alias("n"))
+    return c.papers.join(incoming, "paper_id", "left").join(defined, "paper_id", "left").withColumn("impl", F.coalesce("s", F.lit(0.0)) + 0.5 * F.coalesce("n", F.lit(0)))
+
+
+@query("agg_impl_influence", f"SELECT paper_id, round(impl, 6) AS impl FROM {_IMPL_SQL}")
+def _(c):
+    return implementation(c).select("paper_id", F.round("impl", 6).alias("impl"))
+
+
+@query("agg_scholarly", f"SELECT paper_id, round({S.scholarly_sql('citations', 'influential', 'year')}, 6) AS scholarly FROM papers")
+def _(c):
+    return c.papers.select("paper_id", F.round(S.scholarly(F.col("citations"), F.col("influential"), F.col("year")), 6).alias("scholarly"))
+
+
+@query("agg_rank", f"SELECT paper_id, CASE WHEN is_target THEN 1.0::DOUBLE ELSE round(0.7::DOUBLE * impl + 0.3::DOUBLE * {S.scholarly_sql('citations', 'influential', 'year')}, 4) END AS score FROM papers JOIN {_IMPL_SQL} USING (paper_id)")
+def _(c):
+    score = F.round(0.7 * F.col("impl") + 0.3 * S.scholarly(F.col("citations"), F.col("influential"), F.col("year")), 4)
+    return implementation(c).select("paper_id", F.when(F.col("is_target"), 1.0).otherwise(score).alias("score"))
+
+
+@query("agg_weights_by_paper", f"SELECT to_paper, round(sum(w), 6) AS weight FROM (SELECT to_paper, {S.edge_weight_sql('confidence', 'best_role', 'intent')} AS w FROM edges) JOIN papers ON paper_id = to_paper WHERE w > 0 AND acquired GROUP BY to_paper")
+def _(c):
+    w = c.edges.select("to_paper", S.edge_weight(F.col("confidence"), F.col("best_role"), F.col("intent")).alias("w")).filter("w > 0")
+    return w.join(c.papers.filter("acquired").select(F.col("paper_id").alias("to_paper")), "to_paper", "left_semi").groupBy("to_paper").agg(F.round(F.sum("w"), 6).alias("weight"))
+
+
+@query("agg_papers_by_source", "SELECT coalesce(acquired_via, 'unavailable') AS source, count(*) AS n FROM papers GROUP BY 1")
+def _(c):
+    return c.papers.groupBy(F.coalesce("acquired_via", F.lit("unavailable")).alias("source")).agg(F.count("*").alias("n"))
+
+
+@query("agg_coverage", "SELECT count(*) AS attempted, count(*) FILTER (acquired) AS resolved, round(100.0::DOUBLE * count(*) FILTER (acquired) / greatest(1, count(*)), 1) AS coverage FROM edges JOIN papers ON paper_id = to_paper")
+def _(c):
+    got = c.edges.join(c.papers.select(F.col("paper_id").alias("to_paper"), "acquired"), "to_paper").agg(F.count("*").alias("attempted"), F.count(F.when(F.col("acquired"), 1)).alias("resolved"))
+    return got.withColumn("coverage", F.round(100.0 * F.col("resolved") / F.greatest(F.lit(1), F.col("attempted")), 1))
+
+
+@query("agg_evidence_resolution", "SELECT count(*) AS links, count(chunk_id) AS resolved, round(count(chunk_id)::DOUBLE / greatest(1, count(*)), 6) AS share FROM evidence LEFT JOIN (SELECT paper_id, paragraph_id, min(chunk_id) AS chunk_id FROM chunks WHERE quality >= 0.5 GROUP BY ALL) USING (paper_id, paragraph_id)")
+def _(c):
+    first = c.chunks.filter("quality >= 0.5").groupBy("paper_id", "paragraph_id").agg(F.min("chunk_id").alias("chunk_id"))
+    got = c.evidence.join(first, ["paper_id", "paragraph_id"], "left").agg(F.count("*").alias("links"), F.count("chunk_id").alias("resolved"))
+    return got.withColumn("share", F.round(F.col("resolved") / F.greatest(F.lit(1), F.col("links")), 6))
+
+
+@query("agg_papers_with_atoms_ratio", "SELECT (SELECT count(DISTINCT defined_by) FROM atoms) AS definers, (SELECT count(*) FROM papers WHERE acquired) AS acquired, round((SELECT count(DISTINCT defined_by) FROM atoms)::DOUBLE / greatest(1, (SELECT count(*) FROM papers WHERE acquired)), 6) AS ratio")
+def _(c):
+    one = c.atoms.agg(F.countDistinct("defined_by").alias("definers"))
+    two = c.papers.agg(F.count(F.when(F.col("acquired"), 1)).alias("acquired"))
+    return one.crossJoin(two).withColumn("ratio", F.round(F.col("definers") / F.greatest(F.lit(1), F.col("acquired")), 6))
+
+
+_COUNTS_SQL = "(SELECT defined_by AS paper_id, " + ", ".join(f"count(*) FILTER (category = '{k}') AS {k}" for k in E.CATEGORIES) + " FROM atoms GROUP BY 1)"
+
+
+def category_counts(c):
+    return c.atoms.groupBy(F.col("defined_by").alias("paper_id")).pivot("category", list(E.CATEGORIES)).count().na.fill(0)
+
+
+@query("agg_field_hint", f"SELECT paper_id, CASE WHEN theory >= greatest(method, objective, data) THEN 'theory' WHEN method > 0 AND procedure > 0 AND data > 0 THEN 'implementation' WHEN data >= 2 * (method + procedure) THEN 'data' WHEN method >= 5 AND procedure = 0 THEN 'method' ELSE 'mixed' END AS field FROM {_COUNTS_SQL}")
+def _(c):
+    n = F.col
+    field = F.when(n("theory") >= F.greatest("method", "objective", "data"), "theory").when((n("method") > 0) & (n("procedure") > 0) & (n("data") > 0), "implementation")
+    field = field.when(n("data") >= 2 * (n("method") + n("procedure")), "data").when((n("method") >= 5) & (n("procedure") == 0), "method").otherwise("mixed")
+    return category_counts(c).select("paper_id", field.alias("field"))
+
+
+_HINTS = (("method", 5), ("objective", 1), ("procedure", 3), ("theory", 1))
+
+
+@query("agg_routing_hints", "SELECT paper_id, CASE WHEN hints = '' THEN 'mixed' ELSE hints END AS hints FROM (SELECT paper_id, concat_ws(',', " + ", ".join(f"CASE WHEN {k} >= {n} THEN '{k}' END" for k, n in _HINTS) + f") AS hints FROM {_COUNTS_SQL})")
+def _(c):
+    hints = F.concat_ws(",", *[F.when(F.col(k) >= n, k) for k, n in _HINTS])
+    return category_counts(c).select("paper_id", F.when(hints == "", "mixed").otherwise(hints).alias("hints"))
+
+
+_WEIGHT = S.lookup_sql(E.GRADE_WEIGHT, "status", 0.0)
+
+
+@query("agg_replication_score", f"SELECT slug, condition, round(avg({_WEIGHT}), 6) AS score FROM grades WHERE status <> 'skipped' GROUP BY slug, condition")
+def _(c):
+    return evaluate.replication(c.grades).select("slug", "condition", F.round("score", 6).alias("score"))
+
+
+@query("agg_condition_summary", f"""WITH s AS (SELECT slug, condition, avg({_WEIGHT}) AS score FROM grades GROUP BY slug, condition), m AS (SELECT condition, count(*) AS n, avg(score) AS mean, median(score) AS median FROM s GROUP BY condition)
+    SELECT condition, n, round(mean, 6) AS mean, round(median, 6) AS median, round((SELECT mean FROM m WHERE condition = 'C') - mean, 6) AS below_c FROM m""")
+def _(c):
+    return evaluate.summary(evaluate.replication(c.grades)).select("condition", "n", F.round("mean", 6).alias("mean"), F.round("median", 6).alias("median"), F.round("below_c", 6).alias("below_c"))
+
+
+@query("agg_bootstrap_ci")
+def _(c):
+    return evaluate.bootstrap(evaluate.replication(c.grades), 2000)
+
+
+@query("agg_cohen_kappa", """WITH g AS (SELECT status AS a, human_status AS b FROM grades), n AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (a = b) AS agree FROM g),
+    p AS (SELECT sum(x.k * y.k) AS met FROM (SELECT a, count(*)::DOUBLE AS k FROM g GROUP BY a) x JOIN (SELECT b, count(*)::DOUBLE AS k FROM g GROUP BY b) y ON x.a = y.b)
+    SELECT round(CASE WHEN n = 0 THEN 0 WHEN met / (n * n) >= 1 THEN 1 ELSE (agree / n - met / (n * n)) / (1 - met / (n * n)) END, 6) AS kappa FROM n, p""")
+def _(c):
+    return evaluate.kappa(c.grades, "status", "human_status").select(F.round("kappa", 6).alias("kappa"))
+
+
+@query("agg_stratified_sample", "SELECT slug, condition, category, leaf_id FROM (SELECT *, row_number() OVER (PARTITION BY slug, condition, category ORDER BY md5(CAST(leaf_id AS VARCHAR)), leaf_id) AS place, greatest(1, round_even(count(*) OVER (PARTITION BY slug, condition, category) * 0.1::DOUBLE, 0)) AS wanted FROM grades) WHERE place <= wanted")
+def _(c):
+    from quillmesh.operators.ranking import sampled_per_stratum
+
+    return sampled_per_stratum(c.grades, ["slug", "condition", "category"], F.col("leaf_id"), 0.1).select("slug", "condition", "category", "leaf_id")
+
+
+# Quality gates and lint
+
+
+@query("qa_manifest_gates", """SELECT gate, passed, hard FROM (SELECT 100.0 * count(*) FILTER (acquired) / greatest(1, count(*)) AS coverage, count(DISTINCT acquired_via) AS sources, count(*) AS papers, count(*) FILTER (acquired) AS got FROM papers) p,
+    (SELECT count(*) AS atoms, count(DISTINCT defined_by) AS definers FROM atoms) a, (SELECT count(*) AS links FROM evidence) e,
+    LATERAL (VALUES ('coverage', coverage >= 70, false), ('atoms', atoms >= 30, false), ('evidence', links > 0, links > 0), ('sources', sources >= 2, false), ('papers', papers >= 5, true), ('definers', definers::DOUBLE / greatest(1, got) >= 0.6, false)) g(gate, passed, hard)""")
+def _(c):
+    return evaluate.gates(c.papers, c.atoms, c.evidence)
+
+
+@query("qa_wikilink_lint", """SELECT 'broken' AS problem, edge_id AS item FROM edges WHERE to_paper NOT IN (SELECT paper_id FROM papers WHERE depth < 2)
+    UNION ALL SELECT 'orphan', atom_id FROM atoms WHERE atom_id NOT IN (SELECT atom_id FROM usage) UNION ALL SELECT 'stale', atom_id FROM atoms WHERE defined_by NOT IN (SELECT paper_id FROM papers WHERE acquired)""")
+def _(c):
+    return evaluate.lint(c.edges, c.papers, c.atoms, c.usage)
+
+
+@query("qa_assumption_check", """WITH g AS (SELECT DISTINCT unnest(list_filter(regexp_extract_all(lower(text), '[a-z]{5,}'), lambda w: w NOT IN ('about', 'value', 'which', 'there', 'these', 'those', 'their', 'other', 'where'))) AS word FROM paragraphs WHERE pos = 0)
+    SELECT doc_id, count(DISTINCT word) AS assumed FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS word FROM documents WHERE NOT contains(text, 'token')) JOIN g USING (word) GROUP BY doc_id""")
+def _(c):
+    return evaluate.assumptions(c.paragraphs.filter("pos = 0"), c.table("documents").filter(~F.col("text").contains("token")))
+
+
+@query("qa_path_policy", "SELECT page_id, CASE WHEN regexp_matches(url, '^https?://[^/]*(spam|casino|adult)') THEN 'blocked' ELSE 'open' END AS policy FROM pages")
+def _(c):
+    return c.table("pages").select("page_id", F.when(F.col("url").rlike("^https?://[^/]*(spam|casino|adult)"), "blocked").otherwise("open").alias("policy"))
+
+
+@query("qa_session_progress", """SELECT conv_id, last_turn, decisions FROM (SELECT conv_id, max(turn) AS last_turn FROM conversations GROUP BY conv_id) LEFT JOIN (SELECT event_id % 100 AS conv_id, count(*) AS decisions FROM decisions GROUP BY 1) USING (conv_id)""")
+def _(c):
+    made = c.decisions.groupBy((F.col("event_id") % 100).alias("conv_id")).agg(F.count("*").alias("decisions"))
+    return c.table("conversations").groupBy("conv_id").agg(F.max("turn").alias("last_turn")).join(made, "conv_id", "left")
+
+
+@query("qa_promotion_rule", "SELECT paper_id, count(DISTINCT atom_id) AS atoms, count(DISTINCT community_id) AS communities FROM usage JOIN community_atoms USING (atom_id) GROUP BY paper_id HAVING count(DISTINCT community_id) >= 2 AND count(DISTINCT atom_id) >= 2 OR count(DISTINCT atom_id) >= 3")
+def _(c):
+    got = c.usage.join(c.community_atoms, "atom_id").groupBy("paper_id").agg(F.countDistinct("atom_id").alias("atoms"), F.countDistinct("community_id").alias("communities"))
+    return got.filter("communities >= 2 and atoms >= 2 or atoms >= 3")
+
+
+@query("qa_audit_verdict", "SELECT category, atom_id, place FROM (SELECT category, atom_id, row_number() OVER (PARTITION BY category ORDER BY priority DESC, atom_id) AS place FROM atoms) WHERE place <= 25")
+def _(c):
+    from quillmesh.operators.ranking import top_per_group
+
+    return top_per_group(c.atoms, ["category"], [F.col("priority").desc(), F.col("atom_id")], 25).select("category", "atom_id", "place")
+
+
+@query("eval_auto_checks", r"""SELECT doc_id, CASE WHEN regexp_matches(text, '\bthe\b') THEN 'pass' ELSE 'fail' END AS pattern_check, CASE WHEN contains(text, 'token = ') THEN CASE WHEN regexp_extract(text, 'token = "([^"]*)"', 1) = '' THEN 'partial' ELSE 'pass' END ELSE 'fail' END AS value_check,
+    CASE WHEN len(list_filter(['de', 'que'], lambda a: NOT list_contains(string_split(text, ' '), a))) = 0 THEN 'pass' WHEN len(list_filter(['de', 'que'], lambda a: NOT list_contains(string_split(text, ' '), a))) = 1 THEN 'partial' ELSE 'fail' END AS argument_check FROM documents""")
+def _(c):
+    return evaluate.auto_checks(c.table("documents"), r"\bthe\b", "token", ("de", "que"))
+
+
+_LEAVES = "(VALUES ('x', 'pattern', 'auto'), ('y', 'human', 'manual'), ('z', 'odd', 'auto'))"
+
+
+@query("eval_grade_paper", f"SELECT doc_id, leaf, CASE WHEN kind <> 'auto' THEN 'skipped' WHEN test <> 'pattern' THEN 'fail' WHEN contains(text, 'the') THEN 'pass' ELSE 'fail' END AS status FROM documents, {_LEAVES} r(leaf, test, kind)")
+def _(c):
+    rubric = {"x": ("pattern", "auto"), "y": ("human", "manual"), "z": ("odd", "auto")}
+    return evaluate.grade(c.table("documents").select("doc_id", F.col("text").contains("the").alias("found")), rubric)
+
+
+@query("eval_protocol", "SELECT doc_id, condition FROM documents, (VALUES ('A'), ('B'), ('C')) v(condition)")
+def _(c):
+    return c.table("documents").select("doc_id", F.explode(F.array(F.lit("A"), F.lit("B"), F.lit("C"))).alias("condition"))

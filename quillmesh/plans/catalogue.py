@@ -10,7 +10,7 @@ from quillmesh.plans import aggregates, base, classification, extraction, filter
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return base.registered()["fn_chunk_kind"](spark, sf_dir)
+    return base.registered()["ret_query_hybrid"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1 +1,159 @@
+"""Retrieval: keywords, vectors, hybrid, local and global questions."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quillmesh.functions import text as T
+from quillmesh.operators import retrieval as R
+from quillmesh.plans.base import QUERIES, query
+
+QUESTION = "What stsh is the queoi near nicht?"
+TERMS = R.question_tokens(QUESTION)
+LIMIT = 8
+_TERMS_SQL = "[" + ", ".join(f"'{t}'" for t in TERMS) + "]"
+_TOKENS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
+
+_FTS = f"""fts_tokens AS MATERIALIZED (SELECT chunk_id, {_TOKENS} AS tokens FROM chunks), fts_rows AS MATERIALIZED (SELECT chunk_id, len(tokens) AS length, list_filter(tokens, lambda t: list_contains({_TERMS_SQL}, t)) AS hits FROM fts_tokens),
+    fts_n AS (SELECT count(*)::DOUBLE AS n, avg(length) AS mean, {', '.join(f"count(*) FILTER (list_contains(hits, '{t}'))::DOUBLE AS df{i}" for i, t in enumerate(TERMS))} FROM fts_rows),
+    fts AS (SELECT chunk_id, round({' + '.join(f"CASE WHEN ln((n - df{i} + 0.5) / (df{i} + 0.5)) > 0 THEN ln((n - df{i} + 0.5) / (df{i} + 0.5)) ELSE 1e-6 END * len(list_filter(hits, lambda t: t = '{t}')) * 2.2::DOUBLE / (len(list_filter(hits, lambda t: t = '{t}')) + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean))" for i, t in enumerate(TERMS))}, 6) AS score FROM fts_rows, fts_n WHERE len(hits) > 0)"""
+_KNN = "knn AS (SELECT chunk_id, round(list_distance(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM vectors WHERE vec_id = 0)), 6) AS distance FROM vectors)"
+
+
+def _candidates(limit: int, prefer: str | None = None, where: str = "true") -> str:
+    boost = f"CASE WHEN chunk_kind = '{prefer}' THEN 0.3 ELSE 0 END" if prefer else "0"
+    return f"""{_FTS}, {_KNN}, w AS (SELECT chunk_id, score AS base FROM fts ORDER BY score DESC, chunk_id LIMIT {3 * limit}), v AS (SELECT chunk_id, -distance AS base FROM knn ORDER BY distance, chunk_id LIMIT {3 * limit}),
+    found AS (SELECT chunk_id, paper_id, round(base + 0.2::DOUBLE * quality + {boost}, 6) AS score FROM (SELECT * FROM w UNION ALL SELECT * FROM v WHERE chunk_id NOT IN (SELECT chunk_id FROM w)) JOIN chunks USING (chunk_id) WHERE {where})"""
+
+
+def _diverse(rows: str, columns: str, cap: int, limit: int) -> str:
+    return f"SELECT {columns} FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(paper_id, '') ORDER BY score DESC, chunk_id) > {cap} AS over_cap FROM {rows}) ORDER BY over_cap, score DESC, chunk_id LIMIT {limit}"
+
+
+_TOP = f"""titled AS (SELECT community_id, title FROM (SELECT community_id, title, row_number() OVER (PARTITION BY community_id ORDER BY rank DESC, paper_id) AS place FROM community_papers JOIN papers USING (paper_id)) WHERE place <= 5),
+    top AS (SELECT community_id, round(1.0::DOUBLE / hits, 6) AS distance FROM (SELECT community_id, {' + '.join(f"CAST(contains(t, '{x}') AS INT)" for x in TERMS)} AS hits FROM (SELECT community_id, lower(string_agg(title, ' ')) AS t FROM titled GROUP BY community_id)) WHERE hits > 0 ORDER BY 2, 1 LIMIT 3)"""
+_LOCAL = f"""local AS ({_diverse("(SELECT chunk_id, paper_id, paper_id IN (SELECT paper_id FROM community_papers WHERE community_id = (SELECT community_id FROM top ORDER BY distance, community_id LIMIT 1)) AS in_community, CAST(-place AS DOUBLE) + CASE WHEN paper_id IN (SELECT paper_id FROM community_papers WHERE community_id = (SELECT community_id FROM top ORDER BY distance, community_id LIMIT 1)) THEN 0.15 ELSE 0 END AS score FROM placed)", "chunk_id, paper_id, in_community, round(score, 6) AS score", 2, LIMIT)})"""
+_PLACED = f"wide AS ({_diverse('found', 'chunk_id, paper_id, score', 2 * LIMIT, 2 * LIMIT)}), placed AS (SELECT chunk_id, paper_id, row_number() OVER (ORDER BY score DESC, chunk_id) - 1 AS place FROM wide)"
+_GLOBAL = """everywhere AS (
+    SELECT community_id, 'paper' AS kind, paper_id AS item, place FROM (SELECT community_id, paper_id, row_number() OVER (PARTITION BY community_id ORDER BY rank DESC, paper_id) AS place FROM community_papers JOIN papers USING (paper_id) WHERE community_id IN (SELECT community_id FROM top)) WHERE place <= 5
+    UNION ALL SELECT community_id, 'atom', atom_id, place FROM (SELECT community_id, atom_id, row_number() OVER (PARTITION BY community_id ORDER BY priority DESC, atom_id) AS place FROM community_atoms JOIN atoms USING (atom_id) WHERE community_id IN (SELECT community_id FROM top)) WHERE place <= 8
+    UNION ALL SELECT community_id, 'chunk', CAST(chunk_id AS VARCHAR), place FROM (SELECT community_id, chunk_id, row_number() OVER (PARTITION BY community_id ORDER BY quality DESC, chunk_id) AS place FROM chunks JOIN community_papers USING (paper_id) WHERE community_id IN (SELECT community_id FROM top)) WHERE place <= 2)"""
+_HYBRID = """SELECT chunk_id, round(sum(gain), 9) AS score FROM (SELECT chunk_id, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, chunk_id) - 1) AS gain FROM local
+    UNION ALL SELECT CAST(item AS BIGINT), 1.0::DOUBLE / (61 + place) FROM everywhere WHERE kind = 'chunk') GROUP BY chunk_id ORDER BY 2 DESC, 1 LIMIT 8"""
+
+
+def question_vector(c) -> list[float]:
+    """The vector that stands for the question: that of vec_id 0."""
+    row = c.vectors.filter("vec_id = 0").select("embedding").first()
+    return [float(x) for x in row[0]] if row else [0.0]
+
+
+@query("ret_fts", f"WITH {_FTS} SELECT chunk_id, -score AS bm25 FROM fts ORDER BY score DESC, chunk_id LIMIT 24")
+def _(c):
+    return R.bm25(c.chunks, "chunk_id", F.col("text"), TERMS).orderBy(F.col("score").desc(), "chunk_id").limit(R.OVERSAMPLE * LIMIT).select("chunk_id", (-F.col("score")).alias("bm25"))
+
+
+@query("ret_postings", f"SELECT term, count(*) AS df, sum(tf) AS tf FROM (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest({_TOKENS}) AS term FROM chunks) GROUP BY ALL) GROUP BY term")
+def _(c):
+    return R.postings(c.chunks, "chunk_id", F.col("text")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+
+
+ATOM_TERMS = ("steel", "brand", "metric", "standard", "brass")
+_ATOM_TERMS_SQL = "(" + ", ".join(f"'{t}'" for t in ATOM_TERMS) + ")"
+_OKAPI = f"""a_len AS MATERIALIZED (SELECT atom_id, regexp_extract_all(lower(name || ' ' || category || ' ' || description), '[a-z0-9]+') AS tokens FROM atoms), a_post AS MATERIALIZED (SELECT term, atom_id, length, count(*) AS tf FROM (SELECT atom_id, len(tokens) AS length, unnest(tokens) AS term FROM a_len) GROUP BY ALL),
+    a_df AS (SELECT term, ln((SELECT count(*) FROM a_len) - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM a_post GROUP BY term), a_mean AS (SELECT (SELECT avg(idf) FROM a_df) AS idf, (SELECT avg(len(tokens)) FROM a_len) AS length),
+    okapi AS (SELECT atom_id, round(sum(CASE WHEN d.idf < 0 THEN 0.25 * m.idf ELSE d.idf END * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * p.length / m.length))), 6) AS score FROM a_post p JOIN a_df d USING (term), a_mean m WHERE term IN {_ATOM_TERMS_SQL} GROUP BY atom_id HAVING round(sum(CASE WHEN d.idf < 0 THEN 0.25 * m.idf ELSE d.idf END * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * p.length / m.length))), 6) > 0)"""
+_ATOM_VEC = "avec AS (SELECT atom_id, round(list_dot_product(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM vectors WHERE vec_id = 0)), 6) AS score FROM atoms JOIN vectors ON vec_id = seq)"
+
+
+def atom_vectors(c):
+    return c.atoms.select("atom_id", "seq").join(c.vectors.select(F.col("vec_id").alias("seq"), "embedding"), "seq").select("atom_id", "embedding")
+
+
+@query("ret_bm25_atoms", f"WITH {_OKAPI} SELECT atom_id, score FROM okapi ORDER BY score DESC, atom_id LIMIT 24")
+def _(c):
+    return R.okapi(c.atoms, "atom_id", F.concat_ws(" ", "name", "category", "description"), ATOM_TERMS).orderBy(F.col("score").desc(), "atom_id").limit(24)
+
+
+@query("ret_knn", f"WITH {_KNN} SELECT chunk_id, distance FROM knn ORDER BY distance, chunk_id LIMIT 24")
+def _(c):
+    return R.nearest(c.vectors, "chunk_id", question_vector(c), 24)
+
+
+@query("ret_atom_vec", f"WITH {_ATOM_VEC} SELECT atom_id, score FROM avec WHERE score >= 0.2 ORDER BY score DESC, atom_id LIMIT 24")
+def _(c):
+    return atom_vectors(c).select("atom_id", R.dot(F.col("embedding"), question_vector(c)).alias("score")).filter("score >= 0.2").orderBy(F.col("score").desc(), "atom_id").limit(24)
+
+
+@query("ret_atom_fallback", "SELECT atom_id, 1.0::DOUBLE AS score FROM atoms WHERE contains(lower(name || ' ' || description), 'steel')")
+def _(c):
+    return c.atoms.filter(F.lower(F.concat_ws(" ", "name", "description")).contains("steel")).select("atom_id", F.lit(1.0).alias("score"))
+
+
+@query("find_atom", f"""WITH {_OKAPI}, {_ATOM_VEC}, aw AS (SELECT * FROM okapi ORDER BY score DESC, atom_id LIMIT 15), av AS (SELECT * FROM avec WHERE score >= 0.2 ORDER BY score DESC, atom_id LIMIT 15), both AS (SELECT * FROM aw UNION ALL SELECT * FROM av WHERE atom_id NOT IN (SELECT atom_id FROM aw))
+    SELECT * FROM (SELECT * FROM both UNION ALL SELECT atom_id, 1.0 FROM atoms WHERE (SELECT count(*) FROM both) = 0 AND regexp_matches(lower(name || ' ' || description), 'steel|brand|metric|standard|brass')) ORDER BY score DESC, atom_id LIMIT 5""".replace("both", "either"))
+def _(c):
+    return R.find_atoms(c.atoms, atom_vectors(c), ATOM_TERMS, question_vector(c), 5)
+
+
+@query("ret_query_chunks", f"WITH {_candidates(LIMIT, 'prose')} {_diverse('found', 'chunk_id, paper_id, score', 2, LIMIT)}")
+def _(c):
+    return R.query_chunks(c.chunks, c.vectors, TERMS, question_vector(c), LIMIT, 2, "prose")
+
+
+@query("ret_in_papers", f"WITH {_candidates(LIMIT, None, 'paper_id IN (SELECT paper_id FROM community_papers WHERE community_id IN (1, 3, 5))')} {_diverse('found', 'chunk_id, paper_id, score', 2, LIMIT)}")
+def _(c):
+    inside = c.community_papers.filter(F.col("community_id").isin(1, 3, 5))
+    found = R.candidates(c.chunks, c.vectors, TERMS, question_vector(c), LIMIT).join(inside, "paper_id", "left_semi")
+    return R.diversify(found, "paper_id", R.by_score(), 2, LIMIT).select("chunk_id", "paper_id", "score")
+
+
+@query("ret_top_communities", f"WITH {_TOP} SELECT community_id, distance FROM top")
+def _(c):
+    return R.top_communities(c.papers, c.community_papers, TERMS, 3)
+
+
+def local(c):
+    wide = R.query_chunks(c.chunks, c.vectors, TERMS, question_vector(c), 2 * LIMIT, 2 * LIMIT)
+    return R.query_local(wide, c.community_papers, R.top_communities(c.papers, c.community_papers, TERMS, 1), LIMIT)
+
+
+@query("ret_query_local", f"WITH {_candidates(2 * LIMIT)}, {_TOP}, {_PLACED}, {_LOCAL} SELECT chunk_id, paper_id, in_community, score FROM local")
+def _(c):
+    return local(c)
+
+
+def everywhere(c):
+    return R.query_global(c.chunks, c.papers, c.atoms, c.community_papers, c.community_atoms, R.top_communities(c.papers, c.community_papers, TERMS, 3), LIMIT)
+
+
+@query("ret_query_global", f"WITH {_TOP}, {_GLOBAL} SELECT community_id, kind, item, place FROM everywhere")
+def _(c):
+    return everywhere(c)
+
+
+@query("ret_query_hybrid", f"WITH {_candidates(2 * LIMIT)}, {_TOP}, {_PLACED}, {_LOCAL}, {_GLOBAL} {_HYBRID}")
+def _(c):
+    return R.fuse(local(c).select("chunk_id", "score"), everywhere(c), LIMIT)
+
+
+def ask(c, question: str, mode: str = "auto"):
+    """Route a question to its mode and answer it: chunk_id or item, with mode."""
+    if mode == "auto":
+        mode = c.spark.range(1).select(T.route(F.lit(question)).alias("m")).first().m
+    name = {"local": "ret_query_local", "global": "ret_query_global", "hybrid": "ret_query_hybrid"}.get(mode)
+    if name is None:
+        raise ValueError(f"unknown mode {mode}")
+    return QUERIES[name](c).withColumn("mode", F.lit(mode))
+
+
+@query("ret_query", f"WITH {_candidates(2 * LIMIT)}, {_TOP}, {_PLACED}, {_LOCAL}, {_GLOBAL} SELECT *, 'hybrid' AS mode FROM ({_HYBRID})")
+def _(c):
+    return ask(c, "stsh queoi nicht")
+
+
+@query("ret_embedding_build")
+def _(c):
+    from quillmesh.operators.embedding import embed
+
+    return embed(c.chunks.select("chunk_id", "text"), "chunk_id", 64)

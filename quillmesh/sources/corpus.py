@@ -68,7 +68,7 @@ class Corpus:
     @cached_property
     def edges(self) -> DataFrame:
         n, i = F.lit(self.count), F.col("doc_id")
-        d = self.table("documents").select("doc_id", F.substring("text", 1, 600).alias("context"), F.posexplode(F.array((7 * i + 3) % n, (13 * i + 5) % n, (i + 1) % n)).alias("slot", "to")).filter("to <> doc_id")
+        d = self.table("documents").select("doc_id", F.element_at(F.split("text", "\n"), 1).alias("context"), F.posexplode(F.array((7 * i + 3) % n, (13 * i + 5) % n, (i + 1) % n)).alias("slot", "to")).filter("to <> doc_id")
         return d.select(
             F.concat(paper_id(i), F.lit("::"), paper_id(F.col("to")), F.lit("::"), F.col("slot").cast("string")).alias("edge_id"), "doc_id", "slot", paper_id(i).alias("from_paper"), F.col("to").alias("to_doc"),
             paper_id(F.col("to")).alias("to_paper"), pick(E.SECTIONS, i % 10).alias("section_type"), F.when(i % 4 != 0, F.concat(F.lit("p-"), F.col("slot").cast("string"))).alias("paragraph_id"), "context",
@@ -108,7 +108,7 @@ class Corpus:
 
     @cached_property
     def equations(self) -> DataFrame:
-        return self.paragraphs.filter("pos % 5 = 0").select(F.concat("paper_id", F.lit("::eq-"), F.col("pos").cast("string")).alias("equation_id"), "paper_id", "section_id", F.col("text").alias("latex"))
+        return self.paragraphs.select(F.concat("paper_id", F.lit("::eq-"), F.col("pos").cast("string")).alias("equation_id"), "paper_id", "section_id", F.col("text").alias("latex"))
 
     @cached_property
     def grades(self) -> DataFrame:
@@ -139,7 +139,7 @@ VIEWS = {
     "edges": f"""SELECT 'd:' || doc_id || '::d:' || dest || '::' || slot AS edge_id, doc_id, slot, 'd:' || doc_id AS from_paper, dest AS to_doc, 'd:' || dest AS to_paper, ({_list(E.SECTIONS)})[doc_id % 10 + 1] AS section_type,
         CASE WHEN doc_id % 4 <> 0 THEN 'p-' || slot END AS paragraph_id, context, doc_id % 2 = 0 AS near_equations, doc_id % 3 = 0 AS near_algorithms, doc_id % 5 = 0 AS near_tables,
         CAST((doc_id * 31 + slot * 17) % 100 AS DOUBLE) / 100 AS confidence, ({_list(E.ROLES)})[(doc_id * 5 + slot * 7) % 12 + 1] AS best_role, ({_list(E.INTENTS)})[(doc_id + slot) % 6 + 1] AS intent
-        FROM (SELECT doc_id, substr(text, 1, 600) AS context, CAST(generate_series AS INT) AS slot, CASE generate_series WHEN 0 THEN (7 * doc_id + 3) % n WHEN 1 THEN (13 * doc_id + 5) % n ELSE (doc_id + 1) % n END AS dest
+        FROM (SELECT doc_id, split_part(text, chr(10), 1) AS context, CAST(generate_series AS INT) AS slot, CASE generate_series WHEN 0 THEN (7 * doc_id + 3) % n WHEN 1 THEN (13 * doc_id + 5) % n ELSE (doc_id + 1) % n END AS dest
               FROM documents, n_docs, generate_series(0, 2)) WHERE dest <> doc_id""",
     "atoms": f"""SELECT format('atom-{{:06d}}', p_partkey) AS atom_id, p_partkey AS seq, p_name AS name, ({_list(E.CATEGORIES)})[p_partkey % 9 + 1] AS category, 'd:' || (p_partkey % n) AS defined_by,
         p_type || ' ' || p_brand AS description, p_retailprice / 2000 AS priority FROM part, n_docs""",
@@ -149,7 +149,7 @@ VIEWS = {
     "community_papers": "SELECT label AS community_id, 'd:' || vec_id AS paper_id FROM embeddings, n_docs WHERE vec_id < n",
     "community_atoms": "SELECT DISTINCT community_id, atom_id FROM community_papers JOIN atoms ON defined_by = paper_id",
     "vectors": "SELECT vec_id * 10000 AS chunk_id, vec_id, embedding, label FROM embeddings",
-    "equations": "SELECT paper_id || '::eq-' || pos AS equation_id, paper_id, section_id, text AS latex FROM paragraphs WHERE pos % 5 = 0",
+    "equations": "SELECT paper_id || '::eq-' || pos AS equation_id, paper_id, section_id, text AS latex FROM paragraphs",
     "grades": f"""SELECT source AS slug, (['A', 'B', 'C'])[doc_id % 3 + 1] AS condition, doc_id AS leaf_id, lang AS category, ({_list(E.STATUSES)})[toxic + 2 * (1 - quality) + 1] AS status,
         ({_list(E.STATUSES)})[(toxic + 2 * (1 - quality) + CAST(doc_id % 7 = 0 AS INT)) % 4 + 1] AS human_status FROM documents JOIN labels USING (doc_id)""",
     "decisions": """SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%MZ') AS timestamp, 'User ' || user_id || ' met Error!' AS title, value, props FROM events WHERE event_type = 'error'""",
