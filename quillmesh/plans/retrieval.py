@@ -58,7 +58,7 @@ def _(c):
     return R.postings(c.chunks, "chunk_id", F.col("text")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
-ATOM_TERMS = ("steel", "brand", "metric", "standard", "brass")
+ATOM_TERMS = ("ring", "economy", "brand", "hot", "gizmo")
 _ATOM_TERMS_SQL = "(" + ", ".join(f"'{t}'" for t in ATOM_TERMS) + ")"
 _OKAPI = f"""a_len AS MATERIALIZED (SELECT atom_id, regexp_extract_all(lower(name || ' ' || category || ' ' || description), '[a-z0-9]+') AS tokens FROM atoms), a_post AS MATERIALIZED (SELECT term, atom_id, length, count(*) AS tf FROM (SELECT atom_id, len(tokens) AS length, unnest(tokens) AS term FROM a_len) GROUP BY ALL),
     a_df AS (SELECT term, ln((SELECT count(*) FROM a_len) - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM a_post GROUP BY term), a_mean AS (SELECT (SELECT avg(idf) FROM a_df) AS idf, (SELECT avg(len(tokens)) FROM a_len) AS length),
@@ -85,13 +85,13 @@ def _(c):
     return atom_vectors(c).select("atom_id", R.dot(F.col("embedding"), question_vector(c)).alias("score")).filter("score >= 0.2").orderBy(F.col("score").desc(), "atom_id").limit(24)
 
 
-@query("ret_atom_fallback", "SELECT atom_id, 1.0::DOUBLE AS score FROM atoms WHERE contains(lower(name || ' ' || description), 'steel')")
+@query("ret_atom_fallback", "SELECT atom_id, 1.0::DOUBLE AS score FROM atoms WHERE contains(lower(name || ' ' || description), 'widget')")
 def _(c):
-    return c.atoms.filter(F.lower(F.concat_ws(" ", "name", "description")).contains("steel")).select("atom_id", F.lit(1.0).alias("score"))
+    return c.atoms.filter(F.lower(F.concat_ws(" ", "name", "description")).contains("widget")).select("atom_id", F.lit(1.0).alias("score"))
 
 
 @query("find_atom", f"""WITH {_OKAPI}, {_ATOM_VEC}, aw AS (SELECT * FROM okapi ORDER BY score DESC, atom_id LIMIT 15), av AS (SELECT * FROM avec WHERE score >= 0.2 ORDER BY score DESC, atom_id LIMIT 15), both AS (SELECT * FROM aw UNION ALL SELECT * FROM av WHERE atom_id NOT IN (SELECT atom_id FROM aw))
-    SELECT * FROM (SELECT * FROM both UNION ALL SELECT atom_id, 1.0 FROM atoms WHERE (SELECT count(*) FROM both) = 0 AND regexp_matches(lower(name || ' ' || description), 'steel|brand|metric|standard|brass')) ORDER BY score DESC, atom_id LIMIT 5""".replace("both", "either"))
+    SELECT * FROM (SELECT * FROM both UNION ALL SELECT atom_id, 1.0 FROM atoms WHERE (SELECT count(*) FROM both) = 0 AND regexp_matches(lower(name || ' ' || description), 'ring|economy|brand|hot|gizmo')) ORDER BY score DESC, atom_id LIMIT 5""".replace("both", "either"))
 def _(c):
     return R.find_atoms(c.atoms, atom_vectors(c), ATOM_TERMS, question_vector(c), 5)
 
