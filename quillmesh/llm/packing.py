@@ -18,6 +18,7 @@ from __future__ import annotations
 import heapq
 import math
 import os
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -33,24 +34,29 @@ PACKED = PIECES + ", sequence_id long, offset long"
 #: Items differenced together; items a task takes.
 BLOCK, TASK_ITEMS = 1024, 16_384
 #: Chunks whose ids a worker remembers, and the longest of them.
-REMEMBER, LONGEST = 400_000, 40
+REMEMBER, LONGEST = 1_000_000, 40
+
+
+_STOP = re.compile(rb"(?<=[a-z0-9])([.,])(?=\s|\Z)")
 
 
 class _Known(dict):
     """Ids by chunk; what isn't remembered is looked up among the step's own chunks."""
 
-    fresh: dict[str, bytes]
+    fresh: dict[bytes, bytes]
 
-    def __missing__(self, chunk: str) -> bytes:
+    def __missing__(self, chunk: bytes) -> bytes:
         return self.fresh[chunk]
 
 
 class ChunkEncoder:
-    """Ids of whole texts as little-endian bytes, through the ids of their blank-separated chunks.
+    """Ids of whole texts as little-endian bytes, through the ids of their chunks.
 
-    The tokenizer drops white space before it splits words, so no token spans a blank or a line
-    end and the chunks' ids, joined, are the text's ids. Frequent chunks are met early and
-    remembered; the memory is bounded.
+    The tokenizer drops white space before it splits words and starts a new piece where letters or
+    digits meet punctuation; so no token spans ASCII white space, nor the place before a full stop
+    or comma that ends a word, and the ids of the chunks cut there, joined, are the text's ids.
+    As it lower-cases, chunks are lower-cased (A-Z only) unless the text may hold a special token.
+    Frequent chunks are met early and remembered; the memory is bounded.
     """
 
     def __init__(self, path: str):
@@ -58,16 +64,23 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known = _Known({"": b""})
+        self.known = _Known()
+
+    @staticmethod
+    def chunks(text: str) -> list[bytes]:
+        raw = text.encode("utf-8")
+        if b"<|" not in raw:
+            raw = raw.lower()
+        return _STOP.sub(rb" \1", raw).split()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         known = self.known
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        split = [self.chunks(t) for t in texts]
         unseen = list(set().union(*split).difference(known))
-        fresh: dict[str, bytes] = {}
+        fresh: dict[bytes, bytes] = {}
         for i in range(0, len(unseen), 20_000):
             some = unseen[i : i + 20_000]
-            for chunk, found in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
+            for chunk, found in zip(some, self.tokenizer.encode_batch_fast([c.decode("utf-8") for c in some], add_special_tokens=False), strict=True):
                 fresh[chunk] = np.asarray(found.ids, "<u4").tobytes()
         known.fresh = fresh
         for chunk, ids in fresh.items():
