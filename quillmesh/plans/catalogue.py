@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmesh.plans import aggregates, base, classification, extraction, filters, graphs, memory, parsing, retrieval, scalars, windows  # noqa: F401  each registers its queries
+from quillmesh.plans import aggregates, base, classification, extraction, filters, graphs, memory, parsing, retrieval, scalars, streams, windows  # noqa: F401  each registers its queries
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,297 @@
+"""Hand-computed cases of scalars, classifiers and operators."""
+
+import math
+import random
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from quillmesh.functions import ids
+from quillmesh.functions import text as T
+from quillmesh.operators import atoms, evaluate, graph, memory, parse, ranking, retrieval, scoring, sinks
+from quillmesh.operators.sqlgate import Gate
+from quillmesh.plans.scalars import dedup_tokens, jaccard
+
+
+def one(spark, expression, **columns):
+    df = spark.range(1).select(*[F.lit(v).alias(k) for k, v in columns.items()]) if columns else spark.range(1)
+    return df.select(expression.alias("x")).first().x
+
+
+def test_names_and_ids(spark):
+    assert one(spark, T.canonical_name(F.lit("The Vision-Transformer encoder"))) == "encoder transformer vision"
+    for name in ("The Vision-Transformer encoder", "encoder vision transformer"):
+        assert one(spark, T.atom_uid(F.lit("method"), F.lit(name), F.lit("s2:x"))) == "0cafd1f81ed4cda0"
+
+
+@pytest.mark.parametrize("text, quality", [("short text", 0.05), ("We train the encoder with a contrastive objective on images.", 0.727), ("0.91 | 0.88 | 0.77 | 0.65 & 12", 0.05), ("", 0.0), (None, 0.0)])
+def test_prose_quality(spark, text, quality):
+    assert one(spark, T.prose_quality(F.lit(text).cast("string"))) == quality
+
+
+@pytest.mark.parametrize("title, text, want", [("References", "any", ("reference", 0.3)), (None, "[12] Smith et al.", ("reference", 0.3)), (None, "$$x=1$$", ("equation_block", 0.5)), (None, "too short", ("prose", 0.05))])
+def test_chunk_kind(spark, title, text, want):
+    assert tuple(one(spark, T.chunk_kind(F.lit(title).cast("string"), F.lit(text)))) == want
+
+
+@pytest.mark.parametrize("title, want", [("Model Evaluation", "method"), ("  ABSTRACT ", "abstract"), ("Thanks", "other"), ("Results", "results")])
+def test_section_type(spark, title, want):
+    assert one(spark, T.section_type(F.lit(title))) == want
+
+
+@pytest.mark.parametrize("token, want", [("https://arxiv.org/abs/2103.00020v1", "ARXIV:2103.00020"), ("doi:10.1038/x", "DOI:10.1038/x"), ("arxiv:2103.00020v3", "ARXIV:2103.00020"), ("a" * 40, "a" * 40), (" free text ", "free text"), ("https://doi.org/10.1000/AB-c", "DOI:10.1000/AB-c")])
+def test_normalize_id(spark, token, want):
+    assert one(spark, ids.normalize_id(F.lit(token))) == want
+
+
+@pytest.mark.parametrize("question, want", [("survey of world models", "global"), ("what loss does it use", "local"), ("hello there", "hybrid"), ("", "hybrid"), (None, "hybrid")])
+def test_route(spark, question, want):
+    assert one(spark, T.route(F.lit(question).cast("string"))) == want
+
+
+def test_scores(spark):
+    assert round(one(spark, scoring.scholarly(F.lit(100), F.lit(6), F.lit(2020))), 4) == 2.4029
+    assert one(spark, scoring.scholarly(F.lit(None).cast("int"), F.lit(None).cast("int"), F.lit(None).cast("int"))) == pytest.approx(0.3 * (1 - 26 / 30))
+    for c, role, intent, want in ((0.8, "method_dependency", "method", 0.96), (0.95, "method_dependency", "background", 0.38), (0.9, "theory_dependency", "extends", 1.08), (9.0, "method_dependency", "method", 2.0)):
+        assert one(spark, scoring.edge_weight(F.lit(c), F.lit(role), F.lit(intent))) == want
+
+
+@pytest.mark.parametrize("a, b, similar, inside", [("ViT encoder", "Vision Transformer encoder", 0.25, 0.5), ("Heck coupling", "Heck coupling reaction", 2 / 3, 1.0), ("ImageNet", "ImageNet-21k", 0.5, 1.0)])
+def test_token_sets(spark, a, b, similar, inside):
+    x, y = dedup_tokens(F.lit(a)), dedup_tokens(F.lit(b))
+    assert one(spark, jaccard(x, y)) == pytest.approx(similar)
+    assert one(spark, F.size(F.array_intersect(x, y)) / F.least(F.size(x), F.size(y))) == pytest.approx(inside)
+
+
+def test_greedy_absorbs_in_order(spark):
+    rows = [(1, "ViT encoder"), (2, "Vision Transformer encoder"), (3, "Heck coupling"), (4, "Heck coupling reaction"), (5, "ImageNet"), (6, "ImageNet-21k")]
+    df = spark.createDataFrame(rows, "seq int, name string").select("seq", F.col("seq").cast("string").alias("atom_id"), F.lit("method").alias("category"), dedup_tokens(F.col("name")).alias("tokens"))
+    kept = {r.atom_id: r.kept_as for r in atoms.greedy(df, "jaccard").collect()}
+    assert kept == {"1": "1", "2": "2", "3": "3", "4": "3", "5": "5", "6": "5"}
+
+
+def test_greedy_by_vectors(spark):
+    rows = [(i, str(i), c, v) for i, (c, v) in enumerate([("data", [1.0, 0.0]), ("data", [0.99, 0.1]), ("data", [0.9, 0.4]), ("data", [0.0, 1.0]), ("method", [1.0, 0.0]), ("method", [1.0, 0.0])])]
+    kept = {r.atom_id: r.kept_as for r in atoms.greedy(spark.createDataFrame(rows, "seq int, atom_id string, category string, embedding array<double>"), "cosine").collect()}
+    assert kept == {"0": "0", "1": "0", "2": "2", "3": "3", "4": "4", "5": "5"}  # fewer than four of a category: left alone
+
+
+def test_similar_pairs_equal_brute_force(spark):
+    rng = random.Random(1)
+    rows = [(f"a{i:03}", "xy"[i % 2], sorted(rng.sample("abcdefghij", rng.randint(1, 6)))) for i in range(120)]
+    want = {(p[0], q[0]) for p in rows for q in rows if p[0] < q[0] and p[1] == q[1] and len(set(p[2]) & set(q[2])) >= 0.6 * len(set(p[2]) | set(q[2]))}
+    got = atoms.similar_pairs(spark.createDataFrame(rows, "atom_id string, category string, tokens array<string>"), 0.6)
+    assert {tuple(r) for r in got.collect()} == want
+
+
+def test_named_atoms_and_missing_parameters(spark):
+    text = "We use the Adam optimizer on the ImageNet dataset. The Heck reaction follows."
+    got = [tuple(x) for x in one(spark, atoms.named(F.lit(text)))]
+    assert got == [("procedure", "Adam optimizer"), ("data", "ImageNet dataset"), ("procedure", "The Heck reaction")]
+    gaps = atoms.missing_parameters(spark.createDataFrame([(1, "learning rate = 0.001 and dropout was tuned.")], "doc_id int, text string"))
+    assert [r.name for r in gaps.collect()] == ["and dropout"]
+
+
+def test_budget_stays_within_the_rest(spark):
+    weights = spark.createDataFrame([(f"p{i:03}", 0.31 + i / 100) for i in range(90)], "paper_id string, weight double")
+    rows = atoms.budget(weights, 100).collect()
+    assert sum(r.calls for r in rows) == 60 and all(0 < r.calls <= 10 for r in rows)
+    assert atoms.budget(weights, 20).count() == 0
+
+
+def test_roles_and_intents(spark):
+    columns = "context string, section_type string, title string, near_equations boolean, near_algorithms boolean, near_tables boolean"
+    df = spark.createDataFrame([("We use the encoder of [3], unlike [4].", "method", "Attention network", True, False, False), (None, None, None, None, None, None)], columns)
+    first, nothing = df.select(scoring.roles().alias("r"), scoring.intents().alias("i")).collect()
+    assert first.r[0].label == "method_dependency" and len(first.r) == 3
+    assert sum(x.confidence for x in first.r) <= 1.0
+    assert first.i[0].label == "method"
+    assert [tuple(x) for x in nothing.r] == [("related_work_only", 0.2)]
+    assert [x.label for x in nothing.i] == ["mention"]
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.sampled_from("abc"), min_size=1, max_size=14), st.integers(1, 3), st.integers(1, 8))
+def test_diversity_equals_the_loop(spark, papers, cap, limit):
+    kept, skipped, n = [], [], {}
+    for i, p in enumerate(papers):
+        if n.get(p, 0) < cap:
+            kept.append(i)
+            n[p] = n.get(p, 0) + 1
+        else:
+            skipped.append(i)
+    want = (kept + skipped)[:limit]
+    df = spark.createDataFrame(list(enumerate(papers)), "i int, p string")
+    assert [r.i for r in ranking.diversify(df, "p", [F.col("i")], cap, limit).collect()] == want
+
+
+def test_diversity_backfills(spark):
+    df = spark.createDataFrame(list(enumerate("aaab")), "i int, p string")
+    assert [r.p for r in ranking.diversify(df, "p", [F.col("i")], 2, 4).collect()] == ["a", "a", "b", "a"]
+
+
+def test_fusion(spark):
+    local = spark.createDataFrame([(7, 1.0), (8, 0.5)], "chunk_id long, score double")
+    communities = spark.createDataFrame([(1, "chunk", "7", 1)], "community_id int, kind string, item string, place int")
+    assert retrieval.fuse(local, communities, 5).first().score == pytest.approx(1 / 60 + 1 / 62, abs=1e-9)
+
+
+def test_bm25_by_hand(spark):
+    texts = ["apple pie", "apple apple tart", "plum", "plum jam", "pear"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {r.id: r.score for r in retrieval.bm25(df, "id", F.col("text"), ["apple"]).collect()}
+    lengths = [len(t.split()) for t in texts]
+    mean, idf = sum(lengths) / 5, math.log((5 - 2 + 0.5) / 2.5)
+    want = {i: idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * lengths[i] / mean)) for i, tf in ((0, 1), (1, 2))}
+    assert got == {i: pytest.approx(w, abs=1e-6) for i, w in want.items()}
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.text(alphabet="ab. !?", max_size=120))
+def test_chunker_equals_plain_python(spark, text):
+    import re
+
+    def plain(t, target=30, overlap=10):
+        t = t.strip(" ")
+        if len(t) <= target:
+            return [t]
+        out, cur, n = [], [], 0
+        for s in re.split(r"(?<=[.!?])\s+", t):
+            if cur and n + len(s) > target:
+                out.append(" ".join(cur).strip(" "))
+                tail = out[-1][-overlap:]
+                cur = [tail, s] if tail else [s]
+                n = sum(map(len, cur))
+            else:
+                cur.append(s)
+                n += len(s) + 1
+        out.append(" ".join(cur).strip(" "))
+        kept = []
+        for w in out:
+            if not kept or not (w.startswith(kept[-1][-overlap:]) and w in kept[-1]):
+                kept.append(w)
+        return kept
+
+    assert one(spark, T.split_overlap(F.lit(text), 30, 10)) == plain(text)
+
+
+def test_kappa(spark):
+    rows = list(zip(("pass", "pass", "fail", "partial"), ("pass", "fail", "fail", "partial"), strict=True))
+    df = spark.createDataFrame(rows, "a string, b string")
+    assert evaluate.kappa(df, "a", "b").first().kappa == pytest.approx(0.636364, abs=1e-6)
+    assert evaluate.kappa(df.limit(0), "a", "b").first().kappa == 0.0
+    assert evaluate.kappa(df.filter("a = 'fail'"), "a", "b").first().kappa == 1.0
+
+
+def test_bootstrap_holds_the_mean(spark):
+    scores = spark.createDataFrame([(f"s{i}", "A", i / 20) for i in range(20)] + [("s", "B", 0.5)], "slug string, condition string, score double")
+    rows = {r.condition: r for r in evaluate.bootstrap(scores, 800).collect()}
+    assert rows["A"].low < 0.475 < rows["A"].high and rows["A"].high - rows["A"].low < 0.4
+    assert rows["B"].low == rows["B"].high == 0.5
+    assert sorted(evaluate.bootstrap(scores, 800).collect()) == sorted(rows.values())
+
+
+def arcs(spark, pairs):
+    return spark.createDataFrame([(a, b, w) for a, b, w in pairs] + [(b, a, w) for a, b, w in pairs], "a string, b string, w double")
+
+
+def test_paths(spark):
+    g = arcs(spark, [("s", "m", 1.0), ("m", "t", 1.0), ("s", "t", 5.0), ("s", "x", 1.0), ("x", "y", 1.0), ("y", "t", 1.5)])
+    assert [tuple(r) for r in graph.bounded_paths(g, "s", "t", 3, 3).collect()] == [("s>m>t", 2, 2.0), ("s>x>y>t", 3, 3.5), ("s>t", 1, 5.0)]
+    assert [r.path for r in graph.k_shortest(g, "s", "t", 3, 3).collect()] == ["s>m>t", "s>x>y>t", "s>t"]
+    assert [r.path for r in graph.k_shortest(g, "s", "t", 3, 2).collect()] == ["s>m>t"]  # the next by weight has too many hops
+    assert graph.k_shortest(g, "s", "nowhere", 3, 2).count() == 0
+
+
+def test_k_shortest_equals_enumeration(spark):
+    rng = random.Random(5)
+    pairs = [(f"n{i}", f"n{j}", rng.randint(1, 50) / 7) for i in range(9) for j in range(i) if rng.random() < 0.5]
+    g = arcs(spark, pairs)
+    every = [tuple(r)[:2] for r in graph.bounded_paths(g, "n0", "n8", 8, 6).collect()]
+    assert [(r.path, r.hops) for r in graph.k_shortest(g, "n0", "n8", 6, 8).collect()] == every
+
+
+def test_breadth_first(spark):
+    g = arcs(spark, [("a", "b", 1.0), ("b", "c", 1.0), ("c", "d", 1.0), ("a", "c", 1.0)])
+    assert {r.node: r.hop for r in graph.breadth_first(g, "a", 2, 10).collect()} == {"a": 0, "b": 1, "c": 1, "d": 2}
+    assert {r.node for r in graph.breadth_first(g, "a", 1, 1).collect()} == {"a", "b"}
+
+
+def two_cliques(spark):
+    rows = [(f"{g}{i}", f"{g}{j}", 1.0) for g in "xy" for i in range(5) for j in range(i)] + [("x0", "y0", 0.1)]
+    return spark.createDataFrame([(min(a, b), max(a, b), w) for a, b, w in rows], "paper_a string, paper_b string, weight double")
+
+
+def test_communities(spark):
+    pairs = two_cliques(spark)
+    for labels in (graph.louvain(pairs), graph.label_propagation(pairs)):
+        groups = {}
+        for r in labels.collect():
+            groups.setdefault(r.community, set()).add(r.node[0])
+        assert sorted(map(sorted, groups.values())) == [["x"], ["y"]]
+    one_ = graph.modularity(pairs, graph.louvain(pairs)).first().modularity
+    assert one_ >= graph.modularity(pairs, graph.label_propagation(pairs)).first().modularity - 1e-9
+    assert one_ > 0.45
+    assert sorted(graph.louvain(pairs).collect()) == sorted(graph.louvain(pairs).collect())
+
+
+def test_gate(spark):
+    gate = Gate(spark, {"numbers": spark.range(10)})
+    assert gate.run("SELECT count(*) AS n FROM numbers WHERE id >= ?;", [4]) == {"columns": ["n"], "rows": [{"n": 6}], "truncated": False}
+    assert gate.run("with a as (select id from numbers) select * from a", limit=3)["truncated"]
+    for sql in ("DROP TABLE numbers", "select 1; select 2", "select ';'", "insert into numbers values (1)", "with a as (select 1) insert into x select * from a", "select nothing from numbers", "selec 1"):
+        assert set(gate.run(sql)) == {"error"}
+
+
+def test_decisions_round_trip(spark):
+    df = spark.createDataFrame([("2026-05-19T14:32Z", "a-b", "yes: really", "")], "t string, s string, d string, r string")
+    text = df.select(memory.decision_entry(F.col("t"), F.col("s"), {"Decision": F.col("d"), "Why": F.col("r")}).alias("text"))
+    row = memory.parse_decisions(text).first()
+    assert (row.timestamp, row.slug, row.body) == ("2026-05-19T14:32Z", "a-b", {"Decision": "yes: really", "Why": ""})
+    assert memory.parse_decisions(spark.createDataFrame([("no heading",)], "text string")).count() == 0
+
+
+def test_since_is_a_string_comparison(spark):
+    assert one(spark, F.lit("2026-05-19T14:32Z") >= "2026-05-19")
+
+
+def test_session_notes(spark):
+    note = spark.createDataFrame([(1, "n.md", "# Session x\n\n## Done\n- a\n\n## Next\n- b\n")], "conv_id int, name string, text string")
+    grown = memory.append_bullet(memory.append_bullet(note, "Done", F.lit("c")), "Open", F.lit("d"))
+    assert [(r.section, r.item) for r in memory.parse_sessions(grown).orderBy("section", "place").collect()] == [("Done", "- a"), ("Done", "- c"), ("Next", "- b"), ("Open", "- d")]
+
+
+def test_tex(spark):
+    df = spark.createDataFrame([(1, "x % gone\n5\\% kept")], "doc_id long, text string")
+    assert df.select(parse.strip_comments(F.col("text")).alias("t")).first().t == "x \n5\\% kept"
+    doc = spark.createDataFrame([(1, "\\begin{document}pre\n\n\\section{A}\none \\cite{k,l}\n\n$$x$$\n\\section{B}two\\end{document} after")], "doc_id long, text string")
+    rows = [(r.kind, r.id, r.text) for r in parse.tex_document(doc).collect()]
+    assert rows == [("paragraph", "sec-0-p1", "pre"), ("section", "sec-1", "A"), ("citation", "k", "sec-1-p1"), ("citation", "l", "sec-1-p1"), ("paragraph", "sec-1-p1", "one [cite]"), ("equation", "eq-1", "x"), ("section", "sec-2", "B"), ("paragraph", "sec-2-p1", "two")]
+    files = spark.createDataFrame([(1, "main", "a \\input{b.tex} \\include{main} \\input{none}"), (1, "b", "B \\input{c}"), (1, "c", "C \\input{b}")], "doc_id long, name string, text string")
+    assert parse.expand_inputs(files).first().text.split() == ["a", "B", "C"]
+    bib = spark.createDataFrame([(1, '@article{k1, title = {A {Nested} one}, year = {1999}}\n@book{k2, author="Doe, J"}')], "doc_id long, text string")
+    assert [(r.key, r.raw) for r in parse.bib_entries(bib).collect()] == [("k1", "title={A {Nested} one} year={1999}"), ("k2", "author={Doe, J}")]
+
+
+def test_small_parsers(spark):
+    assert one(spark, parse.last_names(F.lit("Doe, Jane and John O'Neil; Ann Lee"))) == ["doe", "oneil", "lee"]
+    assert one(spark, parse.bib_fields(F.lit("title={A} TITLE = {B} year={1} x={y}"))) == {"title": "B", "year": "1"}
+    for text, want in (('say {"a": 1} now', '{"a": 1}'), ("{broken", None), ("no", None), ("} {", None), ("{x}", None)):
+        assert one(spark, parse.json_object(F.lit(text))) == want
+
+
+def test_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, k string")
+    sinks.write_tables({"t": df}, str(tmp_path))
+    assert spark.read.parquet(f"{tmp_path}/t").count() == 2
+    sinks.write_partition(df, f"{tmp_path}/p", "k")
+    sinks.write_partition(spark.createDataFrame([(3, "b")], "id int, k string"), f"{tmp_path}/p", "k")
+    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/p").collect()) == [1, 3]
+    for _ in range(2):
+        sinks.write_text(df, "k", f"{tmp_path}/log")
+    assert spark.read.text(f"{tmp_path}/log").count() == 4
+    sinks.write_json(df, f"{tmp_path}/j")
+    assert spark.read.json(f"{tmp_path}/j").count() == 2
+    assert sinks.manifest({"t": df}).first().manifest == '{"t":2}'
