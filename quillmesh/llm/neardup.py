@@ -12,9 +12,9 @@
    nodes at least halves each round).
 5. Buckets of three or more in which several components are left: members were compared with the
    smallest id only. Each such bucket names its largest component; its other members become
-   *visitors* of that component. Each component's members are dealt into blocks of bounded size, its
-   visitors are sent to every block and compared with all texts there, and with each other.
-   A block returns only the links it finds. So no link in a bucket is lost, and no pairs are emitted.
+   *visitors* of that component. Each component's texts are dealt into blocks of bounded size; its
+   visitors, in blocks of their own, meet every block and are compared with all texts there, other
+   visitors included. A pair of blocks returns only the links it finds. So no link in a bucket is lost, and no pairs are emitted.
 6. Components again, over all links.
 
 Edge cases. Null text, empty text or white space only: no shingles, linked with nothing, even if
@@ -25,7 +25,6 @@ table: no rows. Columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -40,9 +39,9 @@ BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 #: Estimates below this are not confirmed.
 FLOOR = 0.55
-#: Shingles of a block of members that visitors are compared with.
-BLOCK_SHINGLES = 400_000
-REMEMBER = 400_000
+#: Shingles of a block of members, and of a block of the visitors that are compared with it.
+BLOCK_SHINGLES = 200_000
+REMEMBER = 200_000
 
 _MULTIPLIERS = (np.random.default_rng(20_240_607).integers(0, 2**31, HASHES, dtype=np.uint64) * 2 + 1).astype(np.uint32)
 _OFFSETS = np.random.default_rng(77_003).integers(0, 2**32, HASHES, dtype=np.uint64).astype(np.uint32)
@@ -202,15 +201,16 @@ def _visit(size: int, percent: int):
     """Compare a block's members with the component's visitors, and the visitors with each other."""
 
     def run(key, members: pa.Table, visitors: pa.Table) -> pa.Table:
+        if not members.num_rows or not visitors.num_rows:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         seats = members.column("id").to_pylist()
         sets = [shingles(t.as_py(), size) for t in members.column("text")]
         lengths = np.array([len(s) for s in sets], np.int64)
-        # Shared shingles are counted through an index of the block, so that dissimilar texts cost nothing.
-        index: dict[int, list[int]] = defaultdict(list)
-        for n, s in enumerate(sets):
-            for x in s.tolist():
-                index[x].append(n)
-        lists = {x: np.asarray(v, np.int64) for x, v in index.items()}
+        # Shared shingles are counted through an index of the block (all shingles sorted, beside their
+        # owners), so that dissimilar texts cost nothing.
+        values = np.concatenate(sets)
+        order = np.argsort(values, kind="stable")
+        values, owners = values[order], np.repeat(np.arange(len(sets), dtype=np.int32), lengths)[order]
         # Members are of one component already; only links that join two groups are returned.
         home = [None if m else i for i, m in zip(seats, members.column("member").to_pylist(), strict=True)]
         group: dict[int | None, int | None] = {}
@@ -222,12 +222,13 @@ def _visit(size: int, percent: int):
             return x
 
         found: list[tuple[int, int]] = []
-        for i, text in sorted(zip(visitors.column("id").to_pylist(), visitors.column("text"), strict=True), key=lambda v: v[0]):
+        for i, text in sorted(zip(visitors.column("v_id").to_pylist(), visitors.column("v_text"), strict=True), key=lambda v: v[0]):
             s = shingles(text.as_py(), size)
-            hits = [lists[x] for x in s.tolist() if x in lists]
-            if not hits:
-                continue
-            both = np.bincount(np.concatenate(hits), minlength=len(sets))
+            first = np.searchsorted(values, s, "left")
+            times = np.searchsorted(values, s, "right") - first
+            ends = np.cumsum(times)
+            hits = np.repeat(first - (ends - times), times) + np.arange(ends[-1])
+            both = np.bincount(owners[hits], minlength=len(sets))
             for g in np.flatnonzero((both > 0) & (100 * both >= percent * (len(s) + lengths - both))).tolist():
                 one, two = top(i), top(home[g])
                 if one != two:
@@ -277,11 +278,15 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
 def _visits(crowd: DataFrame, leads: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Links between the visitors of a component, its members and one another."""
     sized = crowd.join(leads.select("id", "n_shingles"), "id")
-    blocks = F.greatest(F.lit(1), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
-    homes = sized.groupBy("home").agg(blocks.alias("blocks"))
-    crowd = cut(crowd.join(homes, "home"))
-    crowd = cut(crowd.join(texts, "id").dropDuplicates(["home", "id"]))
-    # Everyone is in one block; visitors go to all of them.
-    seated = crowd.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select("home", "block", "id", "text", "member")
-    roaming = crowd.filter(~F.col("member")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("home", "block", "id", "text")
-    return seated.groupBy("home", "block").cogroup(roaming.groupBy("home", "block")).applyInArrow(_visit(size, percent), "a long, b long")
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.coalesce(F.sum(n), F.lit(0)) / BLOCK_SHINGLES)).cast("int")
+    homes = sized.groupBy("home").agg(blocks(F.col("n_shingles")).alias("blocks"), blocks(F.when(~F.col("member"), F.col("n_shingles"))).alias("rooms"))
+    crowd = crowd.join(homes, "home").join(texts, "id")
+    dealt = crowd.select("home", "id", "text", "member", "blocks", "rooms", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("rooms")).cast("int").alias("room"))
+    dealt = cut(dealt)
+    # Everyone is in one block, which every room of visitors meets.
+    seated = dealt.withColumn("room", F.explode(F.sequence(F.lit(0), F.col("rooms") - 1))).select("home", "block", "room", "id", "text", "member")
+    roaming = dealt.filter(~F.col("member")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # Columns of their own names and ids: both sides come from one table.
+    roaming = roaming.select(*[F.col(c).alias(f"v_{c}") for c in ("home", "block", "room", "id", "text")])
+    keys = ["home", "block", "room"]
+    return seated.groupBy(*keys).cogroup(roaming.groupBy(*[f"v_{k}" for k in keys])).applyInArrow(_visit(size, percent), "a long, b long")
