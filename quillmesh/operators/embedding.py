@@ -36,3 +36,12 @@ def embed(items: DataFrame, key: str, dim: int, model: Callable[[list[str]], np.
             yield pa.RecordBatch.from_arrays([batch.column(0), flat], names=[key, "embedding"])
 
     return items.select(items[key].cast("long").alias(key), "text").mapInArrow(run, f"{key} long, embedding array<float>")
+
+
+def pack(vector: Iterable[float]) -> bytes:
+    """A vector as little-endian 32-bit floats, as other stores keep them."""
+    return np.asarray(list(vector), "<f4").tobytes()
+
+
+def unpack(blob: bytes) -> list[float]:
+    return np.frombuffer(blob, "<f4").tolist()

@@ -160,7 +160,7 @@ def _(c):
 
 @query("agg_bootstrap_ci")
 def _(c):
-    return evaluate.bootstrap(evaluate.replication(c.grades), 2000)
+    return evaluate.bootstrap(evaluate.replication(c.grades))
 
 
 @query("agg_cohen_kappa", """WITH g AS (SELECT status AS a, human_status AS b FROM grades), n AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (a = b) AS agree FROM g),

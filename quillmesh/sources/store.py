@@ -32,3 +32,28 @@ class Store:
 
     def tables(self) -> dict[str, DataFrame]:
         return {name: self.read(name) for name in TABLES}
+
+    def meta(self, key: str) -> str | None:
+        row = self.read("meta").filter(F.col("key") == key).select("value").first()
+        return row.value if row else None
+
+    def copy_to(self, folder: str) -> Store:
+        """All tables into another folder; refused if that holds a corpus about another paper."""
+        other = Store(self.spark, folder)
+        mine, theirs = self.meta("target_paper_id"), other.meta("target_paper_id")
+        if theirs is not None and theirs != mine:
+            raise ValueError(f"{folder} is about {theirs}, not {mine}")
+        for name in TABLES:
+            if self.exists(name):
+                other.write(name, self.read(name))
+        return other
+
+
+def keep_ir(ir: DataFrame, folder: str, version: str) -> None:
+    """Parsed documents beside those of other parser versions."""
+    ir.withColumn("parser_version", F.lit(version)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("parser_version").parquet(folder)
+
+
+def kept_ir(spark: SparkSession, folder: str, version: str) -> DataFrame:
+    """Documents that this parser version has parsed; the scan reads its partition alone."""
+    return spark.read.parquet(folder).filter(F.col("parser_version") == version).drop("parser_version")
