@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,3 +49,17 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     """df without columns that an operator is about to add (names compare in any case)."""
     taken = {n.lower() for n in names}
     return df.drop(*[c for c in df.columns if c.lower() in taken])
+
+
+_held: list[Any] = [None, None]
+
+
+def remembered(owner: str, make: Callable[[], Any]) -> Any:
+    """What an operator keeps in a Python worker from task to task.
+
+    Workers outlive stages; so one operator's memory goes when another one asks for its own.
+    """
+    if _held[0] != owner:
+        _held[:] = [owner, None]
+        _held[1] = make()
+    return _held[1]

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import cut
+from quillmesh.llm.common import cut, remembered
 
 BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
@@ -58,9 +58,6 @@ class _WordHash(dict):
         return value
 
 
-_hash = _WordHash()
-
-
 def words(text: str | None) -> list[bytes]:
     """Words of the text with A-Z lower-cased: bytes.lower and bytes.split know ASCII only."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
@@ -71,7 +68,7 @@ def shingles(text: str | None, size: int = 2) -> np.ndarray:
     found = words(text)
     if not found:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_hash.__getitem__, found), np.uint64, len(found))
+    h = np.fromiter(map(remembered("near-duplicates", _WordHash).__getitem__, found), np.uint64, len(found))
     if len(h) < size:
         h = np.concatenate([h, np.full(size - len(h), 0x5BD1E995, np.uint64)])
     n = len(h) - size + 1

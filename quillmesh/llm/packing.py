@@ -27,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import cut
+from quillmesh.llm.common import cut, remembered
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long"
 #: Items differenced together; items a task takes.
 BLOCK, TASK_ITEMS = 1024, 16_384
 #: Chunks whose ids a worker remembers, and the longest of them.
-REMEMBER, LONGEST = 1_000_000, 40
+REMEMBER, LONGEST = 800_000, 40
 
 
 _STOP = re.compile(rb"(?<=[a-z0-9])([.,])(?=\s|\Z)")
@@ -93,15 +93,6 @@ class ChunkEncoder:
         return out
 
 
-_encoders: dict[str, ChunkEncoder] = {}
-
-
-def _encoder(path: str) -> ChunkEncoder:
-    if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
-
-
 def _slices(texts: list[str], chars: int) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about so many characters, so that a step's memory is bounded."""
     begin = held = 0
@@ -119,7 +110,7 @@ def pieces(docs: DataFrame, vocabulary: str, window: int = 4096, end_id: int = 2
     tail = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(vocabulary)
+        encoder = remembered(f"packing {vocabulary}", lambda: ChunkEncoder(vocabulary))
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in _slices(texts, 4_000_000):

@@ -31,6 +31,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmesh.llm.common import remembered
+
 FIT_ROWS, VECTOR_ROWS, VOCABULARY = 6000, 1500, 20_000
 WORD_DIM, MARK_DIM, NONZERO, HIDDEN = 64, 48, 6, 32
 THRESHOLD = 0.3
@@ -133,7 +135,11 @@ def word_vectors(texts: list[str]) -> tuple[list[str], np.ndarray]:
             pair, times = pair[pair >= 0], times[pair >= 0]
             a, b = np.divmod(pair, len(vocabulary) + 1)
             good = (a < len(vocabulary)) & (b < len(vocabulary))
-            np.add.at(context, a[good], np.roll(index, turn, axis=1)[b[good]] * np.log1p(times[good])[:, None].astype(np.float32))
+            a, b, weight = a[good], b[good], np.log1p(times[good]).astype(np.float32)
+            turned = np.roll(index, turn, axis=1)
+            for i in range(0, len(a), 50_000):
+                part = slice(i, i + 50_000)
+                np.add.at(context, a[part], turned[b[part]] * weight[part, None])
     context = context[:-1]
     context /= np.maximum(1e-6, np.linalg.norm(context, axis=1, keepdims=True))
     weight = np.array([counts[w] for w in vocabulary], np.float32)
@@ -219,6 +225,7 @@ def score(docs: DataFrame, fitted: tuple[list[str], np.ndarray, dict], key: str
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, points, net = shared.value
+        remembered("quality", dict)
         pool = Pooler(words, points)
         for batch in batches:
             x = np.asarray([pool(t.as_py()) for t in batch.column(1)], np.float32).reshape(batch.num_rows, WORD_DIM + MARK_DIM)
@@ -242,6 +249,7 @@ def accepted(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int =
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, points, net = shared.value
+        remembered("quality", dict)
         pool = Pooler(words, points)
         for batch in batches:
             x = np.asarray([pool(t.as_py()) for t in batch.column(at)], np.float32).reshape(batch.num_rows, WORD_DIM + MARK_DIM)

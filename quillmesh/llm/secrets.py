@@ -36,6 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmesh.llm.common import remembered
+
 FIT_ROWS, FIT_CHARS, MADE = 1500, 20_000, 1200
 
 # The base patterns, and the least length of what they find.
@@ -332,6 +334,7 @@ def scan(docs: DataFrame, field: Field | None = None) -> DataFrame:
     field = field or fit(docs)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered("secrets", dict)
         for batch in batches:
             rows = []
             for text in batch.column(1):
@@ -363,6 +366,7 @@ def redact(docs: DataFrame, field: Field | None = None) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered("secrets", dict)
         for batch in batches:
             texts = [None if (t := x.as_py()) is None else redacted(t, field) for x in batch.column(at)]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
