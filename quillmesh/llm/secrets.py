@@ -48,9 +48,10 @@ ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
 KINDS = ("assign", "access", "hex", "crf")
 
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")  # HEX's maximal runs that are long enough
-_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,4096}[0-9])[A-Za-z0-9+/_=-]{8,}")
+_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{8,}")
 _TOKEN = re.compile(r"[A-Za-z0-9+/_=-]+|[^\sA-Za-z0-9+/_=-]")
 _DIGIT = re.compile(r"[0-9]")
+_SPACE = re.compile(r"\s")
 _PART = re.compile(r"[A-Za-z0-9+/_=-]")
 TAGS = "OBI"
 
@@ -90,11 +91,10 @@ def segments(text: str) -> list[Segment]:
         if m.start() < end:
             continue
         a = m.start()
-        while a > 0 and m.start() - a < 256 and not text[a - 1].isspace():
+        while a > end and not text[a - 1].isspace():
             a -= 1
-        b = m.end()
-        while b < len(text) and b - m.end() < 4096 and not text[b].isspace():
-            b += 1
+        space = _SPACE.search(text, m.end())
+        b = space.start() if space else len(text)
         found = [(t.start() + a, t.end() + a) for t in _TOKEN.finditer(text[a:b])]
         tokens = [text[x:y] for x, y in found]
         strong = [len(t) >= 8 and bool(_DIGIT.search(t)) for t in tokens]
@@ -108,9 +108,8 @@ def segments(text: str) -> list[Segment]:
 
 def file_features(text: str) -> list[str]:
     n = max(1, len(text))
-    head = text[:200_000]
-    digits = sum(map(head.count, string.digits)) / max(1, len(head))
-    return [f"file digits {min(4, int(digits * 40))}", f"file = {min(3, head.count('=') * 200 // max(1, len(head)))}", f"file length {min(6, int(math.log10(n)))}"]
+    digits = sum(map(text.count, string.digits)) / n
+    return [f"file digits {min(4, int(digits * 40))}", f"file = {min(3, text.count('=') * 200 // n)}", f"file length {min(6, int(math.log10(n)))}"]
 
 
 def _bucket(x: float, *edges: float) -> int:
