@@ -244,7 +244,8 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
 
     cells = leads.select("id", F.posexplode("bands").alias("band", "key"))
-    buckets = cells.groupBy("band", "key").agg(F.min("id").alias("centre"), F.count("*").alias("members")).filter("members > 1")
+    # Written, so that the join reads two plain exchanges, of which adaptive execution can split a hot bucket's.
+    buckets = cut(cells.groupBy("band", "key").agg(F.min("id").alias("centre"), F.count("*").alias("members")).filter("members > 1"))
     shared = cut(cells.join(buckets, ["band", "key"]).select("band", "key", "id", "centre", "members"))
     bits = leads.select("id", "bits")
     star = shared.filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
@@ -258,7 +259,7 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
     # Buckets with several components: all members against the largest component's.
     placed = shared.filter("members > 2").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     per = placed.groupBy("band", "key", "component").agg(F.count("*").alias("n"))
-    largest = per.groupBy("band", "key").agg(F.max(F.struct("n", (-F.col("component")).alias("c"))).alias("top"), F.count("*").alias("several")).filter("several > 1").select("band", "key", (-F.col("top.c")).alias("home"))
+    largest = cut(per.groupBy("band", "key").agg(F.max(F.struct("n", (-F.col("component")).alias("c"))).alias("top"), F.count("*").alias("several")).filter("several > 1").select("band", "key", (-F.col("top.c")).alias("home")))
     crowd = cut(placed.join(largest, ["band", "key"]).select("home", "id", (F.col("component") == F.col("home")).alias("member")).groupBy("home", "id").agg(F.max("member").alias("member")))
     if not crowd.isEmpty():
         more = _visits(crowd, leads, candidates, size, percent)
