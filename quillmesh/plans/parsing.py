@@ -181,9 +181,9 @@ def _(c):
     return c.table("documents").withColumn("place", place).filter("place <= 30").select("source", "doc_id", F.length("text").alias("size"))
 
 
-@query("graph_sql", "SELECT p.acquired_via, count(*) AS n, avg(e.confidence) AS mean FROM edges e JOIN papers p ON p.paper_id = e.to_paper WHERE p.year >= 2000 GROUP BY p.acquired_via HAVING count(*) > 1")
+@query("graph_sql", "SELECT p.acquired_via, count(*) AS n, round(avg(e.confidence), 6) AS mean FROM edges e JOIN papers p ON p.paper_id = e.to_paper WHERE p.year >= 2000 GROUP BY p.acquired_via HAVING count(*) > 1")
 def _(c):
     from quillmesh.operators.sqlgate import Gate
 
     gate = Gate(c.spark, {"edges": c.edges, "papers": c.papers})
-    return gate.frame("SELECT p.acquired_via, count(*) AS n, avg(e.confidence) AS mean FROM edges e JOIN papers p ON p.paper_id = e.to_paper WHERE p.year >= ? GROUP BY p.acquired_via HAVING count(*) > 1", [2000])
+    return gate.frame("SELECT p.acquired_via, count(*) AS n, round(avg(e.confidence), 6) AS mean FROM edges e JOIN papers p ON p.paper_id = e.to_paper WHERE p.year >= ? GROUP BY p.acquired_via HAVING count(*) > 1", [2000])
