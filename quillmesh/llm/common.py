@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: A word: a run of anything but ASCII white space.
@@ -51,6 +53,22 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in taken])
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def map_arrow(df: DataFrame, run: Callable, schema: Any, most: int = 16 << 20) -> DataFrame:
+    """df.mapInArrow in batches of at most so many bytes.
+
+    A batch is held several times over (by the JVM, the worker's Arrow and its Python objects), in
+    every task of an executor at once; long texts make the default of 64 MB too much.
+    """
+    spark = df.sparkSession
+    bound = (spark.conf.get(BATCH_BYTES, None) or "").rstrip("b")
+    if not bound.isdigit() or int(bound) > most:
+        spark.conf.set(BATCH_BYTES, str(most))
+    return df.mapInArrow(run, schema)
+
+
 _held: list[Any] = [None, None]
 
 
@@ -61,5 +79,7 @@ def remembered(owner: str, make: Callable[[], Any]) -> Any:
     """
     if _held[0] != owner:
         _held[:] = [owner, None]
+        gc.collect()
+        pa.default_memory_pool().release_unused()
         _held[1] = make()
     return _held[1]

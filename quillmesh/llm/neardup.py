@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import cut, remembered
+from quillmesh.llm.common import cut, map_arrow, remembered
 
 BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
@@ -128,7 +128,7 @@ def sign(docs: DataFrame, size: int = 2) -> DataFrame:
                     bands.append(keys)
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(v, f.type) for v, f in zip((counts, digests, bits, bands), list(schema)[1:], strict=True)]], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SIGNED)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, SIGNED)
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -191,7 +191,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
 
     joined = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return map_arrow(joined.select("a", "b", "text_a", "text_b"), run, "a long, b long")
 
 
 def _visit(size: int, percent: int):

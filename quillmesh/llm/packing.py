@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import cut, remembered
+from quillmesh.llm.common import cut, map_arrow, remembered
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -93,16 +93,11 @@ class ChunkEncoder:
         return out
 
 
-def _slices(texts: list[str], chars: int) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about so many characters, so that a step's memory is bounded."""
-    begin = held = 0
-    for i, t in enumerate(texts):
-        held += len(t)
-        if held >= chars:
-            yield begin, i + 1
-            begin, held = i + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
+def _parts(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of about so many bytes, at least a row each, so that a step's memory is bounded."""
+    rows = max(1, int(batch.num_rows * size / max(1, batch.nbytes)))
+    for i in range(0, batch.num_rows, rows):
+        yield batch.slice(i, rows)
 
 
 def pieces(docs: DataFrame, vocabulary: str, window: int = 4096, end_id: int = 2) -> DataFrame:
@@ -112,10 +107,10 @@ def pieces(docs: DataFrame, vocabulary: str, window: int = 4096, end_id: int = 2
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = remembered(f"packing {vocabulary}", lambda: ChunkEncoder(vocabulary))
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in _slices(texts, 4_000_000):
+            for part in _parts(batch, 4_000_000):
                 rows = []
-                for doc_id, buf in zip(ids[a:b], encoder.encode(texts[a:b]), strict=True):
+                encoded = encoder.encode([t or "" for t in part.column(1).to_pylist()])
+                for doc_id, buf in zip(part.column(0).to_pylist(), encoded, strict=True):
                     buf += tail
                     total = len(buf) // 4
                     for start in range(0, total, window):
@@ -123,7 +118,7 @@ def pieces(docs: DataFrame, vocabulary: str, window: int = 4096, end_id: int = 2
                         rows.append((doc_id, start, length, zlib.crc32(buf[4 * start : 4 * (start + length)]), total))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, PIECES)
 
 
 def difference(lengths: list[int], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -203,6 +198,6 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 4096, end_id: int = 2)
             base += int(found.max()) + 1
             yield from block.combine_chunks().to_batches()
 
-    packed = rest.repartition(tasks, F.xxhash64(*names)).mapInArrow(run, PACKED)
+    packed = map_arrow(rest.repartition(tasks, F.xxhash64(*names)), run, PACKED)
     alone = whole.select(*names, (2 * F.monotonically_increasing_id() + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return packed.unionByName(alone)

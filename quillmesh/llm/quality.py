@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import remembered
+from quillmesh.llm.common import map_arrow, remembered
 
 FIT_ROWS, VECTOR_ROWS, VOCABULARY = 6000, 1500, 20_000
 WORD_DIM, MARK_DIM, NONZERO, HIDDEN = 64, 48, 6, 32
@@ -231,7 +231,7 @@ def score(docs: DataFrame, fitted: tuple[list[str], np.ndarray, dict], key: str
             x = np.asarray([pool(t.as_py()) for t in batch.column(1)], np.float32).reshape(batch.num_rows, WORD_DIM + MARK_DIM)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(predict(net, x), pa.float64())], names=[key, "score"])
 
-    return docs.select(F.col(key).cast("long").alias(key), F.col("text").cast("string").alias("text")).mapInArrow(run, f"{key} long, score double")
+    return map_arrow(docs.select(F.col(key).cast("long").alias(key), F.col("text").cast("string").alias("text")), run, f"{key} long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, threshold: float = THRESHOLD) -> DataFrame:
@@ -255,4 +255,4 @@ def accepted(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int =
             x = np.asarray([pool(t.as_py()) for t in batch.column(at)], np.float32).reshape(batch.num_rows, WORD_DIM + MARK_DIM)
             yield batch.filter(pa.array(predict(net, x) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import remembered
+from quillmesh.llm.common import map_arrow, remembered
 
 FIT_ROWS, FIT_CHARS, MADE = 1500, 20_000, 1200
 
@@ -344,7 +344,7 @@ def scan(docs: DataFrame, field: Field | None = None) -> DataFrame:
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def redacted(text: str, field: Field, mark: str = "[SECRET]") -> str:
@@ -370,5 +370,5 @@ def redact(docs: DataFrame, field: Field | None = None) -> DataFrame:
             texts = [None if (t := x.as_py()) is None else redacted(t, field) for x in batch.column(at)]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = map_arrow(docs, run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmesh.llm.common import map_arrow
+
 PACKET, SYNC = 188, 0x47
 PAT_PID, PMT_PID, STREAM_PID = 0x0000, 0x0100, 0x0101
 PROGRAM, PRIVATE_DATA, PRIVATE_STREAM = 1, 0x06, 0xBD
@@ -204,7 +206,7 @@ def store(docs: DataFrame) -> DataFrame:
                 made = [payload_of(t.as_py()) for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for n, _ in made], pa.int64()), pa.array([write(p) for _, p in made], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, STORED)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, STORED)
 
 
 READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, times array<long>, random_access array<int>"
@@ -229,4 +231,4 @@ def features(stored: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) if rows else [[] for _ in kinds]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return stored.mapInArrow(run, READ)
+    return map_arrow(stored, run, READ)
