@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillmesh.functions.text import any_of, hits, hits_sql, quote
+from quillmesh.functions.text import hits, hits_sql, quote
 from quillmesh.sources import enums as E
 
 #: A rule: (kind, what, weight). Both engines' expressions are generated from the same rules.
@@ -41,15 +41,14 @@ def intent_rules() -> dict[str, list[Rule]]:
     return out
 
 
-def _term(rule: Rule) -> Column:
+def _term(rule: Rule, text: Column, title: Column) -> Column:
     kind, what, w = rule
-    text = F.lower(F.coalesce("context", F.lit("")))
     if kind == "section":
         return F.when(F.coalesce("section_type", F.lit("")) == what, w).otherwise(0.0)
     if kind == "words":
         return F.lit(w) * hits(text, what)
     test = {
-        "negation": lambda: F.substring(text, 1, 300).rlike("(?U)" + what), "pattern": lambda: text.rlike("(?U)" + what), "title": lambda: any_of(F.lower(F.coalesce("title", F.lit(""))), what),
+        "negation": lambda: F.substring(text, 1, 300).rlike("(?U)" + what), "pattern": lambda: text.rlike("(?U)" + what), "title": lambda: sum((title.contains(x).cast("int") for x in what), F.lit(0)) > 0,
         "near": lambda: F.greatest(*[F.coalesce(f"near_{a}", F.lit(False)) for a in what], F.lit(False)),
     }[kind]()
     return F.when(test, w).otherwise(0.0)
@@ -77,8 +76,15 @@ def _term_sql(rule: Rule) -> str:
 
 def ranked(rules: dict[str, list[Rule]], default: str, decimals: int) -> Column:
     """array<struct<label, confidence>>: the three best labels of a positive score, each over the sum of all positive ones; ties in the labels' order."""
-    scores = [F.struct((-sum((_term(r) for r in terms), F.lit(0.0))).alias("minus"), F.lit(i).alias("place"), F.lit(label).alias("label")) for i, (label, terms) in enumerate(rules.items())]
-    positive = F.filter(F.array_sort(F.array(*scores)), lambda s: s["minus"] < 0)
+    # The lower-cased text and title are bound once for all rules: higher-order functions don't share subexpressions.
+    lowered = [F.lower(F.coalesce(c, F.lit(""))) for c in (("context", "title") if any(k == "title" for terms in rules.values() for k, *_ in terms) else ("context", "context"))]
+
+    def scores(t: Column) -> Column:
+        found = [F.struct((-sum((_term(r, t["text"], t["title"]) for r in terms), F.lit(0.0))).alias("minus"), F.lit(i).alias("place"), F.lit(label).alias("label")) for i, (label, terms) in enumerate(rules.items())]
+        return F.array(*found)
+
+    bound = F.get(F.transform(F.array(F.struct(lowered[0].alias("text"), lowered[1].alias("title"))), scores), F.lit(0))
+    positive = F.filter(F.array_sort(bound), lambda s: s["minus"] < 0)
 
     def shares(p: Column) -> Column:
         total = F.aggregate(p, F.lit(0.0), lambda a, s: a - s["minus"])
