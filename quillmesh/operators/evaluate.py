@@ -30,7 +30,7 @@ def bootstrap(scores: DataFrame, rounds: int = 10_000, alpha: float = 0.05, seed
     listed = scores.withColumn("place", F.row_number().over(one.orderBy("slug")) - 1).withColumn("n", F.count("*").over(one))
     draws = listed.select("condition", "n", F.col("place").alias("draw"), F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
     draws = draws.withColumn("place", F.pmod(F.xxhash64(F.lit(seed), "condition", "round", "draw"), F.col("n")).cast("int"))
-    means = draws.join(listed.select("condition", "place", "score"), ["condition", "place"]).groupBy("condition", "round").agg(F.avg("score").alias("mean"))
+    means = draws.join(listed.select("condition", "place", "score"), ["condition", "place"]).groupBy("condition", "round").agg(F.round(F.avg("score"), 9).alias("mean"))
     ranked = means.withColumn("at", F.row_number().over(one.orderBy("mean")) - 1)
     low, high = int(rounds * alpha / 2), int(rounds * (1 - alpha / 2))
     return ranked.groupBy("condition").agg(F.max(F.when(F.col("at") == low, F.col("mean"))).alias("low"), F.max(F.when(F.col("at") == high, F.col("mean"))).alias("high"))
