@@ -295,3 +295,38 @@ def test_sinks(spark, tmp_path):
     sinks.write_json(df, f"{tmp_path}/j")
     assert spark.read.json(f"{tmp_path}/j").count() == 2
     assert sinks.manifest({"t": df}).first().manifest == '{"t":2}'
+
+
+def test_graph_shortest_uses_every_arc(spark, sf):
+    """The registered query against brute force over citations, definitions and usage."""
+    from quillmesh.plans import catalogue
+    from quillmesh.sources.corpus import Corpus
+
+    c, arcs = Corpus(spark, sf), {}
+
+    def add(a, b, w):
+        for x, y in ((a, b), (b, a)):
+            arcs.setdefault(x, {})[y] = min(w, arcs.get(x, {}).get(y, w))
+
+    for r in c.edges.select("from_paper", "to_paper", "confidence").collect():
+        add(r.from_paper, r.to_paper, 1 / max(0.1, r.confidence or 0.5))
+    for r in c.atoms.select("atom_id", "defined_by").collect():
+        add(r.atom_id, r.defined_by, 0.5)
+    for r in c.usage.collect():
+        add(r.atom_id, r.paper_id, 0.8)
+    found = []
+
+    def walk(path, weight):
+        if path[-1] == "d:9":
+            found.append((round(weight, 6), ">".join(path), len(path) - 1))
+        elif len(path) == 4:  # the last hop can only be to the goal
+            if "d:9" in arcs[path[-1]]:
+                walk([*path, "d:9"], weight + arcs[path[-1]]["d:9"])
+        else:
+            for y, w in arcs[path[-1]].items():
+                if y not in path:
+                    walk([*path, y], weight + w)
+
+    walk(["d:5"], 0.0)
+    want = [(path, hops, weight) for weight, path, hops in sorted(found)[:3]]
+    assert [tuple(r) for r in catalogue.queries()["graph_shortest"](spark, sf).collect()] == want
