@@ -7,8 +7,8 @@ its words in repeated windows.
 Method: each document's shares are transformed to a vector of four (log of mean word length; square
 roots of symbols per character, of repeated lines per line, of repeated words per word). Per
 language and source the centre and covariance are estimated by minimum covariance determinant:
-from medians and median deviations, concentration steps take the three quarters of the group that
-lie nearest and estimate both anew. Distances are scaled so that a group's median is the chi-square
+from medians and median deviations, concentration steps take the half of the group that
+lies nearest and estimate both anew. Distances are scaled so that a group's median is the chi-square
 median, and a document is rejected beyond ``CUTOFF``. Groups of fewer than ``LEAST_GROUP`` rows
 borrow their language's estimate, and those of rare languages that of all rows. Quantiles come from
 counts per bucket, so they are the same in every run, and no group is ever collected.
@@ -33,7 +33,7 @@ from quillmesh.llm.common import WORD, cut
 
 LEAST_WORDS = 50
 LEAST_GROUP = 100
-SHARE = 0.75
+SHARE = 0.5
 STEPS = 3
 #: Squared distance beyond which a document is an outlier; the median of chi-square with 4 degrees of freedom.
 CUTOFF, CHI_MEDIAN = 80.0, 3.3567

@@ -67,3 +67,12 @@ def test_estimate_is_robust(spark):
     z = np.linalg.solve(lower, (x - [m[f"m{i}"] for i in range(4)]).T)
     assert np.allclose(np.sort(far), np.sort((z * z).sum(axis=0) / m["scale"]), rtol=1e-6)
     assert (far[far > 50].size, far[far < 40].size) == (200, 800)
+
+
+def test_a_third_of_a_group_is_junk(spark):
+    """More than a quarter of a group lies far off, spread like bad documents; all of it is beyond the cutoff, and none of the rest."""
+    rng = np.random.default_rng(6)
+    x = np.vstack([rng.normal(0, [0.05, 0.02, 0.1, 0.1], (600, 4)), rng.normal(1, [0.05, 0.02, 0.1, 0.1], (300, 4))])
+    df = spark.createDataFrame([("g", i, *map(float, r)) for i, r in enumerate(x)], "g string, i int, x0 double, x1 double, x2 double, x3 double")
+    far = rules.distances(df.join(rules.estimate(df.drop("i")), "g")).filter(F.col("d2") / F.col("scale") > rules.CUTOFF)
+    assert sorted(r.i for r in far.collect()) == list(range(600, 900))
