@@ -3,14 +3,16 @@
 Base patterns (assign, access, hex) are found as regular expressions say. The field tags tokens
 B (a secret begins), I (inside) and O. Its emissions see the token's shape (length, classes of
 characters, their changes and variety), the neighbouring words and the file (share of digits, of
-assignments, length). Only tokens that could be part of a secret may be B or I: a run of secret
-characters of 8 or more with a digit, or what is glued to one. All other tokens are O for certain,
-so the chain falls apart into short segments around such tokens, and Viterbi over a segment with O
-on both sides gives exactly the path over the whole text, at the cost of the segments alone.
-
-Training (bounded): ``FIT_ROWS`` texts, the first by hash among those with a digit and no more than
-``FIT_CHARS`` characters, tagged by the base patterns, plus ``MADE`` seeded sentences with invented
-secrets of common formats and with look-alikes that aren't secrets. The log-likelihood's gradient
+assignments, length). Tokens that may be B or I: a run of secret characters of 8 or more with a
+digit or with capitals after small letters, what is glued to one, and every token of the ``AFTER``
+chunks behind and ``BEFORE`` ahead of a lead word (password, secret, token, key, bearer, credentials
+and the like) or in its own. All other tokens are O. Chunks end at white space, and so do secrets: a
+chunk with such tokens is a segment with O on both sides, and Viterbi over it is exact.
+
+Training (bounded): ``FIT_ROWS`` texts, the first by hash among those with a digit, a capital after
+a small letter or a lead word and no more than ``FIT_CHARS`` characters, tagged by the base patterns,
+plus ``MADE`` seeded sentences with invented secrets, of common formats, of letters alone, short ones
+and ones broken by symbols, and with look-alikes that aren't secrets. The log-likelihood's gradient
 comes from forward-backward over all segments at once (numpy, Adam, seeded).
 
 Spans are kind:start:end in code points, end exclusive, by start, then kind (assign, access, hex,
@@ -49,6 +51,13 @@ KINDS = ("assign", "access", "hex", "crf")
 
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")  # HEX's maximal runs that are long enough
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{8,}")
+_MIXED = re.compile(r"[a-z][A-Z]")
+_LEAD = re.compile(r"(?:pass(?:word|wd|phrase|code)|pwd|secret|token|credential|bearer|(?<![a-z])(?:api|access|auth|private|secret)?key)s?(?![a-z])", re.IGNORECASE | re.ASCII)
+_LEADS = ("pass", "pwd", "secret", "token", "credential", "bearer", "key")
+_CHUNK = re.compile(r"\S+")
+#: Chunks behind and ahead of a lead word whose tokens the field judges.
+AFTER, BEFORE = 5, 3
+_RUN = re.compile(r"[A-Za-z0-9+/_=-]{8,}")
 _TOKEN = re.compile(r"[A-Za-z0-9+/_=-]+|[^\sA-Za-z0-9+/_=-]")
 _DIGIT = re.compile(r"[0-9]")
 _SPACE = re.compile(r"\s")
@@ -75,34 +84,81 @@ def shown(spans: Iterable[tuple[int, int, int]]) -> str:
 class Segment:
     """Neighbouring tokens of which some could be secret: spans, words around, and who may be B or I."""
 
-    __slots__ = ("spans", "tokens", "free", "before", "after")
+    __slots__ = ("spans", "tokens", "free", "before", "after", "lead")
 
-    def __init__(self, spans, tokens, free, before, after):
-        self.spans, self.tokens, self.free, self.before, self.after = spans, tokens, free, before, after
+    def __init__(self, spans, tokens, free, before, after, lead):
+        self.spans, self.tokens, self.free, self.before, self.after, self.lead = spans, tokens, free, before, after, lead
 
 
-def segments(text: str) -> list[Segment]:
-    """Around each candidate: the run of characters without white space that holds it, as tokens."""
-    out: list[Segment] = []
-    if not _DIGIT.search(text):
+def led(text: str) -> dict[tuple[int, int], int]:
+    """Chunks near lead words, and their places from the nearest: 0 its own, 1 the next, -1 that before."""
+    lower = text.lower()
+    out: dict[tuple[int, int], int] = {}
+    if not any(w in lower for w in _LEADS):
         return out
+    for m in _LEAD.finditer(text):
+        a = m.start()
+        while a and not text[a - 1].isspace():
+            a -= 1
+        near, at = [], a
+        for _ in range(BEFORE):
+            while at and text[at - 1].isspace():
+                at -= 1
+            end = at
+            while at and not text[at - 1].isspace():
+                at -= 1
+            if at < end:
+                near.append((at, end))
+        places = [(span, -i) for i, span in enumerate(near, 1)]
+        at = a
+        for i in range(AFTER + 1):
+            if not (c := _CHUNK.search(text, at)):
+                break
+            places.append((c.span(), i))
+            at = c.end()
+        for span, i in places:
+            # What follows a lead word is nearer to it than what goes before one.
+            if span not in out or (abs(i), i < 0) < (abs(out[span]), out[span] < 0):
+                out[span] = i
+    return out
+
+
+def _strong(token: str) -> bool:
+    return len(token) >= 8 and bool(_DIGIT.search(token) or _MIXED.search(token))
+
+
+def segments(text: str) -> list[Segment]:
+    """Each chunk (a run of characters without white space) that holds a candidate or is near a lead word, as tokens."""
+    chunks: dict[tuple[int, int], int | None] = dict(led(text))
+    starts = [m.start() for m in _CANDIDATE.finditer(text)] if _DIGIT.search(text) else []
+    at = 0
+    while m := _MIXED.search(text, at):
+        # The run of secret characters around the change of case.
+        a = m.start()
+        while a > at and _PART.match(text[a - 1]):
+            a -= 1
+        if run := _RUN.match(text, a):
+            starts.append(a)
+        at = max(m.end(), run.end() if run else 0)
     end = 0
-    for m in _CANDIDATE.finditer(text):
-        if m.start() < end:
+    for start in sorted(starts):
+        if start < end:
             continue
-        a = m.start()
+        a = start
         while a > end and not text[a - 1].isspace():
             a -= 1
-        space = _SPACE.search(text, m.end())
-        b = space.start() if space else len(text)
+        space = _SPACE.search(text, start)
+        end = space.start() if space else len(text)
+        chunks.setdefault((a, end), None)
+    out: list[Segment] = []
+    for (a, b), lead in sorted(chunks.items(), key=lambda x: x[0]):
         found = [(t.start() + a, t.end() + a) for t in _TOKEN.finditer(text[a:b])]
         tokens = [text[x:y] for x, y in found]
-        strong = [len(t) >= 8 and bool(_DIGIT.search(t)) for t in tokens]
-        free = [s or (bool(_PART.match(t)) or t == ".") and any(strong[max(0, i - 2) : i + 3]) for i, (s, t) in enumerate(zip(strong, tokens, strict=True))]
+        strong = [_strong(t) for t in tokens]
+        free = [lead is not None or s or (bool(_PART.match(t)) or t == ".") and any(strong[max(0, i - 2) : i + 3]) for i, (s, t) in enumerate(zip(strong, tokens, strict=True))]
         before = _TOKEN.findall(text[max(0, a - 60) : a])[-3:]
         after = _TOKEN.findall(text[b : b + 30])[:1]
-        out.append(Segment(found, tokens, free, before, after))
-        end = b
+        out.append(Segment(found, tokens, free, before, after, lead))
     return out
 
 
@@ -136,6 +192,14 @@ def token_features(segment: Segment, i: int, of_file: list[str]) -> list[str]:
     out.append(f"previous {words[-1][:12]}" if words else "first")
     nxt = segment.tokens[i + 1] if i + 1 < len(segment.tokens) else None
     out.append(f"next {nxt if nxt and len(nxt) == 1 else 'word' if nxt else 'end'}")
+    if segment.lead is not None:
+        # Far from common words, a chunk of few characters shows by its kinds, and one of letters by their order.
+        whole = "".join(segment.tokens).strip("\"'`.,;:()[]<>")
+        shape = "".join(sorted({"d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else "s" for c in whole}))
+        inner = bool(_MIXED.search(whole))
+        harsh = max((len(x) for x in re.split("[aeiouyAEIOUY]", t)), default=0) if t.isalpha() else 0
+        where = "own" if segment.lead == 0 else "before" if segment.lead < 0 else "after"
+        out += [f"lead {segment.lead}", f"{where} {shape} {inner}", f"{where} {shape} {_bucket(len(whole), 4, 6, 8, 12, 16, 20)}", f"{where} harsh {_bucket(harsh, 4, 5, 6, 8)}", f"{where} {kinds} long {_bucket(n, 10, 14, 18)}", f"word {t.lower()[:12]}"]
     return out + of_file
 
 
@@ -202,7 +266,7 @@ def value_spans(text: str) -> list[tuple[int, int]]:
     """What the base patterns find, without the key's name."""
     out = []
     for m in ASSIGN.finditer(text):
-        if m.end(2) - m.start(2) >= 12 and _DIGIT.search(m[2]):
+        if m.end(2) - m.start(2) >= ASSIGN_LEAST:
             out.append((m.start(2), m.end(2)))
     for a, k, b in base_spans(text):
         if k and not any(x <= a and b <= y for x, y in out):
@@ -216,12 +280,19 @@ def invented(count: int, seed: int = 11) -> list[tuple[str, list[tuple[int, int]
     pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
     letters, digits = string.ascii_letters, string.digits
     plain = ["the", "value", "was", "set", "in", "config", "we", "use", "for", "with", "la", "de", "und", "que", "file", "and", "then", "returns", "line"]
+    usual = "is are was not been has will can should must may it this that your our my their server user account required reset expired invalid missing stored changed field table value name number sequence model training count length vocabulary special required before after during first last next each every important question issue point idea finding paper result method encoder attention expression authentication documentation characteristics and or from into about between without".split()
+    names = "hunter dragon monkey shadow summer winter welcome password secret letme admin qwerty sunshine princess football baseball master orange banana rocket tiger".split()
+    camel = ["JavaScript", "getElementById", "PowerPoint", "MacDonald", "toString", "isEmptyList", "userAccountName", "PostgreSQL", "LaTeXdocument", "YouTubeChannel", "OpenStreetMap", "maxTokenCount", "WordPress", "hasNextElement", "DataFrame"]
+    leet = lambda w: "".join({"a": "@", "o": "0", "e": "3", "i": "1", "s": "$"}.get(c, c) if rng.random() < 0.6 else c for c in w.capitalize())
     secret = [
         lambda: "ghp_" + pick(letters + digits, 36), lambda: "sk_live_" + pick(letters + digits, 24), lambda: "xoxb-" + pick(digits, 11) + "-" + pick(letters + digits, 24),
         lambda: pick("0123456789abcdef", rng.choice([32, 40, 64])), lambda: "AKIA" + pick(string.ascii_uppercase + digits, 16), lambda: pick(letters + digits + "+/", 40) + "=",
-        lambda: "eyJ" + pick(letters + digits, 20) + "." + pick(letters + digits, 30) + "." + pick(letters + digits + "_-", 40), lambda: "AIza" + pick(letters + digits + "_-", 35), lambda: pick(letters + digits, rng.randint(16, 48)) + "7x",
+        lambda: "eyJ" + pick(letters + digits, 20) + "." + pick(letters + digits, 30) + "." + pick(letters + digits + "_-", 40), lambda: "AIza" + pick(letters + digits + "_-", 35), lambda: pick(letters + digits, rng.randint(10, 48)),
+        lambda: pick(letters, rng.randint(10, 40)), lambda: pick(string.ascii_lowercase, rng.randint(14, 32)), lambda: rng.choice(names) + pick(digits, rng.randint(1, 4)), lambda: leet(rng.choice(names)) + rng.choice(["!", "!!", "#1", "$", "?", "@9", "*"]),
+        lambda: rng.choice(usual + names) + pick(digits, rng.randint(1, 4)), lambda: pick(string.ascii_lowercase, rng.randint(3, 7)) + pick(digits, rng.randint(1, 4)), lambda: pick(string.ascii_lowercase + digits, rng.randint(5, 9)) + pick(digits, 1),
+        lambda: pick(letters + digits + "!@#$%^&*", rng.randint(6, 16)) + rng.choice("!@#$%^&*") + pick(letters + digits, rng.randint(1, 6)),
     ]
-    lead = ["password is", "token", "secret", "api key", "Authorization: Bearer", "client_secret =", "key:", "credentials", "export TOKEN=", "passwd:", "access key", "pwd"]
+    lead = ["password is", "token", "secret", "api key", "Authorization: Bearer", "client_secret =", "key:", "credentials", "export TOKEN=", "passwd:", "access key", "pwd", "password:", "the password for the server is", "bearer", "secret key is", "passphrase", "token is", "credentials:", "API key:"]
     other = [
         lambda: pick(digits, rng.choice([8, 10, 13, 16])), lambda: f"20{pick(digits, 2)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}", lambda: f"({pick(digits, 3)}) {pick(digits, 3)}-{pick(digits, 4)}",
         lambda: f"{pick(digits, 3)}-{pick(digits, 2)}-{pick(digits, 4)}", lambda: f"user.{pick(digits, 2)}@mail{rng.randint(1, 9)}.example.com", lambda: f"https://example.com/page/{pick(digits, 5)}/index.html",
@@ -238,10 +309,14 @@ def invented(count: int, seed: int = 11) -> list[tuple[str, list[tuple[int, int]
                 quote = rng.choice(["", '"', "'"])
                 spans.append((at_word + len(quote), at_word + len(quote) + len(value)))
                 w += quote + value + quote
-            elif kind < 0.4:
+            elif kind < 0.22:
+                w = rng.choice(["password", "token", "secret", "key", "credentials", "bearer", "tokens", "the key", "passwords"]) + " " + " ".join(rng.choice(usual) for _ in range(rng.randint(1, 5)))
+            elif kind < 0.28:
+                w = rng.choice([rng.choice(camel), rng.choice(usual).capitalize(), rng.choice(usual) + rng.choice(".,;:"), str(rng.randint(1, 999))])
+            elif kind < 0.45:
                 w = rng.choice(other)() + rng.choice(["", ".", ",", "###"])
             else:
-                w = rng.choice(plain)
+                w = rng.choice(rng.choice([plain, usual]))
             words.append(w)
             at += len(w) + 1
         out.append((" ".join(words), spans))
@@ -315,7 +390,7 @@ def train(tagged: list[tuple[str, list[tuple[int, int]]]], steps: int = 80) -> F
 
 def fit(docs: DataFrame) -> Field:
     """A field trained on a bounded sample of docs, and on invented sentences."""
-    usable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("text").rlike("[0-9]") & (F.length("text") <= FIT_CHARS) & F.col("doc_id").isNotNull())
+    usable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("text").rlike(f"[0-9]|{_MIXED.pattern}|(?i){_LEAD.pattern}") & (F.length("text") <= FIT_CHARS) & F.col("doc_id").isNotNull())
     ids = [r.doc_id for r in usable.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).collect()]
     texts = sorted({(r.doc_id, r.text) for r in usable.filter(F.col("doc_id").isin(ids)).dropDuplicates(["doc_id"]).collect()}) if ids else []
     return train([(t, value_spans(t)) for _, t in texts] + invented(MADE))
