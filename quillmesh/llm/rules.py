@@ -10,7 +10,7 @@ language and source the centre and covariance are estimated by minimum covarianc
 from medians and median deviations, concentration steps take the half of the group that
 lies nearest and estimate both anew. Distances are scaled so that a group's median is the chi-square
 median, and a document is rejected beyond ``CUTOFF``. Groups of fewer than ``LEAST_GROUP`` rows
-borrow their language's estimate, and those of rare languages that of all rows. Quantiles come from
+that pass the base rules borrow their language's estimate, and those of rare languages that of all rows. Quantiles come from
 counts per bucket, so they are the same in every run, and no group is ever collected.
 
 All of it is DataFrame operations: counts are higher-order functions inside a row, estimates are
@@ -91,8 +91,8 @@ def vectors(counted: DataFrame) -> DataFrame:
 
 
 def _groups(rows: DataFrame) -> DataFrame:
-    """lang, source -> group: the pair's own, else the language's, else that of all."""
-    pairs = rows.groupBy("lang", "source").agg(F.count("*").alias("n"))
+    """lang, source -> group: the pair's own, else the language's, else that of all; rows that fail the base rules have a group but don't count."""
+    pairs = rows.groupBy("lang", "source").agg(F.count(F.when(~base_failed(), 1)).alias("n"))
     by_lang = Window.partitionBy("lang")
     lang = F.coalesce(F.concat(F.lit("l:"), "lang"), F.lit("null"))
     pair = F.concat(lang, F.lit("\u0000"), F.coalesce(F.concat(F.lit("s:"), "source"), F.lit("null")))

@@ -76,3 +76,15 @@ def test_a_third_of_a_group_is_junk(spark):
     df = spark.createDataFrame([("g", i, *map(float, r)) for i, r in enumerate(x)], "g string, i int, x0 double, x1 double, x2 double, x3 double")
     far = rules.distances(df.join(rules.estimate(df.drop("i")), "g")).filter(F.col("d2") / F.col("scale") > rules.CUTOFF)
     assert sorted(r.i for r in far.collect()) == list(range(600, 900))
+
+
+def test_rows_that_fail_base_rules_do_not_make_a_group(spark):
+    """A source of 150 rows of which 5 pass, all alike, is judged by its language's other documents."""
+    rng = random.Random(4)
+    words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 7))) for _ in range(n)]
+    good = [(i, " ".join(words(80)), "en", "good") for i in range(200)]
+    junk = [(1000 + i, " ".join(w + "###" for w in words(80)), "en", "junk") for i in range(5)]
+    short = [(2000 + i, "too short", "en", "junk") for i in range(145)]
+    rows = rules.judge(spark.createDataFrame(good + junk + short, "doc_id long, text string, lang string, source string")).collect()
+    assert sorted(r.doc_id for r in rows if r.kept) == list(range(200))
+    assert len(rows) == 350 and sum(r.distance is not None for r in rows) == 350
