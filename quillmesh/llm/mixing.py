@@ -12,8 +12,10 @@ words come nearest to fraction * size: the expected fraction, corrected for thes
 
 Edge cases. Null text: size 0. Null source: a source of its own, last in order. Null doc_id: all
 such rows share one hash. A source without words: target 0, rate 0. Repeated rows: counted and
-drawn each, alike. Ties in the order: by weight, then source. Empty table: no rows. Columns that
-the operator adds replace columns of the same name.
+drawn each, alike. Ties in the order: by weight, then source; of two thresholds equally near, the
+lower. Very long texts: counted whole; one that is most of its source is taken or not, so the source
+misses its target by up to half of that text. Empty table: no rows. Other columns, whatever their
+names, are neither read nor changed.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import WORD, cut, without
+from quillmesh.llm.common import WORD, cut
 
 #: The weights, repeating over the sources in order; the largest repetition.
 WEIGHTS = (5, 2, 1)
@@ -74,19 +76,24 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) ->
     return best.select("source", "source_size", "target", "copies", below.alias("below"))
 
 
+def _weighed(docs: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
+    """row (all columns of docs), mix (size, source_size, target, copies). Two columns: nothing can clash with docs' own."""
+    per = cut(plan(docs, weights, cap)).select(F.col("source").alias("mix_source"), F.struct("source_size", "target", "copies", "below").alias("per"))
+    sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), words(F.col("text")).alias("size"), F.col("source").cast("string").alias("by"), draw(F.col("doc_id")).alias("draw"))
+    joined = sized.join(per, F.col("by").eqNullSafe(F.col("mix_source")), "left")
+    copies = F.least(F.col("per.copies") + (F.col("draw") < F.col("per.below")).cast("long"), F.lit(cap).cast("long"))
+    return joined.select("row", F.struct("size", F.col("per.source_size").alias("source_size"), F.col("per.target").alias("target"), copies.alias("copies")).alias("mix"))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """docs with size, source_size, target and copies (times that the document is in the mix)."""
-    per = cut(plan(docs, weights, cap)).withColumnRenamed("source", "mix_source").withColumnRenamed("copies", "mix_whole")
-    docs = without(docs, "size", "source_size", "target", "copies", "mix_source", "mix_whole", "below")
-    sized = docs.withColumn("size", words(F.col("text")))
-    joined = sized.join(per, F.col("source").cast("string").eqNullSafe(F.col("mix_source")), "left")
-    copies = F.least(F.col("mix_whole") + (draw(F.col("doc_id")) < F.col("below")).cast("long"), F.lit(cap).cast("long"))
-    return joined.withColumn("copies", copies).drop("mix_source", "mix_whole", "below")
-
-
-def emit(mixed: DataFrame) -> DataFrame:
-    """Every document as often as the mix has it."""
-    return mixed.filter(F.col("copies") > 0).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copy")
+    """doc_id, size, source_size, target and copies (times that the document is in the mix) for every row of docs."""
+    return _weighed(docs, weights, cap).select("row.doc_id", "mix.*")
+
+
+def emit(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+    """Every row of docs, all its columns untouched, as often as the mix takes it."""
+    taken = _weighed(docs, weights, cap).filter(F.col("mix.copies") > 0)
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix.copies"))).alias("copy")).select("row.*")
 
 
 MIX_SQL = r"""

@@ -1,16 +1,18 @@
 """Packing documents into fixed windows by Karmarkar-Karp multiway differencing.
 
 1. Every text is tokenised once. A document of more than one window gives whole windows and a rest.
-2. Whole windows are sequences of their own. Rests go by hash into blocks of about ``BLOCK`` items.
-3. In a block of T tokens, differencing starts with k = ceil(T / window) windows: each item is a
+2. Whole windows are sequences of their own. Rests go by a hash of their row's number into blocks of
+   about ``BLOCK`` items or ``BLOCK_WINDOWS`` windows, whichever is more, so short texts waste no more.
+3. In a block of T tokens, differencing starts with k = ceil(T / window) windows (more if more items exceed half a window): each item is a
    partial partition; the two of the largest spread are merged, largest bins onto smallest, until
    one is left. While its fullest window exceeds the capacity, k rises and the block is redone.
 
 Only lengths and checksums leave the tokenising pass, so the shuffle carries some 40 bytes an item.
 
 Edge cases. Null or empty text: one piece that holds just the end id. Null doc_id: kept as null.
-Repeated rows: packed each for itself. Very long text: cut at whole windows. Empty table: no rows.
-Columns other than doc_id and text are ignored.
+Repeated rows, a mass of them too: packed each for itself, spread like others. Equal lengths: by
+checksum and id; equal spreads: the partial partition made first. Very long text: cut at whole
+windows. Empty table: no rows. Columns other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +34,8 @@ from quillmesh.llm.common import cut, map_arrow, remembered
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long"
-#: Items differenced together; items a task takes.
-BLOCK, TASK_ITEMS = 1024, 16_384
+#: Items and windows differenced together at least; items a task takes, if that makes a block's windows.
+BLOCK, BLOCK_WINDOWS, TASK_ITEMS = 1024, 64, 16_384
 #: Chunks whose ids a worker remembers, and the longest of them.
 REMEMBER, LONGEST = 800_000, 40
 
@@ -158,19 +161,21 @@ def difference(lengths: list[int], k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def pack_block(lengths: list[int], window: int) -> np.ndarray:
     """The window of each item; no window exceeds the capacity."""
-    k = max(1, math.ceil(sum(lengths) / window))
+    # No fewer than the tokens fill, nor than there are items of more than half a window: no two of these fit together.
+    k = max(1, math.ceil(sum(lengths) / window), sum(2 * n > window for n in lengths))
     while True:
         found, sums = difference(lengths, k)
         if sums.max() <= window:
             return found
-        k = max(k + 1, math.ceil(k * float(sums.max()) / window) if k > 64 else 0)
+        k += max(1, math.ceil((sums.max() - window) * k / (2 * window)))
 
 
 def pack(docs: DataFrame, vocabulary: str, window: int = 4096, end_id: int = 2) -> DataFrame:
     """Pieces with their sequence and their place in it; see the module's head."""
-    made = cut(pieces(docs, vocabulary, window, end_id))
+    made = cut(pieces(docs, vocabulary, window, end_id).withColumn("row", F.monotonically_increasing_id()))
     whole, rest = made.filter(F.col("length") == window), made.filter(F.col("length") < window)
-    tasks = max(1, math.ceil(rest.count() / TASK_ITEMS))
+    size = rest.agg(F.count("*").alias("items"), F.coalesce(F.sum("length"), F.lit(0)).alias("tokens")).first()
+    tasks = max(1, min(math.ceil(size.items / TASK_ITEMS), size.tokens // (BLOCK_WINDOWS * window)))
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +187,8 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 4096, end_id: int = 2)
         items = pa.Table.from_batches(held).select(names)
         items = items.sort_by([("ids_crc32", "ascending"), *((n, "ascending") for n in ("doc_id", "start", "length", "doc_tokens"))])
         base = TaskContext.get().partitionId() << 32
-        blocks = max(1, round(items.num_rows / BLOCK))
+        tokens = pc.sum(items.column("length")).as_py()
+        blocks = max(1, min(round(items.num_rows / BLOCK), tokens // (BLOCK_WINDOWS * window)))
         edges = [items.num_rows * i // blocks for i in range(blocks + 1)]
         for a, b in zip(edges, edges[1:], strict=False):
             block = items.slice(a, b - a)
@@ -198,6 +204,6 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 4096, end_id: int = 2)
             base += int(found.max()) + 1
             yield from block.combine_chunks().to_batches()
 
-    packed = map_arrow(rest.repartition(tasks, F.xxhash64(*names)), run, PACKED)
+    packed = map_arrow(rest.repartition(tasks, F.xxhash64("row")), run, PACKED)
     alone = whole.select(*names, (2 * F.monotonically_increasing_id() + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return packed.unionByName(alone)

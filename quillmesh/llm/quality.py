@@ -245,7 +245,7 @@ def accepted(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int =
     """The rows of docs that aren't rejected, with all their columns."""
     vocabulary, vectors, model = fit(docs, labels, folds, held_out)
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, vectors, model))
-    at = docs.columns.index("text")
+    at = place(docs, "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, points, net = shared.value

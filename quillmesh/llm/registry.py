@@ -57,7 +57,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transport.features(transport.store(table(spark, sf_dir, "documents"))).drop("times", "random_access")
+    return transport.features(transport.store(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

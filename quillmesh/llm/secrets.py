@@ -437,7 +437,7 @@ def redacted(text: str, field: Field, mark: str = "[SECRET]") -> str:
 def redact(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """docs with secrets replaced in text (and n_chars, if there, counted anew); all other columns stay."""
     field = field or fit(docs)
-    at = docs.columns.index("text")
+    at = place(docs, "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         remembered("secrets", dict)

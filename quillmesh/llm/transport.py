@@ -11,10 +11,10 @@ Reading starts from the bytes alone: it checks sync bytes and continuity counter
 to find the elementary stream, reassembles its packets and returns payload, times and the units at
 which one can start.
 
-Edge cases. Null or empty text: 64 zero bytes. Any text: UTF-8 and zero bytes up to a positive
-multiple of 64. A stream with a broken counter, checksum, sync byte or length: ValueError. Null
+Edge cases. Null or empty text: 64 zero bytes. Any text, however long: UTF-8 whole and zero bytes up
+to a positive multiple of 64, in time linear in its length; times wrap at 33 bits. A stream with a broken counter, checksum, sync byte or length: ValueError. Null
 doc_id: kept as null. Repeated rows and equal texts: equal values. Empty table: no rows. Columns
-other than doc_id and text are ignored.
+other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations

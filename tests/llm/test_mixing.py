@@ -54,10 +54,28 @@ def test_edge_cases_and_emission(spark):
     rows = mixed.collect()
     assert len(rows) == 6
     assert {(r.doc_id, r["size"]) for r in rows} == {(1, 2), (2, 0), (None, 1), (3, 0), (4, 2)}
-    assert mixing.emit(mixed).count() == mixed.agg(F.sum("copies")).first()[0]
+    assert mixing.emit(docs).count() == mixed.agg(F.sum("copies")).first()[0]
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
 def test_draw_is_the_digest(spark):
     row = spark.range(5).select("id", mixing.draw(F.col("id")).alias("d")).collect()
     assert all(r.d == int(hashlib.md5(str(r.id).encode()).hexdigest()[:3], 16) for r in row)
+
+
+def test_clashing_columns_come_back_untouched(spark):
+    names = ["copy", "below", "size", "target", "source_size", "mix_source", "copies", "row", "mix", "per", "by", "draw", "a.b"]
+    docs = spark.createDataFrame([(i, "w " * i, "xyz"[i % 3], *[f"{n}{i}" for n in names]) for i in range(30)], ["doc_id", "Text", "source", *names])
+    times = {r.doc_id: r.copies for r in mixing.mix(docs).collect()}
+    out = mixing.emit(docs)
+    assert out.columns == docs.columns
+    want = sorted(tuple(r) for r in docs.collect() for _ in range(times[r.doc_id]))
+    assert sorted(map(tuple, out.collect())) == want and want
+    assert mixing.mix(docs).columns == ["doc_id", "size", "source_size", "target", "copies"]
+
+
+def test_ties_and_a_source_of_one_long_text(spark):
+    docs = spark.createDataFrame([(i, "a b", "s") for i in range(8)] + [(9, "w " * 300_000, "long"), (10, "w", None)], "doc_id long, text string, source string")
+    rows = mixing.mix(docs).collect()
+    assert sorted(rows) == sorted(mixing.mix(docs).collect())
+    assert all(r.copies <= 3 for r in rows) and {r["size"] for r in rows} == {1, 2, 300_000}

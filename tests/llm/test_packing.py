@@ -77,3 +77,22 @@ def test_differencing_beats_the_textbook_greedy_example():
 def test_capacity_raises_the_window_count():
     found = packing.pack_block([3000, 3000, 3000, 900, 900], 4096)
     assert np.bincount(found, [3000, 3000, 3000, 900, 900]).max() <= 4096
+
+
+def test_a_mass_of_repeated_rows_is_spread(spark):
+    docs = spark.range(40_000).selectExpr("1L as doc_id", "'a b c d e f g h i j k l m n o p q r s t u v w x y z' as text")
+    one = len(ids_of("a b c d e f g h i j k l m n o p q r s t u v w x y z"))
+    packed = packing.pack(docs, registry.vocabulary())
+    assert packed.rdd.getNumPartitions() > 3
+    bins = defaultdict(int)
+    for r in packed.collect():
+        bins[r.sequence_id] += r.length
+    assert sum(bins.values()) == one * 40_000 and max(bins.values()) <= 4096
+    # Short texts: blocks of 64 windows leave at most one of them, and what no further text fits into, empty.
+    assert len(bins) <= 1.04 * one * 40_000 / 4096 + 1
+
+
+def test_many_windows_by_the_same_steps():
+    lengths = [2100] * 300
+    found = packing.pack_block(lengths, 4096)
+    assert np.bincount(found, lengths).max() <= 4096
