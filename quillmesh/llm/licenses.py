@@ -4,12 +4,14 @@ A text is made canonical: A-Z lower-cased, copyright lines dropped, ASCII punctu
 quotes and dashes turned to blanks, blanks collapsed, equivalent spellings unified. The SHA-256 of
 the canonical text is hash-joined to the digests of known licences, made canonical the same way. The
 units that are looked up entire are each whole text and each of its lines (for one-line notices).
-The table of known digests is a fixed list, so it is broadcast; hits alone are shuffled.
-
-Edge cases. Null or empty text, or one of punctuation only: no digest, no licence. Null doc_id: its
-whole text is looked up, its lines are not reported (there is no id to gather them by). Repeated rows:
-alike. A notice that occurs twice in a document counts once a place. Very long texts: whole. Empty
-table: no rows. Columns other than doc_id and text are ignored.
+The table of known digests is a fixed list: broadcast for the texts, a literal set for their lines.
+Each row is made canonical once and gets its own answer; nothing is shuffled.
+
+Edge cases. Null or empty text, or one of punctuation only: no digest, no licence. Null doc_id: kept
+as null, looked up like others. Repeated rows: alike; rows of one id and different texts: each its own
+answer. A notice that occurs twice in a document counts once a place; licences of equal digest
+can't be, names are listed once, in order. Very long texts: whole. Empty table: no rows. Columns other than
+doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.texts import KNOWN
+from quillmesh.llm.texts import DIGESTS, KNOWN
 
 # What canonical form drops and unifies, in this order. They read alike in Java, RE2 and Python.
 COPYRIGHT = r"(^|\n)[^\na-z0-9]*(copyright *(\(c\)|©|[0-9]{4}|<year>|\[year\]|\[yyyy\])|\(c\) *[0-9]{4}|©)[^\n]*"
@@ -32,60 +34,72 @@ SPELLINGS = (
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def canonical(text: str) -> str:
-    """The canonical form, lines kept; for known texts and tests."""
-    text = text.translate(str.maketrans(UPPER, LOWER))
-    text = re.sub(BLANKS, " ", re.sub(COPYRIGHT, r"\1", text))
+def plain(text: str) -> str:
+    """Cased down, without copyright lines and punctuation; lines kept."""
+    return re.sub(BLANKS, " ", re.sub(COPYRIGHT, r"\1", text.translate(str.maketrans(UPPER, LOWER))))
+
+
+def spelt(text: str) -> str:
     for a, b in SPELLINGS:
         text = text.replace(a, b)
-    return text
+    return re.sub(" +", " ", text).strip(" ")
 
 
 def whole(text: str) -> str:
-    return re.sub("[ \n]+", " ", canonical(text)).strip(" ")
+    """The canonical form of an entire text, however it is broken into lines; for known texts and tests."""
+    return spelt(re.sub("[ \n]+", " ", plain(text)))
 
 
 def known() -> list[tuple[str, str]]:
     """(digest, licence) of the known texts."""
-    return sorted((hashlib.sha256(whole(t).encode()).hexdigest(), name) for name, t in KNOWN)
+    return sorted([(hashlib.sha256(whole(t).encode()).hexdigest(), name) for name, t in KNOWN] + [(d, name) for name, d in DIGESTS])
+
+
+def plain_column(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.translate(text, UPPER, LOWER), COPYRIGHT, "$1"), BLANKS, " ")
 
 
-def canonical_column(text: Column) -> Column:
-    text = F.translate(text, UPPER, LOWER)
-    text = F.regexp_replace(F.regexp_replace(text, COPYRIGHT, "$1"), BLANKS, " ")
+def spelt_column(text: Column) -> Column:
     for a, b in SPELLINGS:
         text = F.replace(text, F.lit(a), F.lit(b))
-    return text
+    return F.trim(F.regexp_replace(text, "  +", " "))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, digest (of the whole text), license (of the whole text), n_notices, notices (licences of lines) for every row of docs."""
     spark = docs.sparkSession
-    table = F.broadcast(spark.createDataFrame(known(), "known string, name string"))  # a fixed list
-    seen = docs.select(F.col("doc_id"), canonical_column(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("c"))
-    one = F.trim(F.regexp_replace("c", "[ \n]+", " "))
-    entire = seen.select("doc_id", F.when(one != "", F.sha2(one.cast("binary"), 256)).alias("digest"))
-    lines = seen.filter(F.col("doc_id").isNotNull()).select("doc_id", F.posexplode(F.split("c", "\n")).alias("at", "line"))
-    lines = lines.select("doc_id", "at", F.sha2(F.trim(F.regexp_replace("line", " +", " ")).cast("binary"), 256).alias("known"))
-    hits = lines.join(table, "known").groupBy("doc_id").agg(F.collect_set(F.struct("at", "name")).alias("hits"))
-    hits = hits.select(F.col("doc_id").alias("hit_id"), F.size("hits").cast("long").alias("n_notices"), F.array_join(F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["name"]))), ",").alias("notices"))
-    out = entire.join(table, F.col("digest") == F.col("known"), "left").join(hits, F.col("doc_id") == F.col("hit_id"), "left")
-    return out.select("doc_id", "digest", F.col("name").alias("license"), F.coalesce("n_notices", F.lit(0)).alias("n_notices"), F.coalesce("notices", F.lit("")).alias("notices"))
+    fixed = known()
+    table = F.broadcast(spark.createDataFrame(fixed, "known string, name string"))  # a fixed list
+    names = F.create_map(*[F.lit(x) for pair in fixed for x in pair])
+    digest_of = lambda x: F.sha2(x.cast("binary"), 256)
+
+    def looked_up(c: Column) -> Column:
+        one = spelt_column(F.regexp_replace(c, "[ \n]+", " "))
+        lines = F.transform(F.split(c, "\n"), lambda line: digest_of(spelt_column(line)))
+        return F.struct(F.when(one != "", digest_of(one)).alias("digest"), F.filter(lines, lambda d: d.isin([k for k, _ in fixed])).alias("hits"))
+
+    seen = docs.select("doc_id", F.get(F.transform(F.array(plain_column(F.coalesce(F.col("text").cast("string"), F.lit("")))), looked_up), F.lit(0)).alias("found"))
+    out = seen.join(table, F.col("found.digest") == F.col("known"), "left")
+    listed = F.array_join(F.array_sort(F.array_distinct(F.transform("found.hits", lambda d: F.element_at(names, d)))), ",")
+    return out.select("doc_id", F.col("found.digest").alias("digest"), F.col("name").alias("license"), F.size("found.hits").cast("long").alias("n_notices"), listed.alias("notices"))
 
 
 def oracle() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     c = f"regexp_replace(regexp_replace(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), {quote(COPYRIGHT)}, '\\1', 'g'), {quote(BLANKS)}, ' ', 'g')"
-    for a, b in SPELLINGS:
-        c = f"replace({c}, {quote(a)}, {quote(b)})"
-    values = ", ".join(f"('{d}', '{n}')" for d, n in known())
+
+    def spelt_sql(x: str) -> str:
+        for a, b in SPELLINGS:
+            x = f"replace({x}, {quote(a)}, {quote(b)})"
+        return f"trim(regexp_replace({x}, ' +', ' ', 'g'))"
+
+    digests, names = ("[" + ", ".join(quote(x[i]) for x in known()) + "]" for i in range(2))
     return f"""
-WITH k(known, name) AS (VALUES {values}),
-c AS (SELECT doc_id, {c} AS c FROM documents),
-e AS (SELECT doc_id, trim(regexp_replace(c, '[ \\n]+', ' ', 'g')) AS one, c FROM c),
-l AS (SELECT doc_id, unnest(string_split(c, chr(10))) AS line, generate_subscripts(string_split(c, chr(10)), 1) AS place FROM e WHERE doc_id IS NOT NULL),
-h AS (SELECT doc_id, count(DISTINCT (place, name)) AS n, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM l JOIN k ON sha256(trim(regexp_replace(line, ' +', ' ', 'g'))) = known GROUP BY doc_id),
-w AS (SELECT doc_id, CASE WHEN one <> '' THEN sha256(one) END AS digest FROM e)
-SELECT w.doc_id, w.digest, k.name AS license, coalesce(h.n, 0) AS n_notices, coalesce(h.names, '') AS notices
-FROM w LEFT JOIN k ON w.digest = k.known LEFT JOIN h ON w.doc_id = h.doc_id
+WITH c AS (SELECT doc_id, {c} AS c FROM documents),
+e AS (SELECT doc_id, {spelt_sql("regexp_replace(c, '[ \\n]+', ' ', 'g')")} AS one,
+  [n FOR n IN [list_position({digests}, sha256({spelt_sql("line")})) FOR line IN string_split(c, chr(10))] IF n > 0] AS hits FROM c),
+w AS (SELECT doc_id, hits, CASE WHEN one <> '' THEN sha256(one) END AS digest FROM e)
+SELECT doc_id, digest, CASE WHEN list_position({digests}, digest) > 0 THEN ({names})[list_position({digests}, digest)] END AS license, CAST(len(hits) AS BIGINT) AS n_notices,
+  array_to_string(list_sort(list_distinct([({names})[n] FOR n IN hits])), ',') AS notices
+FROM w
 """

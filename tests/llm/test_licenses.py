@@ -1,17 +1,18 @@
 import hashlib
+from pathlib import Path
 
 import duckdb
+import pytest
 
 from quillmesh.llm import licenses, registry
 from quillmesh.llm.texts import KNOWN
 
 
 def plain(text):
-    c = licenses.canonical(text or "")
     digests = dict(licenses.known())
     one = licenses.whole(text or "")
     digest = hashlib.sha256(one.encode()).hexdigest() if one else None
-    found = [digests[d] for line in c.split("\n") if (d := hashlib.sha256(" ".join(line.split(" ")).strip(" ").encode()).hexdigest()) in digests]
+    found = [digests[d] for line in licenses.plain(text or "").split("\n") if (d := hashlib.sha256(licenses.spelt(line).encode()).hexdigest()) in digests]
     return digest, digests.get(digest), len(found), ",".join(sorted(set(found)))
 
 
@@ -36,3 +37,21 @@ def test_variants_of_known_texts(spark):
     con.execute("create table documents (doc_id bigint, text varchar)")
     con.executemany("insert into documents values (?, ?)", list(enumerate(texts)))
     assert {r[0]: r[1:] for r in con.execute(licenses.oracle()).fetchall()} == {i: by[i] for i in range(len(texts))}
+
+
+def test_rows_of_one_id_get_their_own_answer(spark):
+    docs = spark.createDataFrame([(1, "nothing here"), (1, "Released under the MIT License.\nx"), (1, "nothing here")], "doc_id long, text string")
+    assert sorted((r.n_notices, r.notices) for r in licenses.scan(docs).collect()) == [(0, ""), (0, ""), (1, "MIT")]
+
+
+FULL = Path("/usr/share/common-licenses")
+
+
+@pytest.mark.skipif(not (FULL / "Apache-2.0").exists(), reason="needs the public texts")
+def test_full_texts_are_known_however_they_are_broken_into_lines(spark):
+    names = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0"}
+    texts = {f: (FULL / f).read_text() for f in names}
+    rows = [(f, t) for f, t in texts.items()] + [(f, " ".join(t.split()).upper()) for f, t in texts.items() if f in ("CC0-1.0", "MPL-2.0")] + [("Apache-2.0", texts["Apache-2.0"].split("END OF TERMS")[0])]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    assert [(r.doc_id, r.license) for r in licenses.scan(docs).collect()] == [(f, names[f]) for f, _ in rows]
+    assert licenses.scan(spark.createDataFrame([("x", texts["MPL-2.0"] + " more")], docs.schema)).first().license is None
