@@ -1,26 +1,29 @@
 """Document quality by random-indexing word vectors and a small calibrated network.
 
-Fitting (bounded): ``FIT_ROWS`` labelled documents, the first by a hash of their id, train the
-network; of these, ``VECTOR_ROWS`` give the word vectors. Every word has a sparse random index
-vector (seeded by the word itself); a word's vector is the sum of the index vectors of its
-neighbours, rotated by their offset, over these texts, normalised and centred. The ``VOCABULARY``
-most frequent words get one. Marks that aren't words (what a token is made of, a word that repeats
-the one before, a line that repeats an earlier one) are pseudo-words with index vectors only. A
-document is the mean of its words' vectors beside the weighted sum of its marks' vectors. A network
-of two layers (numpy, Adam, seeded) is trained on 4 of 5 of the rows; on the fifth, one temperature
-is fitted that minimises the log loss of its probabilities.
-
-Scoring passes once over all whole texts, Arrow batch by Arrow batch.
+Every token (a run of letters, of digits or of other marks, as written) has a sparse random index
+vector, a function of the token alone. A token's vector is the sum of the index vectors of its
+neighbours, rotated by their offset, over the fitting texts, normalised and centred; the
+``VOCABULARY`` most frequent tokens get one. All other tokens share one index vector, to which each
+adds one of ``STRANGERS`` by its own hash. A document is pooled from the vectors of all its tokens:
+their mean, their deviation in each dimension, and the mean product of neighbours, which shows how a
+text repeats itself. Nothing else is seen of it. A network of two layers (numpy, Adam, seeded) is
+trained on 4 of 5 of the fitting rows; on the fifth, one temperature is fitted that minimises the
+log loss of its probabilities.
+
+Fitting (bounded): the first ``FIT_ROWS`` labelled ids by hash, outside the held-out fold, train the
+network; they are pooled on the executors. The first ``VECTOR_ROWS`` of them, as far as they hold
+``VECTOR_CHARS`` characters together, give the word vectors. Scoring passes once over all whole texts.
 
 Edge cases. Null or empty text: the vector of nothing, which still gets a score. Null doc_id: held
-out is false, scored like others. Null labels are not learnt from; repeated labels count once each.
-Repeated rows: scored alike. No or one-sided labels: every score is the share of label 1 (0.5 if
-there are none). Empty table: no rows. Columns other than doc_id and text are ignored.
+out is false, scored like others. Null labels are not learnt from; a document with both labels is
+learnt once with each; of several texts of one id the least is learnt, so reruns agree. Ties by hash: by id. Very long texts:
+pooled whole, in slices. Repeated rows: scored alike. No or one-sided labels: every score is the
+share of label 1 (0.5 if there are none). Empty table: no rows. Columns other than doc_id and text
+(in any case) are not read, whatever their names, and come back untouched from ``accepted``.
 """
 
 from __future__ import annotations
 
-import operator
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -31,41 +34,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import map_arrow, remembered
+from quillmesh.llm.common import cut, map_arrow, place, release, remembered
 
-FIT_ROWS, VECTOR_ROWS, VOCABULARY = 6000, 1500, 20_000
-WORD_DIM, MARK_DIM, NONZERO, HIDDEN = 64, 48, 6, 32
+FIT_ROWS, VECTOR_ROWS, VECTOR_CHARS, VOCABULARY = 6000, 1500, 12_000_000, 20_000
+DIM, NONZERO, HIDDEN, STRANGERS = 64, 6, 32, 2048
+POOLED = 3 * DIM
 THRESHOLD = 0.3
 
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|_+|[^\w\s]+")
-#: Marks of tokens, by what they are made of.
-SHAPES = ("lower", "Title", "UPPER", "miXed", "number", "underscore", "stop", "other", *"#$%&*|!<>/=@", "##", "!!")
-EXTRA = ("repeat", "repeated line", "few words")
-_ROW = {s: i for i, s in enumerate(SHAPES)}
-
-
-def shape(token: str) -> int:
-    """The row of the token's mark in SHAPES."""
-    first = token[0]
-    if first.isalpha():
-        kind = "lower" if token.islower() else "UPPER" if token.isupper() and len(token) > 1 else "Title" if token.istitle() else "miXed"
-    elif first.isdigit():
-        kind = "number"
-    elif first == "_":
-        kind = "underscore"
-    elif token in (".", ",", ";", ":", "?", "-", "'", '"', ".,"):
-        kind = "stop"
-    elif token.lstrip(".,").startswith("!!"):
-        kind = "!!"
-    elif token.startswith("##"):
-        kind = "##"
-    else:
-        stripped = token.lstrip(".,")[:1]
-        kind = stripped if stripped in _ROW else "other"
-    return _ROW[kind]
-
-
-def index_vector(word: str, dim: int) -> np.ndarray:
+
+
+def index_vector(word: str, dim: int = DIM) -> np.ndarray:
     """Sparse ternary vector, a function of the word alone."""
     out = np.zeros(dim, np.float32)
     bits = xxhash.xxh3_128_intdigest(word.encode("utf-8", "surrogatepass"))
@@ -77,14 +56,14 @@ def index_vector(word: str, dim: int) -> np.ndarray:
 
 
 class Words(dict):
-    """token -> (row of the word's vector or -1, row of its mark); frequent tokens are remembered."""
+    """token -> row of its vector; frequent tokens are remembered."""
 
-    def __init__(self, vocabulary: dict[str, int], limit: int = 300_000):
-        super().__init__()
-        self.vocabulary, self.limit = vocabulary, limit
+    def __init__(self, vocabulary: list[str], limit: int = 300_000):
+        super().__init__((w, i) for i, w in enumerate(vocabulary))
+        self.known, self.limit = len(vocabulary), limit
 
     def __missing__(self, token: str) -> int:
-        value = self.vocabulary.get(token.lower(), -1) * 64 + shape(token)
+        value = self.known + xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass")) % STRANGERS
         if len(self) < self.limit and len(token) <= 40:
             self[token] = value
         return value
@@ -94,40 +73,38 @@ class Pooler:
     """Vectors of whole texts."""
 
     def __init__(self, vocabulary: list[str], vectors: np.ndarray):
-        self.words = Words({w: i for i, w in enumerate(vocabulary)})
-        self.vectors = np.vstack([vectors, np.zeros((1, WORD_DIM), np.float32)])  # -1: no vector
-        marks = [index_vector(f"mark:{m}", MARK_DIM) for m in (*SHAPES, *EXTRA)]
-        self.marks = np.asarray(marks, np.float32)
+        self.words = Words(vocabulary)
+        unit = 1 / np.sqrt(2 * NONZERO)
+        strangers = [(index_vector("a stranger") + index_vector(f"stranger {i}")) * unit for i in range(STRANGERS)]
+        self.vectors = np.vstack([vectors, np.asarray(strangers, np.float32)])
 
     def __call__(self, text: str | None) -> np.ndarray:
-        text = text or ""
-        tokens = _TOKEN.findall(text)
-        n = max(1, len(tokens))
-        found = np.fromiter(map(self.words.__getitem__, tokens), np.int64, len(tokens))
-        rows = found >> 6
-        pooled = np.zeros(WORD_DIM, np.float32)
+        tokens = _TOKEN.findall(text or "")
+        if not tokens:
+            return np.zeros(POOLED, np.float32)
+        rows = np.fromiter(map(self.words.__getitem__, tokens), np.int64, len(tokens))
+        total, squares, products = (np.zeros(DIM, np.float64) for _ in range(3))
         for i in range(0, len(rows), 20_000):
-            pooled += self.vectors[rows[i : i + 20_000]].sum(axis=0)
-        weights = np.zeros(len(self.marks), np.float32)
-        weights[: len(SHAPES)] = np.sqrt(np.bincount(found & 63, minlength=len(SHAPES)) / n)
-        chunks = text.split()
-        lines = [x for x in text.split("\n") if x and not x.isspace()]
-        weights[len(SHAPES)] = np.sqrt(sum(map(operator.eq, chunks, chunks[1:])) / max(1, len(chunks)))
-        weights[len(SHAPES) + 1] = np.sqrt(1 - len(set(lines)) / len(lines)) if lines else 0
-        weights[len(SHAPES) + 2] = 1 / (1 + len(chunks) / 8)
-        return np.concatenate([pooled / n, weights @ self.marks])
+            v = self.vectors[rows[i : i + 20_001]]  # one more, whose product with its neighbour counts here
+            products += np.einsum("td,td->d", v[:-1], v[1:])
+            v = v[:20_000]
+            total += v.sum(axis=0)
+            squares += np.einsum("td,td->d", v, v)
+        n = len(rows)
+        mean = total / n
+        return np.concatenate([mean, np.sqrt(np.maximum(0, squares / n - mean * mean)), products / n]).astype(np.float32)
 
 
 def word_vectors(texts: list[str]) -> tuple[list[str], np.ndarray]:
-    """The most frequent words of the texts and their random-indexing vectors."""
-    lists = [[t.lower() for t in _TOKEN.findall(x)] for x in texts]
+    """The most frequent tokens of the texts and their random-indexing vectors."""
+    lists = [_TOKEN.findall(x) for x in texts]
     counts = Counter(t for tokens in lists for t in tokens)
     vocabulary = [w for w, c in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:VOCABULARY] if c > 1]
     if not vocabulary:
-        return [], np.zeros((0, WORD_DIM), np.float32)
+        return [], np.zeros((0, DIM), np.float32)
     place = {w: i for i, w in enumerate(vocabulary)}
-    index = np.asarray([index_vector(w, WORD_DIM) for w in vocabulary] + [np.zeros(WORD_DIM)], np.float32)
-    context = np.zeros((len(vocabulary) + 1, WORD_DIM), np.float32)
+    index = np.asarray([index_vector(w, DIM) for w in vocabulary] + [np.zeros(DIM)], np.float32)
+    context = np.zeros((len(vocabulary) + 1, DIM), np.float32)
     stream = np.fromiter((place.get(t, -1) for tokens in lists for t in [*tokens, ""]), np.int64)
     for offset in (1, 2):
         for words, near, turn in ((stream[:-offset], stream[offset:], offset), (stream[offset:], stream[:-offset], -offset)):
@@ -199,37 +176,68 @@ def remainder(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0) -> tuple[list[str], np.ndarray, dict]:
-    """Vocabulary, its vectors and the network, from labelled rows outside the held-out fold."""
-    usable = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), folds) != held_out))
-    chosen = usable.select("doc_id", "quality").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(FIT_ROWS).collect()
-    label = {r.doc_id: int(r.quality) for r in chosen}
-    if not label:
-        return [], np.zeros((0, WORD_DIM), np.float32), {"constant": 0.5}
-    read = docs.select("doc_id", "text").filter(F.col("doc_id").isin(list(label)))
-    texts = {r.doc_id: r.text or "" for r in read.dropDuplicates(["doc_id"]).collect()}
-    ids = [i for i in label if i in texts]
-    vocabulary, vectors = word_vectors([texts[i] for i in ids[:VECTOR_ROWS]])
-    pool = Pooler(vocabulary, vectors)
-    x = np.asarray([pool(texts[i]) for i in ids], np.float32).reshape(len(ids), WORD_DIM + MARK_DIM)
-    return vocabulary, vectors, train(x, np.asarray([label[i] for i in ids]))
+Fitted = tuple[list[str], np.ndarray, dict]
 
 
-_pooler: tuple[object, Pooler | None] = (None, None)
+def sample(docs: DataFrame, labels: DataFrame, folds: int, held_out: int) -> DataFrame | None:
+    """at (0, 1, ... in order of hash), quality, text, n of the fitting rows, written; None without labels."""
+    usable = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), folds) != held_out))
+    chosen = usable.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(FIT_ROWS).collect()
+    if not chosen:
+        return None
+    spark = docs.sparkSession
+    wanted = F.broadcast(spark.createDataFrame([(i, r.doc_id, r.quality) for i, r in enumerate(chosen)], "at int, id long, quality int"))  # FIT_ROWS rows
+    found = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(wanted, "id")
+    return cut(found.groupBy("at", "quality").agg(F.min("text").alias("text")).withColumn("n", F.length("text")))
 
 
-def score(docs: DataFrame, fitted: tuple[list[str], np.ndarray, dict], key: str = "doc_id") -> DataFrame:
-    """key, score for every row of docs."""
-    vocabulary, vectors, model = fitted
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, vectors, model))  # at most VOCABULARY vectors
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0) -> Fitted:
+    """Vocabulary, its vectors and the network, from labelled rows outside the held-out fold."""
+    rows = sample(docs, labels, folds, held_out)
+    if rows is None:
+        return [], np.zeros((0, DIM), np.float32), {"constant": 0.5}
+    first, chars = [], 0
+    for r in rows.select("at", "n").orderBy("at").limit(VECTOR_ROWS).collect():
+        if chars + r.n <= VECTOR_CHARS:
+            first.append(r.at)
+            chars += r.n
+    spark = docs.sparkSession
+    texts = rows.join(F.broadcast(spark.createDataFrame([(i,) for i in first], "at int")), "at").orderBy("at").select("text").collect() if first else []
+    vocabulary, vectors = word_vectors([r.text for r in texts])
+    shared = spark.sparkContext.broadcast((vocabulary, vectors))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool = Pooler(*shared.value)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([pool(t.as_py()) for t in batch.column(2)], pa.list_(pa.float32()))], names=["at", "quality", "x"])
+
+    pooled = sorted(map_arrow(rows.select("at", "quality", "text"), run, "at int, quality int, x array<float>").collect())
+    release(rows)
+    x = np.asarray([r.x for r in pooled], np.float32).reshape(len(pooled), POOLED)
+    return vocabulary, vectors, train(x, np.asarray([r.quality for r in pooled]))
+
+
+def _scorer(docs: DataFrame, fitted: Fitted):
+    """A function of a column of texts that gives their scores, made once in each task."""
+    shared = docs.sparkSession.sparkContext.broadcast(fitted)  # at most VOCABULARY vectors
+
+    def make():
         words, points, net = shared.value
         remembered("quality", dict)
         pool = Pooler(words, points)
+        return lambda texts: predict(net, np.asarray([pool(t.as_py()) for t in texts], np.float32).reshape(len(texts), POOLED))
+
+    return make
+
+
+def score(docs: DataFrame, fitted: Fitted, key: str = "doc_id") -> DataFrame:
+    """key, score for every row of docs."""
+    scorer = _scorer(docs, fitted)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = scorer()
         for batch in batches:
-            x = np.asarray([pool(t.as_py()) for t in batch.column(1)], np.float32).reshape(batch.num_rows, WORD_DIM + MARK_DIM)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(predict(net, x), pa.float64())], names=[key, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(batch.column(1)), pa.float64())], names=[key, "score"])
 
     return map_arrow(docs.select(F.col(key).cast("long").alias(key), F.col("text").cast("string").alias("text")), run, f"{key} long, score double")
 
@@ -243,16 +251,11 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int =
 
 def accepted(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that aren't rejected, with all their columns."""
-    vocabulary, vectors, model = fit(docs, labels, folds, held_out)
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, vectors, model))
-    at = place(docs, "text")
+    scorer, at = _scorer(docs, fit(docs, labels, folds, held_out)), place(docs, "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, points, net = shared.value
-        remembered("quality", dict)
-        pool = Pooler(words, points)
+        scores = scorer()
         for batch in batches:
-            x = np.asarray([pool(t.as_py()) for t in batch.column(at)], np.float32).reshape(batch.num_rows, WORD_DIM + MARK_DIM)
-            yield batch.filter(pa.array(predict(net, x) >= threshold))
+            yield batch.filter(pa.array(scores(batch.column(at)) >= threshold))
 
     return map_arrow(docs, run, docs.schema)

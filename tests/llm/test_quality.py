@@ -20,6 +20,8 @@ def test_held_out_accuracy(spark):
     held = [x for x in labels if zlib.crc32(str(x.doc_id).encode()) % 5 == 0]
     assert all(rows[x.doc_id].held_out for x in held)
     assert auc(np.array([rows[x.doc_id].score for x in held]), np.array([x.quality for x in held])) > 0.95
+    bad = [rows[x.doc_id].predicted for x in held if x.quality == 0]
+    assert np.mean(bad) < 0.3
     good = [rows[x.doc_id].predicted for x in held if x.quality == 1]
     assert np.mean(good) > 0.97
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows.values())
@@ -44,6 +46,45 @@ def test_edge_cases(spark, sf):
     assert quality.accepted(docs, labels.limit(0)).columns == docs.columns
 
 
+def test_pooling_against_plain_sums():
+    rng = np.random.default_rng(1)
+    vocabulary = ["the", "The", "###", "7"]
+    pool = quality.Pooler(vocabulary, rng.normal(size=(4, quality.DIM)).astype(np.float32))
+    for text in ("the The ### 7 the", "one strange the", "the", "", None, "the The 7 ### x! " * 9000):
+        v = [pool.vectors[pool.words[t]] for t in __import__("re").findall(r"[^\W\d_]+|\d+|_+|[^\w\s]+", text or "")]
+        want = np.zeros(quality.POOLED)
+        if v:
+            v = np.asarray(v, np.float64)
+            want = np.concatenate([v.mean(axis=0), v.std(axis=0), (v[:-1] * v[1:]).sum(axis=0) / len(v)])
+        assert np.allclose(pool(text), want, atol=2e-3)  # deviations come from differences of single-precision sums
+
+
+def test_scores_are_the_network_of_the_pooled_vectors(spark, sf):
+    """Every row's score, restated in one process from the fitted parts."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    words, vectors, net = quality.fit(docs, labels)
+    pool = quality.Pooler(words, vectors)
+    got = {r.doc_id: r.score for r in quality.classify(docs, labels).collect()}
+    for r in docs.collect():
+        z = (pool(r.text) - net["mean"]) / net["std"]
+        logit = np.tanh(z @ net["layers"][0] + net["layers"][1]) @ net["layers"][2] + net["layers"][3][0]
+        assert abs(got[r.doc_id] - 1 / (1 + np.exp(-logit / net["temperature"]))) < 1e-4
+
+
+def test_one_id_with_two_texts_and_two_labels(spark):
+    docs = spark.createDataFrame([(i, f"good words here {i}" if i % 2 else "## junk ##") for i in range(60)] + [(3, "another text"), (3, "good words here 3")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(3, 0), (3, 1), (5, None)], "doc_id long, quality int")
+    rows = [sorted((r.doc_id, r.score) for r in quality.classify(docs, labels).collect()) for _ in range(2)]
+    assert rows[0] == rows[1] and len(rows[0]) == 62
+
+
+def test_text_column_in_any_case(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    other = docs.withColumnRenamed("text", "Text").withColumn("score", F.lit("mine"))
+    kept = quality.accepted(other, labels)
+    assert kept.columns == other.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in quality.accepted(docs, labels).collect()}
+
+
 def test_temperature_and_layers():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(800, 6)).astype(np.float32)
