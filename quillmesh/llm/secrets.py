@@ -1,26 +1,34 @@
 """Secret scanning: fixed patterns, and a linear-chain conditional random field that adds to them.
 
-Base patterns (assign, access, hex) are found as regular expressions say. The field tags tokens
-B (a secret begins), I (inside) and O. Its emissions see the token's shape (length, classes of
-characters, their changes and variety), the neighbouring words and the file (share of digits, of
-assignments, length). Tokens that may be B or I: a run of secret characters of 8 or more with a
-digit or with capitals after small letters, what is glued to one, and every token of the ``AFTER``
-chunks behind and ``BEFORE`` ahead of a lead word (password, secret, token, key, bearer, credentials
-and the like) or in its own. All other tokens are O. Chunks end at white space, and so do secrets: a
-chunk with such tokens is a segment with O on both sides, and Viterbi over it is exact.
-
-Training (bounded): ``FIT_ROWS`` texts, the first by hash among those with a digit, a capital after
-a small letter or a lead word and no more than ``FIT_CHARS`` characters, tagged by the base patterns,
-plus ``MADE`` seeded sentences with invented secrets, of common formats, of letters alone, short ones
-and ones broken by symbols, and with look-alikes that aren't secrets. The log-likelihood's gradient
-comes from forward-backward over all segments at once (numpy, Adam, seeded).
+Base patterns (assign, access, hex) are found as regular expressions say. The field tags every token
+of every text B (a secret begins), I (inside) or O. Tokens are runs of letters, digits, ``_+/-``, or
+single marks; chunks are what white space parts. Emissions see the token's shape (length, classes of
+characters, their changes and variety, beginnings), its place in its chunk and the chunk's shape, the
+neighbouring words (three before, one after, and how far the nearest lead word such as password or
+token is, together with the shapes) and the file (share of digits, of assignments, length).
+
+All features of a token or chunk alone, and what it says to its neighbours, are looked up by its
+kind, so emissions of a slice of texts are sums of a few gathered tables, linear in the text. Viterbi
+is exact: a token is surely O where turning any other tag of it to O (and a following I to B) gains
+whatever its neighbours are; these part a text into runs, decoded one by one.
+
+Training (bounded): of the texts that hold something like a base match, and of all texts, the first
+by hash as far as ``FIT_ROWS`` and ``FIT_CHARS`` characters go, whole, tagged by the base patterns, plus ``MADE`` seeded
+sentences with invented secrets, of common formats, of letters alone, short ones and ones broken by
+symbols, and with look-alikes that aren't secrets. The likelihood is that of windows of ``WINDOW``
+tokens given the tags beside them; its gradient comes from forward-backward over all windows at once
+(numpy, Adam, seeded).
 
 Spans are kind:start:end in code points, end exclusive, by start, then kind (assign, access, hex,
-crf). A span of the field inside a base span is not repeated.
-
-Edge cases. Null or empty text: no spans, the digest of nothing. Null doc_id: kept as null. Very
-long texts: scanned whole. Repeated rows: alike. Equal starts: by kind. Empty table: no rows, and
-the field is trained on the invented sentences alone. Other columns are ignored.
+crf). The field's spans are listed by their own extents: where a base span takes in the key's name,
+the field's is the value.
+
+Edge cases. Null or empty text: no spans, the digest of nothing. Null doc_id: kept as null, not
+trained on. Very long texts, of one chunk too: scanned whole, in linear time. Repeated rows: alike,
+trained on once. Rows of one id and different texts: each its own spans; the least is trained on.
+Equal starts: by kind. Equal scores of two taggings: the one with more O. Empty table: no rows, and
+the field is trained on the invented sentences alone. Columns other than doc_id and text are not read,
+whatever their names; ``redact`` returns them untouched, but for n_chars, which it counts anew.
 """
 
 from __future__ import annotations
@@ -30,17 +38,20 @@ import math
 import random
 import re
 import string
-from collections import Counter
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import map_arrow, remembered
+from quillmesh.llm.common import map_arrow, place, remembered
 
-FIT_ROWS, FIT_CHARS, MADE = 1500, 20_000, 1200
+FIT_ROWS, FIT_CHARS, MADE, WINDOW = 200, 400_000, 1500, 32
+#: Chunks that a worker remembers before it begins anew; characters that are tagged together (a longer text alone).
+REMEMBER, SLICE = 300_000, 1_000_000
 
 # The base patterns, and the least length of what they find.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -50,19 +61,16 @@ ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
 KINDS = ("assign", "access", "hex", "crf")
 
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")  # HEX's maximal runs that are long enough
-_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{8,}")
 _MIXED = re.compile(r"[a-z][A-Z]")
-_LEAD = re.compile(r"(?:pass(?:word|wd|phrase|code)|pwd|secret|token|credential|bearer|(?<![a-z])(?:api|access|auth|private|secret)?key)s?(?![a-z])", re.IGNORECASE | re.ASCII)
+#: Words near which secrets stand; a feature of the chunks around.
+_LEAD = re.compile(r"(?:pass(?:word|wd|phrase|code)|pwd|secret|token|credential|bearer|(?<![a-z])(?:api|access|auth|private|secret)?[_ -]?key)s?(?![a-z])", re.IGNORECASE | re.ASCII)
 _LEADS = ("pass", "pwd", "secret", "token", "credential", "bearer", "key")
+#: Chunks behind and ahead of a lead word that see it.
+AFTER, BEFORE = 6, 3
 _CHUNK = re.compile(r"\S+")
-#: Chunks behind and ahead of a lead word whose tokens the field judges.
-AFTER, BEFORE = 5, 3
-_RUN = re.compile(r"[A-Za-z0-9+/_=-]{8,}")
-_TOKEN = re.compile(r"[A-Za-z0-9+/_=-]+|[^\sA-Za-z0-9+/_=-]")
-_DIGIT = re.compile(r"[0-9]")
-_SPACE = re.compile(r"\s")
-_PART = re.compile(r"[A-Za-z0-9+/_=-]")
+_TOKEN = re.compile(r"[\w+/-]{16,}={1,2}(?![\w=])|[\w+/-]+|[^\w\s]")
 TAGS = "OBI"
+NEVER = -1e9
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -81,85 +89,48 @@ def shown(spans: Iterable[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-class Segment:
-    """Neighbouring tokens of which some could be secret: spans, words around, and who may be B or I."""
+class _Class(dict):
+    """Character -> d (digit), u (capital), l (other letter) or s (other), as a table of str.translate."""
 
-    __slots__ = ("spans", "tokens", "free", "before", "after", "lead")
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = found = "d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else "s"
+        return found
 
-    def __init__(self, spans, tokens, free, before, after, lead):
-        self.spans, self.tokens, self.free, self.before, self.after, self.lead = spans, tokens, free, before, after, lead
 
+_CLASS = _Class()
+_CHANGE = re.compile(r"(?<=d)[^d]|(?<=u)[^u]|(?<=l)[^l]|(?<=s)[^s]")
+_SETS = {"".join(k for k, bit in zip("dlsu", bits, strict=True) if bit): n for n, bits in enumerate(np.ndindex(2, 2, 2, 2))}
+LENGTHS = (2, 4, 6, 8, 12, 16, 20, 24, 32, 48)
+CHANGES, ENTROPIES, DIGITS, HEXES, HARSH = (0.05, 0.15, 0.3, 0.45), (1.5, 2.5, 3, 3.5, 4, 4.5), (0.01, 0.1, 0.3, 0.5, 0.8, 1), (16, 24, 32), (4, 5, 6, 8)
+N_SHAPES = len(_SETS) * (len(LENGTHS) + 1) * 2
+_SOFT = re.compile("[aeiouyAEIOUY]")
+_HEX_ONLY = re.compile("[0-9a-f]+")
 
-def led(text: str) -> dict[tuple[int, int], int]:
-    """Chunks near lead words, and their places from the nearest: 0 its own, 1 the next, -1 that before."""
-    lower = text.lower()
-    out: dict[tuple[int, int], int] = {}
-    if not any(w in lower for w in _LEADS):
-        return out
-    for m in _LEAD.finditer(text):
-        a = m.start()
-        while a and not text[a - 1].isspace():
-            a -= 1
-        near, at = [], a
-        for _ in range(BEFORE):
-            while at and text[at - 1].isspace():
-                at -= 1
-            end = at
-            while at and not text[at - 1].isspace():
-                at -= 1
-            if at < end:
-                near.append((at, end))
-        places = [(span, -i) for i, span in enumerate(near, 1)]
-        at = a
-        for i in range(AFTER + 1):
-            if not (c := _CHUNK.search(text, at)):
-                break
-            places.append((c.span(), i))
-            at = c.end()
-        for span, i in places:
-            # What follows a lead word is nearer to it than what goes before one.
-            if span not in out or (abs(i), i < 0) < (abs(out[span]), out[span] < 0):
-                out[span] = i
-    return out
 
+def shape_of(text: str) -> int:
+    """Classes of characters, length and whether capitals follow small letters, as one number."""
+    classes = text.translate(_CLASS)
+    return (_SETS["".join(sorted(set(classes)))] * (len(LENGTHS) + 1) + bisect_right(LENGTHS, len(text))) * 2 + ("lu" in classes)
 
-def _strong(token: str) -> bool:
-    return len(token) >= 8 and bool(_DIGIT.search(token) or _MIXED.search(token))
-
-
-def segments(text: str) -> list[Segment]:
-    """Each chunk (a run of characters without white space) that holds a candidate or is near a lead word, as tokens."""
-    chunks: dict[tuple[int, int], int | None] = dict(led(text))
-    starts = [m.start() for m in _CANDIDATE.finditer(text)] if _DIGIT.search(text) else []
-    at = 0
-    while m := _MIXED.search(text, at):
-        # The run of secret characters around the change of case.
-        a = m.start()
-        while a > at and _PART.match(text[a - 1]):
-            a -= 1
-        if run := _RUN.match(text, a):
-            starts.append(a)
-        at = max(m.end(), run.end() if run else 0)
-    end = 0
-    for start in sorted(starts):
-        if start < end:
-            continue
-        a = start
-        while a > end and not text[a - 1].isspace():
-            a -= 1
-        space = _SPACE.search(text, start)
-        end = space.start() if space else len(text)
-        chunks.setdefault((a, end), None)
-    out: list[Segment] = []
-    for (a, b), lead in sorted(chunks.items(), key=lambda x: x[0]):
-        found = [(t.start() + a, t.end() + a) for t in _TOKEN.finditer(text[a:b])]
-        tokens = [text[x:y] for x, y in found]
-        strong = [_strong(t) for t in tokens]
-        free = [lead is not None or s or (bool(_PART.match(t)) or t == ".") and any(strong[max(0, i - 2) : i + 3]) for i, (s, t) in enumerate(zip(strong, tokens, strict=True))]
-        before = _TOKEN.findall(text[max(0, a - 60) : a])[-3:]
-        after = _TOKEN.findall(text[b : b + 30])[:1]
-        out.append(Segment(found, tokens, free, before, after, lead))
-    return out
+
+def own_features(t: str) -> list[str]:
+    """What a token shows by itself."""
+    n, classes = len(t), t.translate(_CLASS)
+    kinds = "".join(sorted(set(classes)))
+    length = bisect_right(LENGTHS, n)
+    changes = len(_CHANGE.findall(classes)) / max(1, n - 1) if len(kinds) > 1 else 0
+    entropy = -sum(c / n * math.log2(c / n) for c in map(t.count, set(t)))
+    harsh = max(map(len, _SOFT.split(t))) if kinds in ("l", "u", "lu") else 0
+    return [
+        "bias", f"classes {kinds}", f"length {length}", f"changes {kinds} {bisect_right(CHANGES, changes)}", f"entropy {bisect_right(ENTROPIES, entropy)}",
+        f"digits {bisect_right(DIGITS, classes.count('d') / n)}", f"classes {kinds} length {length}", f"hex {_HEX_ONLY.fullmatch(t) is not None} {bisect_right(HEXES, n)}",
+        f"starts {t[:3].lower()}" if classes[0] != "d" else "starts digit", f"harsh {bisect_right(HARSH, harsh)}", f"word {word_of(t)}",
+    ]
+
+
+def word_of(token: str) -> str:
+    return token.lower() if len(token) <= 14 and (token.isalpha() or len(token) == 1) else f"#{''.join(sorted(set(token.translate(_CLASS))))}{len(token) > 7}"
 
 
 def file_features(text: str) -> list[str]:
@@ -168,39 +139,159 @@ def file_features(text: str) -> list[str]:
     return [f"file digits {min(4, int(digits * 40))}", f"file = {min(3, text.count('=') * 200 // n)}", f"file length {min(6, int(math.log10(n)))}"]
 
 
-def _bucket(x: float, *edges: float) -> int:
-    return sum(x >= e for e in edges)
+#: Places of a token whose words it sees, with the feature's name.
+NEIGHBOURS = ((1, "before"), (2, "two before"), (3, "three before"), (-1, "behind"))
+N_LEADS, N_PLACES = 2 + AFTER + BEFORE, 4
+EDGE = 3  # tokens between two texts
+
+
+class _Rows:
+    """A growing array of rows."""
+
+    def __init__(self, width: int, kind: type):
+        self.data, self.n, self.new = np.zeros((1024, width), kind), 0, []
+
+    def add(self, row) -> int:
+        self.new.append(row)
+        return self.n + len(self.new) - 1
+
+    def array(self) -> np.ndarray:
+        if self.new:
+            end = self.n + len(self.new)
+            if end > len(self.data):
+                self.data = np.concatenate([self.data[: self.n], np.zeros((2 * end - self.n, self.data.shape[1]), self.data.dtype)])
+            self.data[self.n : end] = self.new
+            self.n, self.new = end, []
+        return self.data[: self.n]
+
+
+class Memory(dict):
+    """chunk -> number; the tokens and shapes of chunks, and the features (by number) of each kind of token.
+
+    A token's row has its own features and then the one that it is to each neighbour; 0 is none.
+    """
+
+    OWN = 11
+
+    def __init__(self, number):
+        super().__init__()
+        self.number, self.kinds = number, {}
+        self.features, self.shapes = _Rows(self.OWN + len(NEIGHBOURS), np.int64), _Rows(1, np.int64)
+        self.flat, self.chunks = _Rows(1, np.int64), _Rows(4, np.int64)  # first token, tokens, shape, whether it has a lead word
+        self.weighed: np.ndarray | None = None
+        edge = self.features.add([0] * self.OWN + [number(f"{name} edge") for _, name in NEIGHBOURS])
+        self.shapes.add((0,))
+        self.chunks.add((self.flat.add((edge,)), EDGE, 0, 0))
+        for _ in range(EDGE - 1):
+            self.flat.add((edge,))
+
+    def __missing__(self, chunk: str) -> int:
+        number, kinds = self.number, self.kinds
+        first, tokens = None, _TOKEN.findall(chunk)
+        for t in tokens:
+            kind = kinds.get(t)
+            if kind is None:
+                own = own_features(t)
+                word = own[-1][5:]
+                kind = self.features.add([*map(number, own), *[number(f"{name} {word}") for _, name in NEIGHBOURS]])
+                shape = shape_of(t)
+                self.shapes.add((shape,))
+                kinds[t] = kind
+            at = self.flat.add((kind,))
+            if first is None:
+                first = at
+        lower = chunk.lower()
+        lead = any(w in lower for w in _LEADS) and bool(_LEAD.search(chunk))
+        self[chunk] = found = self.chunks.add((first, len(tokens), shape_of(chunk.strip("\"'`.,;:()[]<>") or chunk[:1]), lead))
+        return found
+
+
+class Tokens:
+    """The tokens of some texts side by side, EDGE empty ones after each: kind, shape, chunk and what the chunk says."""
+
+    def __init__(self, texts: list[str], memory: Memory):
+        split = [t.split() for t in texts]
+        sizes = np.asarray([len(c) + 1 for c in split])
+        self.ends = np.cumsum(sizes)  # chunks of each text, with the edge
+        numbers = np.fromiter(chain.from_iterable(chain(map(memory.__getitem__, c), (0,)) for c in split), np.int64, int(self.ends[-1]) if texts else 0)
+        chunks, flat = memory.chunks.array()[numbers], memory.flat.array()[:, 0]
+        self.first_chunk = self.ends - sizes
+        counts = chunks[:, 1]
+        self.starts = np.cumsum(counts) - counts  # first token of each chunk
+        n = int(counts.sum())
+        self.chunk = np.repeat(np.arange(len(numbers)), counts)
+        at = np.arange(n) - self.starts[self.chunk]  # place in the chunk
+        self.kind = flat[chunks[self.chunk, 0] + at]
+        self.real = numbers[self.chunk] > 0
+        self.shape = memory.shapes.array()[self.kind, 0]
+        self.place = (at > 0) + 2 * (at + 1 < counts[self.chunk])
+        self.text = np.repeat(np.arange(len(texts)), sizes)
+        lead, self.chunk_shape = self._leads(chunks[:, 3] > 0), chunks[:, 2]
+        self.lead, self.chunk_shape = lead[self.chunk], self.chunk_shape[self.chunk]
+        self.text = self.text[self.chunk]
+
+    def _leads(self, lead: np.ndarray) -> np.ndarray:
+        """0: no lead word near; 1: in the chunk; 2..: so many chunks after one; then: so many before one. What follows is nearer."""
+        at, begin = np.arange(len(lead)), self.first_chunk[self.text]
+        last = np.maximum.accumulate(np.where(lead, at, -1)) if len(at) else at
+        following = np.minimum.accumulate(np.where(lead, at, len(lead) + AFTER)[::-1])[::-1] if len(at) else at
+        after, before = np.where(last >= begin, at - last, AFTER + 1), np.where(following < self.ends[self.text], following - at, BEFORE + 1)
+        return np.where((after <= AFTER) & (after <= before), 1 + after, np.where(before <= BEFORE, 1 + AFTER + before, 0))
+
+    def shifted(self, kinds: np.ndarray, by: int) -> np.ndarray:
+        """The kind of the token so many places before (behind, where negative)."""
+        out = np.zeros_like(kinds)
+        if by > 0:
+            out[by:] = kinds[:-by]
+        else:
+            out[:by] = kinds[-by:]
+        return out
 
 
-def token_features(segment: Segment, i: int, of_file: list[str]) -> list[str]:
-    t = segment.tokens[i]
-    n = len(t)
-    classes = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "s" for c in t]
-    kinds = "".join(sorted(set(classes)))
-    changes = sum(a != b for a, b in zip(classes, classes[1:], strict=False)) / max(1, n - 1)
-    counts = Counter(t)
-    entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
-    out = [
-        "bias", f"classes {kinds}", f"length {_bucket(n, 2, 6, 8, 12, 16, 20, 24, 32, 40, 64)}", f"changes {_bucket(changes, .05, .15, .3, .45)}",
-        f"entropy {_bucket(entropy, 1.5, 2.5, 3, 3.5, 4, 4.5)}", f"digits {_bucket(classes.count('d') / n, .01, .1, .3, .5, .8, 1)}",
-        f"classes {kinds} length {_bucket(n, 8, 16, 24, 32)}", f"hex {all(c in '0123456789abcdef' for c in t)} {_bucket(n, 16, 24, 32)}",
-        f"starts {t[:3].lower()}" if not classes[0] == "d" else "starts digit", f"one {t}" if n == 1 else "many",
-    ]
-    past = segment.before + segment.tokens[:i]
-    words = [w.lower() for w in past[-3:]]
-    out += [f"near {w}" for w in words if w.isascii()]
-    out.append(f"previous {words[-1][:12]}" if words else "first")
-    nxt = segment.tokens[i + 1] if i + 1 < len(segment.tokens) else None
-    out.append(f"next {nxt if nxt and len(nxt) == 1 else 'word' if nxt else 'end'}")
-    if segment.lead is not None:
-        # Far from common words, a chunk of few characters shows by its kinds, and one of letters by their order.
-        whole = "".join(segment.tokens).strip("\"'`.,;:()[]<>")
-        shape = "".join(sorted({"d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else "s" for c in whole}))
-        inner = bool(_MIXED.search(whole))
-        harsh = max((len(x) for x in re.split("[aeiouyAEIOUY]", t)), default=0) if t.isalpha() else 0
-        where = "own" if segment.lead == 0 else "before" if segment.lead < 0 else "after"
-        out += [f"lead {segment.lead}", f"{where} {shape} {inner}", f"{where} {shape} {_bucket(len(whole), 4, 6, 8, 12, 16, 20)}", f"{where} harsh {_bucket(harsh, 4, 5, 6, 8)}", f"{where} {kinds} long {_bucket(n, 10, 14, 18)}", f"word {t.lower()[:12]}"]
-    return out + of_file
+def grid_names() -> list[list[str]]:
+    """Names of the features of pairs: lead and chunk's shape, lead and token's shape, place and token's shape."""
+    return [[f"{name} {i} {k}" for i in range(n) for k in range(N_SHAPES)] for name, n in (("lead chunk", N_LEADS), ("lead token", N_LEADS), ("place token", N_PLACES))]
+
+
+def grid_cells(x: Tokens) -> list[np.ndarray]:
+    return [x.lead * N_SHAPES + x.chunk_shape, x.lead * N_SHAPES + x.shape, x.place * N_SHAPES + x.shape]
+
+
+def decode(e: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """Viterbi over one row of tokens with O before and after it; e: n x 3, move: tag by tag."""
+    n = len(e)
+    tags = np.zeros(n, np.int8)
+    if not n:
+        return tags
+    # What the best tagging could lose at most by turning a tag y to O and a following I to B.
+    gain = max(
+        move[p, y] + move[y, k] + move[k, q] - move[p, 0] - move[0, 1 if k == 2 else k] - move[1 if k == 2 else k, q]
+        for p in range(3) for y in (1, 2) for k in range(3) for q in range(3)
+        if move[p, y] > NEVER / 2 and move[y, k] > NEVER / 2 and move[k, q] > NEVER / 2
+    )
+    drop = np.maximum(0, np.append(e[1:, 2] - e[1:, 1], 0))
+    open_ = np.flatnonzero(np.maximum(e[:, 1], e[:, 2]) - e[:, 0] + drop + gain >= 0)
+    if not len(open_):
+        return tags
+    cuts = np.flatnonzero(np.diff(open_) > 1) + 1
+    firsts, lasts = open_[np.r_[0, cuts]], open_[np.r_[cuts - 1, len(open_) - 1]]
+    single = firsts == lasts
+    alone = firsts[single]
+    tags[alone[e[alone, 1] + move[0, 1] + move[1, 0] > e[alone, 0] + 2 * move[0, 0]]] = 1
+    m = move.tolist()
+    for a, b in zip(firsts[~single].tolist(), lasts[~single].tolist(), strict=True):
+        rows = e[a : b + 1].tolist()
+        score = [rows[0][k] + m[0][k] for k in range(3)]
+        back = []
+        for row in rows[1:]:
+            came = [max(range(3), key=lambda j, k=k: score[j] + m[j][k]) for k in range(3)]
+            score = [score[came[k]] + m[came[k]][k] + row[k] for k in range(3)]
+            back.append(came)
+        tag = max(range(3), key=lambda j: score[j] + m[j][0])
+        for i in range(b, a - 1, -1):
+            tags[i] = tag
+            tag = back[i - a - 1][tag] if i > a else tag
+    return tags
 
 
 class Field:
@@ -208,58 +299,66 @@ class Field:
 
     def __init__(self, index: dict[str, int], weights: np.ndarray, transitions: np.ndarray):
         self.index, self.weights, self.transitions = index, weights, transitions
-
-    def emissions(self, segment: Segment, of_file: list[str]) -> np.ndarray:
-        out = np.zeros((len(segment.tokens), 3))
-        for i, free in enumerate(segment.free):
-            if free:
-                rows = [r for f in token_features(segment, i, of_file) if (r := self.index.get(f)) is not None]
-                out[i] = self.weights[rows].sum(axis=0)
-            else:
-                out[i, 1:] = -1e9
+        self.name = hashlib.sha256(repr(sorted(index.items())).encode() + weights.tobytes() + transitions.tobytes()).hexdigest()
+        self.grids = [np.asarray([self._sum([f]) for f in names], np.float32) for names in grid_names()]
+
+    def _sum(self, features: list[str]) -> np.ndarray:
+        return self.weights[[self.index.get(f, 0) for f in features]].sum(axis=0)
+
+    def memory(self) -> Memory:
+        return Memory(lambda f: self.index.get(f, 0))
+
+    def _tables(self, memory: Memory) -> np.ndarray:
+        """What each kind of token adds to its own emissions, and to each neighbour's."""
+        rows, done = memory.features.array(), 0 if memory.weighed is None else len(memory.weighed)
+        if done < len(rows):
+            new = rows[done:]
+            parts = [self.weights[new[:, : Memory.OWN]].sum(axis=1), *[self.weights[new[:, Memory.OWN + i]] for i in range(len(NEIGHBOURS))]]
+            new = np.concatenate(parts, axis=1).astype(np.float32)
+            memory.weighed = new if memory.weighed is None else np.concatenate([memory.weighed, new])
+        return memory.weighed
+
+    def emissions(self, texts: list[str], x: Tokens, memory: Memory) -> np.ndarray:
+        tables = self._tables(memory)
+        out = tables[x.kind, :3].astype(np.float64)
+        for i, (by, _) in enumerate(NEIGHBOURS, 1):
+            out += tables[x.shifted(x.kind, by), 3 * i : 3 * i + 3]
+        for table, cells in zip(self.grids, grid_cells(x), strict=True):
+            out += table[cells]
+        out += np.asarray([self._sum(file_features(t)) for t in texts]).reshape(-1, 3)[x.text]
+        out[~x.real] = 0, NEVER, NEVER
         return out
 
-    def tag(self, segment: Segment, of_file: list[str]) -> list[int]:
-        """Viterbi; before and after the segment all is O."""
-        e = self.emissions(segment, of_file)
-        score = e[0] + self.transitions[0]
-        back = []
-        for row in e[1:]:
-            paths = score[:, None] + self.transitions
-            back.append(paths.argmax(axis=0))
-            score = paths.max(axis=0) + row
-        last = int((score + self.transitions[:, 0]).argmax())
-        tags = [last]
-        for b in reversed(back):
-            tags.append(int(b[tags[-1]]))
-        return tags[::-1]
-
-    def spans(self, text: str) -> list[tuple[int, int]]:
-        found = segments(text)
-        if not found:
-            return []
-        of_file = file_features(text)
-        out: list[tuple[int, int]] = []
-        for s in found:
-            tags = self.tag(s, of_file)
-            begun = None
-            for i, t in enumerate([*tags, 0]):
-                if begun is not None and t != 2:
-                    out.append((s.spans[begun][0], s.spans[i - 1][1]))
-                    begun = None
-                if t == 1:
-                    begun = i
+    def spans_of(self, texts: list[str], memory: Memory) -> list[list[tuple[int, int]]]:
+        """Places of secrets in each text."""
+        if len(memory) > REMEMBER:
+            memory.clear()
+            memory.__init__(memory.number)
+        x = Tokens(texts, memory)
+        tags = decode(self.emissions(texts, x, memory), self.transitions)
+        out: list[list[tuple[int, int]]] = [[] for _ in texts]
+        found: dict[int, list[tuple[int, int]]] = {}
+        for i in np.flatnonzero(tags == 1).tolist():
+            last = i
+            while last + 1 < len(tags) and tags[last + 1] == 2:
+                last += 1
+            found.setdefault(int(x.text[i]), []).append((i, last))
+        for n, runs in found.items():
+            chunks = [m.span() for m in _CHUNK.finditer(texts[n])]
+            known: dict[int, list[tuple[int, int]]] = {}
+
+            def where(i: int) -> tuple[int, int]:
+                c = int(x.chunk[i])
+                a, b = chunks[c - x.first_chunk[n]]  # noqa: B023
+                if c not in known:  # noqa: B023
+                    known[c] = [(a + t.start(), a + t.end()) for t in _TOKEN.finditer(texts[n][a:b])]  # noqa: B023
+                return known[c][i - int(x.starts[c])]  # noqa: B023
+
+            out[n] = [(where(a)[0], where(b)[1]) for a, b in runs]
         return out
 
-
-def labels_of(segment: Segment, spans: list[tuple[int, int]]) -> list[int]:
-    """Tags by known spans of secret values."""
-    out = [0] * len(segment.tokens)
-    for a, b in spans:
-        inside = [i for i, (x, y) in enumerate(segment.spans) if x >= a and y <= b and segment.free[i]]
-        for n, i in enumerate(inside):
-            out[i] = 2 if n and inside[n - 1] == i - 1 else 1
-    return out
+    def spans(self, text: str) -> list[tuple[int, int]]:
+        return self.spans_of([text], self.memory())[0]
 
 
 def value_spans(text: str) -> list[tuple[int, int]]:
@@ -297,7 +396,11 @@ def invented(count: int, seed: int = 11) -> list[tuple[str, list[tuple[int, int]
         lambda: pick(digits, rng.choice([8, 10, 13, 16])), lambda: f"20{pick(digits, 2)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}", lambda: f"({pick(digits, 3)}) {pick(digits, 3)}-{pick(digits, 4)}",
         lambda: f"{pick(digits, 3)}-{pick(digits, 2)}-{pick(digits, 4)}", lambda: f"user.{pick(digits, 2)}@mail{rng.randint(1, 9)}.example.com", lambda: f"https://example.com/page/{pick(digits, 5)}/index.html",
         lambda: f"release-{rng.randint(1, 9)}.{rng.randint(0, 20)}.{rng.randint(0, 9)}", lambda: rng.choice(plain) + rng.choice(plain) + pick(digits, 2), lambda: f"section{pick(digits, 2)}title", lambda: f"{pick(digits, 3)}.{pick(digits, 3)}.{pick(digits, 2)}.{pick(digits, 3)}", lambda: f"ORDER-{pick(digits, 8)}", lambda: f"isbn97{pick(digits, 11)}",
+        # Long words, of syllables as they are spoken.
+        lambda: "".join(pick("bcdfghklmnprstvwz", 1) + rng.choice(["a", "e", "i", "o", "u", "en", "er", "un", "ati", "eit", "ou", "ing", "ion"]) for _ in range(rng.randint(3, 10))),
+        lambda: rng.choice(usual) + rng.choice(usual) + rng.choice(["", rng.choice(usual)]), lambda: rng.choice(usual).upper() + rng.choice(["", "!", ",", "!!"]),
     ]
+    strong = secret[:7]  # formats that show by themselves
     out = []
     for _ in range(count):
         words, at, spans = [], 0, []
@@ -309,11 +412,14 @@ def invented(count: int, seed: int = 11) -> list[tuple[str, list[tuple[int, int]
                 quote = rng.choice(["", '"', "'"])
                 spans.append((at_word + len(quote), at_word + len(quote) + len(value)))
                 w += quote + value + quote
-            elif kind < 0.22:
+            elif kind < 0.17:
+                w = rng.choice(strong)()
+                spans.append((at, at + len(w)))
+            elif kind < 0.24:
                 w = rng.choice(["password", "token", "secret", "key", "credentials", "bearer", "tokens", "the key", "passwords"]) + " " + " ".join(rng.choice(usual) for _ in range(rng.randint(1, 5)))
-            elif kind < 0.28:
+            elif kind < 0.30:
                 w = rng.choice([rng.choice(camel), rng.choice(usual).capitalize(), rng.choice(usual) + rng.choice(".,;:"), str(rng.randint(1, 999))])
-            elif kind < 0.45:
+            elif kind < 0.50:
                 w = rng.choice(other)() + rng.choice(["", ".", ",", "###"])
             else:
                 w = rng.choice(rng.choice([plain, usual]))
@@ -323,63 +429,83 @@ def invented(count: int, seed: int = 11) -> list[tuple[str, list[tuple[int, int]
     return out
 
 
+def tags_of(texts: list[str], spans: list[list[tuple[int, int]]], x: Tokens) -> np.ndarray:
+    """Tags of the tokens by known spans of secret values; a token counts that lies in a span whole."""
+    out = np.zeros(len(x.kind), np.int64)
+    for n, text in enumerate(texts):
+        if not spans[n]:
+            continue
+        at = int(x.starts[x.first_chunk[n]])
+        places = [(a + t.start(), a + t.end()) for a, b in (m.span() for m in _CHUNK.finditer(text)) for t in _TOKEN.finditer(text[a:b])]
+        begins = np.asarray([a for a, _ in places])
+        for a, b in spans[n]:
+            tag = 1
+            for i in range(int(np.searchsorted(begins, a)), len(places)):
+                if places[i][1] > b:
+                    break
+                out[at + i] = tag
+                tag = 2
+    return out
+
+
 def train(tagged: list[tuple[str, list[tuple[int, int]]]], steps: int = 80) -> Field:
-    """Maximum likelihood with a small penalty, over all segments at once."""
-    index: dict[str, int] = {}
-    counts: Counter[str] = Counter()
-    data = []
-    for text, spans in tagged:
-        of_file = file_features(text)
-        for s in segments(text):
-            if len(s.tokens) <= 24:
-                data.append(([token_features(s, i, of_file) if f else None for i, f in enumerate(s.free)], labels_of(s, spans)))
-                counts.update(f for fs in data[-1][0] if fs for f in fs)
-    for fs in counts:
-        if counts[fs] > 2:
-            index[fs] = len(index)
-    longest = max((len(x[1]) for x in data), default=1)
-    rows_s, rows_t, rows_f = [], [], []
-    free = np.zeros((len(data), longest), bool)
-    real = np.zeros((len(data), longest), bool)
-    gold = np.zeros((len(data), longest), int)
-    for n, (features, tags) in enumerate(data):
-        gold[n, : len(tags)] = tags
-        real[n, : len(tags)] = True
-        for t, fs in enumerate(features):
-            if fs is not None:
-                free[n, t] = True
-                for f in fs:
-                    if f in index:
-                        rows_s.append(n)
-                        rows_t.append(t)
-                        rows_f.append(index[f])
-    cell = np.asarray(rows_s, int) * longest + np.asarray(rows_t, int)
-    feature = np.asarray(rows_f, int)
-    weights, move = np.zeros((len(index), 3)), np.zeros((3, 3))
-    move[0, 2] = -1e9  # I only follows B or I
+    """Maximum likelihood with a small penalty, over windows of all tokens at once."""
+    texts, spans = [t for t, _ in tagged], [s for _, s in tagged]
+    names: dict[str, int] = {}
+    number = lambda f: names.setdefault(f, len(names) + 1)  # noqa: E731; 0 is no feature
+    memory = Memory(number)
+    x = Tokens(texts, memory)
+    rows, own = memory.features.array(), Memory.OWN
+    columns = [*rows[x.kind, :own].T, *[rows[x.shifted(x.kind, by), own + i] for i, (by, _) in enumerate(NEIGHBOURS)]]
+    for some, cells in zip(grid_names(), grid_cells(x), strict=True):
+        used, which = np.unique(cells, return_inverse=True)
+        columns.append(np.asarray([number(some[c]) for c in used], np.int64)[which])
+    files = np.asarray([[number(f) for f in file_features(t)] for t in texts], np.int64).reshape(-1, 3)
+    columns += list(files[x.text].T)
+    features = np.stack(columns, axis=1)
+    features[~x.real] = 0
+    # Features seen less than three times tell nothing.
+    kept = np.bincount(features.ravel(), minlength=len(names) + 1) > 2
+    kept[0] = False
+    new = np.cumsum(kept) * kept
+    features = new[features]
+    index = {f: int(new[i]) for f, i in names.items() if new[i] > 0}
+    size = len(index) + 1
+
+    gold_all = tags_of(texts, spans, x)
+    n = len(gold_all)
+    windows = -(-n // WINDOW)
+    full = windows * WINDOW
+    pad = lambda a: np.concatenate([a, np.zeros((full - n, *a.shape[1:]), a.dtype)])
+    features, gold = pad(features), pad(gold_all).reshape(windows, WINDOW)
+    real = pad(x.real).reshape(windows, WINDOW)
+    before, behind = np.r_[0, gold[:-1, -1]], np.r_[gold[1:, 0], 0]
+    weights, move = np.zeros((size, 3)), np.zeros((3, 3))
+    move[0, 2] = NEVER  # I only follows B or I
     state = [np.zeros_like(weights), np.zeros_like(weights), np.zeros_like(move), np.zeros_like(move)]
-    hot = np.eye(3)[gold] * real[..., None]
-    for step in range(1, steps + 1 if data else 0):
-        e = np.zeros((len(data) * longest, 3))
-        for k in range(3):
-            e[:, k] = np.bincount(cell, weights[feature, k], len(e))
-        e = e.reshape(len(data), longest, 3)
-        e[~free, 1:] = -1e9
-        e[~real, 0] = 0.0
+    hot = np.eye(3)[gold]
+    seen = np.einsum("ntj,ntk->jk", hot[:, :-1], hot[:, 1:]) + np.einsum("nj,nk->jk", np.eye(3)[before], hot[:, 0]) + np.einsum("nj,nk->jk", hot[:, -1], np.eye(3)[behind])
+    seen -= np.einsum("nj,nk->jk", hot[:-1, -1], hot[1:, 0])  # a window's last pair is the next one's first
+    for step in range(1, steps + 1 if n else 0):
+        e = np.stack([np.take(weights[:, k], features).sum(axis=1) for k in range(3)], axis=1).reshape(windows, WINDOW, 3)
+        e[~real] = 0, NEVER, NEVER
         forward, backward = np.zeros_like(e), np.zeros_like(e)
-        forward[:, 0] = e[:, 0] + move[0]
-        for t in range(1, longest):
+        forward[:, 0] = e[:, 0] + move[before]
+        for t in range(1, WINDOW):
             forward[:, t] = np.logaddexp.reduce(forward[:, t - 1, :, None] + move, axis=1) + e[:, t]
-        backward[:, -1] = move[:, 0]
-        for t in range(longest - 2, -1, -1):
+        backward[:, -1] = move[:, behind].T
+        for t in range(WINDOW - 2, -1, -1):
             backward[:, t] = np.logaddexp.reduce(move[None] + (e[:, t + 1] + backward[:, t + 1])[:, None, :], axis=2)
-        total = np.logaddexp.reduce(forward[:, -1] + move[:, 0], axis=1)[:, None, None]
-        here = np.exp(np.clip(forward + backward - total, -700, 0)) * real[..., None]
-        error = ((here - hot) * free[..., None]).reshape(-1, 3)
-        grad = np.stack([np.bincount(feature, error[cell, k], len(index)) for k in range(3)], axis=1) / len(data) + 1e-4 * weights
-        pairs = np.exp(np.clip(forward[:, :-1, :, None] + move + (e[:, 1:] + backward[:, 1:])[:, :, None, :] - total[..., None], -700, 0)) * real[:, 1:, None, None]
-        seen = np.einsum("ntj,ntk->jk", hot[:, :-1], hot[:, 1:])
-        shift = (pairs.sum(axis=(0, 1)) - seen) / len(data) + 1e-4 * np.where(move < -1e8, 0, move)
+        total = np.logaddexp.reduce(forward[:, -1] + move[:, behind].T, axis=1)[:, None, None]
+        here = np.exp(np.clip(forward + backward - total, -700, 0))
+        error = ((here - hot) * real[..., None]).reshape(-1, 3)
+        flat = features.ravel()
+        grad = np.stack([np.bincount(flat, np.repeat(error[:, k], features.shape[1]), size) for k in range(3)], axis=1) / windows + 1e-4 * weights
+        grad[0] = 0
+        pairs = np.exp(np.clip(forward[:, :-1, :, None] + move + (e[:, 1:] + backward[:, 1:])[:, :, None, :] - total[..., None], -700, 0)).sum(axis=(0, 1))
+        ends = np.einsum("nj,nk->jk", np.eye(3)[before], here[:, 0]) + np.einsum("nj,nk->jk", here[:, -1], np.eye(3)[behind])
+        ends -= np.einsum("nj,nk->jk", hot[:-1, -1], hot[1:, 0])
+        shift = (pairs + ends - seen) / windows + 1e-4 * np.where(move < NEVER / 2, 0, move)
         shift[0, 2] = 0
         for p, g, a, b in ((weights, grad, 0, 1), (move, shift, 2, 3)):
             state[a] = 0.9 * state[a] + 0.1 * g
@@ -390,29 +516,64 @@ def train(tagged: list[tuple[str, list[tuple[int, int]]]], steps: int = 80) -> F
 
 def fit(docs: DataFrame) -> Field:
     """A field trained on a bounded sample of docs, and on invented sentences."""
-    usable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("text").rlike(f"[0-9]|{_MIXED.pattern}|(?i){_LEAD.pattern}") & (F.length("text") <= FIT_CHARS) & F.col("doc_id").isNotNull())
-    ids = [r.doc_id for r in usable.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).collect()]
-    texts = sorted({(r.doc_id, r.text) for r in usable.filter(F.col("doc_id").isin(ids)).dropDuplicates(["doc_id"]).collect()}) if ids else []
-    return train([(t, value_spans(t)) for _, t in texts] + invented(MADE))
+    usable = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull() & F.col("id").isNotNull())
+    like = r"(?i)(passw(or)?d|secret|token|api_?key)[\"']? *[:=]|[0-9a-f]{24}" + r"|AKIA[A-Z0-9]{16}"
+    sized = usable.select("id", F.xxhash64("id").alias("h"), F.length("text").alias("n"), F.col("text").rlike(like).alias("match"))
+    chosen = []
+    for part in (sized.filter("match"), sized):
+        chars = 0
+        for r in part.groupBy("h", "id").agg(F.max("n").alias("n")).orderBy("h", "id").limit(FIT_ROWS // 2).collect():
+            if chars + r.n <= FIT_CHARS // 2:
+                chosen.append((r.id,))
+                chars += r.n
+    texts = []
+    if chosen:
+        wanted = F.broadcast(docs.sparkSession.createDataFrame(sorted(set(chosen)), "id long"))  # FIT_ROWS ids
+        texts = [r.text for r in usable.join(wanted, "id").groupBy("id").agg(F.min("text").alias("text")).orderBy("id").collect()]
+    return train([(t, value_spans(t)) for t in texts] + invented(MADE))
+
+
+def _slices(texts: list[str]) -> Iterator[list[str]]:
+    held, chars = [], 0
+    for t in texts:
+        if held and chars + len(t) > SLICE:
+            yield held
+            held, chars = [], 0
+        held.append(t)
+        chars += len(t)
+    if held:
+        yield held
+
+
+def spans_of_all(texts: list[str], field: Field, memory: Memory) -> list[list[tuple[int, int, int]]]:
+    """Base spans and those of the field, in order, of each text."""
+    out = []
+    for some in _slices(texts):
+        for t, found in zip(some, field.spans_of(some, memory), strict=True):
+            out.append(sorted(base_spans(t) + [(a, 3, b) for a, b in found]))
+    return out
 
 
-def all_spans(text: str, field: Field) -> list[tuple[int, int, int]]:
-    """Base spans and those that the field adds, in order."""
-    base = base_spans(text)
-    added = [(a, 3, b) for a, b in field.spans(text) if not any(x <= a and b <= y for x, _, y in base)]
-    return sorted(base + added)
+def _finder(docs: DataFrame, field: Field | None):
+    """A function of a column of texts that gives their spans, made once in each task."""
+    shared = docs.sparkSession.sparkContext.broadcast(field or fit(docs))  # as many weights as features of a bounded sample
+
+    def make():
+        memory = remembered(f"secrets {shared.value.name}", shared.value.memory)  # of this field alone
+        return lambda texts: spans_of_all([t or "" for t in texts], shared.value, memory)
+
+    return make
 
 
 def scan(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans for every row of docs."""
-    field = field or fit(docs)
+    finder = _finder(docs, field)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        remembered("secrets", dict)
+        find = finder()
         for batch in batches:
             rows = []
-            for text in batch.column(1):
-                spans = all_spans(text.as_py() or "", field)
+            for spans in find(batch.column(1).to_pylist()):
                 base = [s for s in spans if s[1] < 3]
                 rows.append((*(sum(k == n for _, k, _ in base) for n in range(3)), hashlib.sha256(shown(base).encode()).hexdigest(), shown(spans)))
             kinds = [pa.int64()] * 3 + [pa.string()] * 2
@@ -422,10 +583,10 @@ def scan(docs: DataFrame, field: Field | None = None) -> DataFrame:
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
-def redacted(text: str, field: Field, mark: str = "[SECRET]") -> str:
-    """The text with each secret, overlapping ones together, replaced by the mark."""
+def without_spans(text: str, spans: list[tuple[int, int, int]], mark: str = "[SECRET]") -> str:
+    """The text with each span, overlapping ones together, replaced by the mark."""
     out, at = [], 0
-    for a, _, b in all_spans(text, field):
+    for a, _, b in spans:
         if b <= at:
             continue
         if a >= at:
@@ -434,16 +595,21 @@ def redacted(text: str, field: Field, mark: str = "[SECRET]") -> str:
     return "".join([*out, text[at:]])
 
 
+def redacted(text: str, field: Field) -> str:
+    return without_spans(text, spans_of_all([text], field, field.memory())[0])
+
+
 def redact(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """docs with secrets replaced in text (and n_chars, if there, counted anew); all other columns stay."""
-    field = field or fit(docs)
-    at = place(docs, "text")
+    finder, at = _finder(docs, field), place(docs, "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        remembered("secrets", dict)
+        find = finder()
         for batch in batches:
-            texts = [None if (t := x.as_py()) is None else redacted(t, field) for x in batch.column(at)]
-            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+            texts = batch.column(at).to_pylist()
+            new = [None if t is None else without_spans(t, spans) for t, spans in zip(texts, find(texts), strict=True)]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
 
     out = map_arrow(docs, run, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    count = next((f for f in docs.schema.fields if f.name.lower() == "n_chars"), None)
+    return out.withColumn(count.name, F.length("text").cast(count.dataType)) if count else out
