@@ -14,6 +14,7 @@ from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructField, StructType
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -82,12 +83,12 @@ def release(*tables: DataFrame | None) -> None:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """A scope whose tables written by cut go at its end, but for the one given to what it yields."""
+    """A scope whose tables written by cut go at its end, but for those given to what it yields (which writes them if need be)."""
     mine: list[str] = []
     kept: list[str] = []
 
     def keep(df: DataFrame) -> DataFrame:
-        out = cut(df)
+        out = df if getattr(df, "_cut_into", None) else cut(df)
         kept.append(out._cut_into)
         return out
 
@@ -129,6 +130,10 @@ def map_arrow(df: DataFrame, run: Callable, schema: Any, most: int = 16 << 20) -
     bound = (spark.conf.get(BATCH_BYTES, None) or "").rstrip("b")
     if not bound.isdigit() or int(bound) > most:
         spark.conf.set(BATCH_BYTES, str(most))
+    if isinstance(schema, StructType) and any("." in c or "`" in c for c in df.columns):
+        # mapInArrow takes such names for paths; the rows go through under numbers.
+        numbered = StructType([StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(schema)])
+        return df.toDF(*numbered.names).mapInArrow(run, numbered).toDF(*schema.names)
     return df.mapInArrow(run, schema)
 
 

@@ -1,12 +1,16 @@
 """The pipeline's rows against plain Python, stage by stage."""
 
+import types
 from collections import Counter
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from test_neardup import brute
 from test_packing import verify
 
-from quillmesh.llm import mixing, quality, secrets
+from quillmesh.llm import common, mixing, quality, secrets
 
 
 def test_stages_against_plain_versions(spark, sf):
@@ -37,6 +41,7 @@ def test_stages_against_plain_versions(spark, sf):
         three = stage(2, two, f"{folder}/3")
         field = secrets.fit(two)
         want = {i: (r.lang, r.source, secrets.redacted(r.text, field)) for i, r in left.items()}
+        assert all(secrets.base_spans(t) == [] for _, _, t in want.values())
         got = three.collect()
         assert three.columns == docs.columns
         assert {r.doc_id: (r.lang, r.source, r.text) for r in got} == want
@@ -84,3 +89,39 @@ def test_empty_and_odd_rows(spark, sf):
             df = stage(spark, df, sf)
             df = spark.createDataFrame(df.collect(), df.schema) if k < 4 else df
         df.collect()
+
+
+def test_clashing_columns_come_through_untouched(spark, sf):
+    """Columns named like those of the operators, and text in another case: values stay with their rows through four stages."""
+    names = ["copy", "below", "size", "target", "source_size", "mix_source", "copies", "component_id", "kept", "dropped", "score", "spans", "row", "id", "a.b"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumnRenamed("text", "Text").withColumnRenamed("n_chars", "N_Chars")
+    docs = docs.select("*", *[F.concat(F.lit(n), F.col("doc_id")).alias(n) for n in names])
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = common.cut(stage(spark, docs, sf))
+        if k < 4:
+            assert out.columns == docs.columns
+            assert out.filter(" or ".join(f"`{n}` <> concat('{n}', doc_id)" for n in names)).isEmpty() and not out.isEmpty()
+        docs = out
+
+
+def test_written_tables_go(spark, sf):
+    """After a run only its result is left in the shared folder; without a shared folder on a cluster nothing is written."""
+    folder = common.shared_dir(spark)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    there = lambda: {f.getPath().getName() for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)}
+    before = there()
+    rows = corpus_pipeline.run(spark, sf)
+    assert len(there() - before) == 1 and rows.count() > 0
+
+
+def test_no_shared_folder_on_a_cluster():
+    class Nothing:
+        def __getattr__(self, name):
+            return lambda *a: Nothing()
+
+        def isDefined(self):
+            return False
+
+    session = types.SimpleNamespace(sparkContext=types.SimpleNamespace(_jsc=Nothing(), master="spark://host:7077"), conf=types.SimpleNamespace(get=lambda *a: None))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(session)
