@@ -1,7 +1,16 @@
 """From documents to packed training sequences: five stages, each the whole table of the one before.
 
 Every stage is a function of (spark, docs, sf_dir). Its result is written as Parquet and read again
-before the next stage. All but the last return the columns of documents.
+before the next stage; what a stage wrote on its way is deleted then. All but the last return the
+columns of documents.
+
+Edge cases, in every stage. Null doc_id: kept in all stages (nothing links to it, it is packed with a
+null id). Null or empty text: scored by the classifier like others, linked with nothing, without
+secrets, of size 0 (so the mix takes it as often as its source's rate says), packed as an end id
+alone. Very long texts: whole. Ties: as each operator's module says. Repeated rows: each judged alike
+and kept or dropped alike, for a group of near-duplicates keeps the rows of its smallest id. Empty
+table: no rows. Columns other than doc_id, text, source and n_chars: neither read nor changed by the
+first four stages, whatever their names (text may be spelt in any case); the last has columns of its own.
 """
 
 from __future__ import annotations
@@ -10,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.llm import mixing, neardup, packing, quality, registry, secrets
-from quillmesh.llm.common import cut, table
+from quillmesh.llm.common import free_name, scratch, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,8 +29,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near-duplicates."""
-    groups = neardup.near_duplicates(docs)
-    return docs.join(groups.filter(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    dropped, name = neardup.near_duplicates(docs).filter(~F.col("kept")), free_name(docs, "dropped")
+    return docs.join(dropped.select(F.col("doc_id").alias(name)).distinct(), F.col("doc_id") == F.col(name), "left_anti")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +40,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
-    return mixing.emit(mixing.mix(docs)).select(docs.columns)
+    return mixing.emit(docs)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,6 +63,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
-    return cut(STAGES[-1][1](spark, docs, sf_dir))
+    with scratch(spark) as keep_last:
+        for _, stage in STAGES:
+            with scratch(spark) as keep:
+                docs = keep(stage(spark, docs, sf_dir))
+        return keep_last(docs)
