@@ -7,14 +7,16 @@ equal number from each language, span a Nyström map: kernels with the landmarks
 root of the landmarks' own kernel matrix. In that space one-versus-rest ridge regression gives one
 column of weights per language, so a batch of texts is scored by two matrix products.
 
-Fitting (bounded): ``FIT_ROWS`` texts, the first by hash of their id, of the rows outside the
-held-out fold that have a language and a letter; of each, a whole text of at most ``FIT_CHARS``
-characters. Texts are cased down and digits and punctuation count as blanks. Scores are a softmax of
+Fitting (bounded): ``FIT_ROWS`` ids, the first by hash, of the rows outside the held-out fold that
+have a language and a letter; whole texts of any length are turned into cells on the executors, and
+only cells come to the driver. Texts are cased down and digits and punctuation count as blanks. Scores are a softmax of
 the margins, its steepness fitted on a fifth of these rows.
 
 Edge cases. Null text or one without a letter: und, score 0. Null language: not learnt from. Null
 doc_id: held_out false, predicted like others. One language only: it is predicted, with score 1; none:
-und. Repeated rows: alike. Very long texts: whole. Empty table: no rows. Other columns are ignored.
+und. Repeated rows: alike; of several texts or languages of one id the least is learnt. Equal margins:
+the first language in order. Very long texts: whole, in slices. Empty table: no rows. Other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from quillmesh.llm.common import map_arrow
 from quillmesh.llm.quality import remainder
 
-FIT_ROWS, FIT_CHARS, LANDMARKS = 3000, 20_000, 192
+FIT_ROWS, LANDMARKS = 3000, 192
 CELLS, LENGTHS = 8192, (1, 2, 3, 4)
 RIDGE = 1e-3
 UNKNOWN = "und"
@@ -61,9 +63,9 @@ def presence(text: str) -> np.ndarray:
     return out
 
 
-def matrix(texts: list[str]) -> np.ndarray:
+def matrix(rows: list[np.ndarray]) -> np.ndarray:
     """Rows of presence, each of unit length."""
-    x = np.asarray([presence(t) for t in texts], np.float32).reshape(len(texts), CELLS)
+    x = np.asarray(rows, np.float32).reshape(len(rows), CELLS)
     return x / np.sqrt(np.maximum(1, x.sum(axis=1, keepdims=True)))
 
 
@@ -81,7 +83,7 @@ class Model:
             if len(self.languages) == 1:
                 found, share = np.zeros(len(rows), int), np.ones(len(rows))
             else:
-                margin = (matrix([texts[i] for i in rows]) @ self.landmarks.T) @ self.weights + self.bias
+                margin = (matrix([presence(texts[i]) for i in rows]) @ self.landmarks.T) @ self.weights + self.bias
                 p = np.exp(np.clip(self.steep * (margin - margin.max(axis=1, keepdims=True)), -50, 0))
                 p /= p.sum(axis=1, keepdims=True)
                 found, share = p.argmax(axis=1), p.max(axis=1)
@@ -90,11 +92,12 @@ class Model:
         return names, scores
 
 
-def train(texts: list[str], languages: list[str], landmarks: int = LANDMARKS) -> Model:
+def train(cells: list[np.ndarray], languages: list[str], landmarks: int = LANDMARKS) -> Model:
+    """The model of some rows of presence and their languages."""
     names = sorted(set(languages))
     if len(names) < 2:
         return Model(names, np.zeros((0, CELLS), np.float32), np.zeros((0, len(names)), np.float32), np.zeros(len(names), np.float32), 1.0)
-    x = matrix(texts)
+    x = matrix(cells)
     y = np.asarray([names.index(s) for s in languages])
     each = max(1, landmarks // len(names))
     chosen = np.concatenate([np.flatnonzero(y == k)[:each] for k in range(len(names))])
@@ -123,14 +126,21 @@ def train(texts: list[str], languages: list[str], landmarks: int = LANDMARKS) ->
 
 
 def fit(docs: DataFrame, folds: int = 4, held_out: int = 2) -> Model:
-    usable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    usable = usable.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= FIT_CHARS) & (remainder(F.col("doc_id"), folds) != held_out))
-    ids = [r.doc_id for r in usable.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).collect()]
+    usable = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    usable = usable.filter(F.col("id").isNotNull() & F.col("lang").isNotNull() & (remainder(F.col("id"), folds) != held_out) & F.col("text").rlike(r"\p{L}"))
+    ids = [(r.id,) for r in usable.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).collect()]
     if not ids:
         return train([], [])
-    rows = {r.doc_id: r for r in usable.filter(F.col("doc_id").isin(ids)).dropDuplicates(["doc_id"]).collect()}
-    kept = [rows[i] for i in ids if i in rows]
-    return train([r.text for r in kept], [r.lang for r in kept])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [np.packbits(presence(t.as_py())).tobytes() for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.binary())], names=["id", "lang", "bits"])
+
+    chosen = usable.join(F.broadcast(docs.sparkSession.createDataFrame(ids, "id long")), "id").select("id", "lang", "text")  # FIT_ROWS ids
+    found = map_arrow(chosen, run, "id long, lang string, bits binary").groupBy(F.xxhash64("id").alias("h"), "id").agg(F.min(F.struct("lang", "bits")).alias("row"))
+    rows = [r.row for r in found.orderBy("h", "id").collect()]
+    return train([np.unpackbits(np.frombuffer(r.bits, np.uint8)) for r in rows], [r.lang for r in rows])
 
 
 def identify(docs: DataFrame, folds: int = 4, held_out: int = 2, model: Model | None = None) -> DataFrame:

@@ -12,19 +12,24 @@
    nodes at least halves each round).
 5. Buckets of three or more in which several components are left: members were compared with the
    smallest id only. Each such bucket names its largest component; its other members become
-   *visitors* of that component. Each component's texts are dealt into blocks of bounded size; its
-   visitors, in blocks of their own, meet every block and are compared with all texts there, other
-   visitors included. A pair of blocks returns only the links it finds. So no link in a bucket is lost, and no pairs are emitted.
+   *visitors* of that component. Each component's shingle sets are dealt by size class (classes a
+   quarter apart, so similar sets are of the same or of neighbouring ones) into blocks of bounded
+   size; its visitors, in rooms of their own, meet every block of the three classes and are compared
+   with all sets there, other visitors included. A pair of block and room returns only the links it
+   finds. So no link in a bucket is lost, and no pairs are emitted.
 6. Components again, over all links.
 
 Edge cases. Null text, empty text or white space only: no shingles, linked with nothing, even if
 equal. Fewer words than a shingle has: the whole sequence is one shingle. Null doc_id: never
-linked, component null, kept. Repeated rows with one doc_id: both rows are returned alike. Empty
-table: no rows. Columns other than doc_id and text are ignored.
+linked, component null, kept. Repeated rows with one doc_id: both rows are returned alike; with
+different texts: they are one document that has the links of each. Very long texts: whole, minima in
+slices. Ties: the smallest id is a bucket's centre and a component's name. Empty table: no rows.
+Columns other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -33,14 +38,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import cut, map_arrow, remembered
+from quillmesh.llm.common import cut, map_arrow, release, remembered
 
 BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 #: Estimates below this are not confirmed.
 FLOOR = 0.55
-#: Shingles of a block of members, and of a block of the visitors that are compared with it.
-BLOCK_SHINGLES = 200_000
+#: Shingles of a block of members, and of a room of the visitors that are compared with it.
+BLOCK_SHINGLES, ROOM_SHINGLES = 50_000, 400_000
 REMEMBER = 200_000
 
 _MULTIPLIERS = (np.random.default_rng(20_240_607).integers(0, 2**31, HASHES, dtype=np.uint64) * 2 + 1).astype(np.uint32)
@@ -148,20 +153,20 @@ def components(links: DataFrame) -> DataFrame:
     labels = None
     while True:
         both = edges.select(F.col("b").alias("id"), F.col("a").alias("parent")).union(edges.select(F.col("a").alias("id"), F.col("a").alias("parent")))
-        parents = cut(both.groupBy("id").agg(F.min("parent").alias("parent")))
+        direct = parents = cut(both.groupBy("id").agg(F.min("parent").alias("parent")))
         # Two jumps up the chain of parents.
         for _ in range(2):
             up = parents.toDF("parent", "above")
             parents = parents.join(up, "parent", "left").select("id", F.coalesce("above", "parent").alias("parent"))
         parents = cut(parents)
-        if labels is None:
-            labels = parents.toDF("id", "component")
-        else:
-            labels = cut(labels.join(parents.toDF("component", "parent"), "component", "left").select("id", F.coalesce("parent", "component").alias("component")))
+        before = labels, edges
+        labels = cut(parents.toDF("id", "component") if labels is None else labels.join(parents.toDF("component", "parent"), "component", "left").select("id", F.coalesce("parent", "component").alias("component")))
         one = parents.toDF("a", "pa")
         two = parents.toDF("b", "pb")
         edges = cut(edges.join(one, "a").join(two, "b").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).filter("a < b").distinct())
+        release(parents, direct, *before)
         if edges.isEmpty():
+            release(edges)
             return labels
 
 
@@ -194,20 +199,25 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     return map_arrow(joined.select("a", "b", "text_a", "text_b"), run, "a long, b long")
 
 
-def _visit(size: int, percent: int):
-    """Compare a block's members with the component's visitors, and the visitors with each other."""
+def _sets(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All shingles of a column of sets one after another, and the sets' sizes."""
+    column = column.combine_chunks()
+    offsets = column.offsets.to_numpy()
+    return column.values.to_numpy()[offsets[0] : offsets[-1]].view(np.uint64), np.diff(offsets)
+
+
+def _visit(percent: int):
+    """Compare a block's members with a room of the component's visitors, and the visitors there with each other."""
 
     def run(key, members: pa.Table, visitors: pa.Table) -> pa.Table:
         if not members.num_rows or not visitors.num_rows:
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         seats = members.column("id").to_pylist()
-        sets = [shingles(t.as_py(), size) for t in members.column("text")]
-        lengths = np.array([len(s) for s in sets], np.int64)
         # Shared shingles are counted through an index of the block (all shingles sorted, beside their
         # owners), so that dissimilar texts cost nothing.
-        values = np.concatenate(sets)
+        values, lengths = _sets(members.column("set"))
         order = np.argsort(values, kind="stable")
-        values, owners = values[order], np.repeat(np.arange(len(sets), dtype=np.int32), lengths)[order]
+        values, owners = values[order], np.repeat(np.arange(len(seats), dtype=np.int32), lengths)[order]
         # Members are of one component already; only links that join two groups are returned.
         home = [None if m else i for i, m in zip(seats, members.column("member").to_pylist(), strict=True)]
         group: dict[int | None, int | None] = {}
@@ -219,14 +229,16 @@ def _visit(size: int, percent: int):
             return x
 
         found: list[tuple[int, int]] = []
-        for i, text in sorted(zip(visitors.column("v_id").to_pylist(), visitors.column("v_text"), strict=True), key=lambda v: v[0]):
-            s = shingles(text.as_py(), size)
+        shingles_of, sizes = _sets(visitors.column("v_set"))
+        ends = np.cumsum(sizes)
+        for i, end, n in sorted(zip(visitors.column("v_id").to_pylist(), ends.tolist(), sizes.tolist(), strict=True)):
+            s = shingles_of[end - n : end]
             first = np.searchsorted(values, s, "left")
             times = np.searchsorted(values, s, "right") - first
-            ends = np.cumsum(times)
-            hits = np.repeat(first - (ends - times), times) + np.arange(ends[-1])
-            both = np.bincount(owners[hits], minlength=len(sets))
-            for g in np.flatnonzero((both > 0) & (100 * both >= percent * (len(s) + lengths - both))).tolist():
+            upto = np.cumsum(times)
+            hits = np.repeat(first - (upto - times), times) + np.arange(upto[-1])
+            both = np.bincount(owners[hits], minlength=len(seats))
+            for g in np.flatnonzero((both > 0) & (100 * both >= percent * (n + lengths - both))).tolist():
                 one, two = top(i), top(home[g])
                 if one != two:
                     group[one] = two
@@ -262,7 +274,7 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
     largest = cut(per.groupBy("band", "key").agg(F.max(F.struct("n", (-F.col("component")).alias("c"))).alias("top"), F.count("*").alias("several")).filter("several > 1").select("band", "key", (-F.col("top.c")).alias("home")))
     crowd = cut(placed.join(largest, ["band", "key"]).select("home", "id", (F.col("component") == F.col("home")).alias("member")).groupBy("home", "id").agg(F.max("member").alias("member")))
     if not crowd.isEmpty():
-        more = _visits(crowd, leads, candidates, size, percent)
+        more = _visits(crowd, candidates, size, percent)
         links = cut(links.union(more))
         found = components(links)
 
@@ -273,18 +285,30 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _visits(crowd: DataFrame, leads: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def _visits(crowd: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Links between the visitors of a component, its members and one another."""
-    sized = crowd.join(leads.select("id", "n_shingles"), "id")
-    blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.coalesce(F.sum(n), F.lit(0)) / BLOCK_SHINGLES)).cast("int")
-    homes = sized.groupBy("home").agg(blocks(F.col("n_shingles")).alias("blocks"), blocks(F.when(~F.col("member"), F.col("n_shingles"))).alias("rooms"))
-    crowd = crowd.join(homes, "home").join(texts, "id")
-    dealt = crowd.select("home", "id", "text", "member", "blocks", "rooms", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("rooms")).cast("int").alias("room"))
-    dealt = cut(dealt)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 500):
+                part = batch.slice(a, 500)
+                sets = [shingles(t.as_py(), size).view(np.int64) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "n", "set"])
+
+    sets = cut(map_arrow(texts.join(crowd.select("id").distinct(), "id", "left_semi").select("id", "text"), run, "id long, n long, set array<long>"))
+    # Sets of which one is more than 100 / percent times the other's size can't be similar.
+    sized = crowd.join(sets.select("id", "n"), "id").withColumn("class", F.floor(F.log("n") / math.log(100 / percent)).cast("int"))
+    many = lambda n, most: F.greatest(F.lit(1), F.ceil(F.coalesce(F.sum(n), F.lit(0)) / most)).cast("int")
+    homes = cut(sized.groupBy("home", "class").agg(many(F.col("n"), BLOCK_SHINGLES).alias("blocks"), F.sum(F.when(~F.col("member"), F.col("n"))).alias("visiting")))
+    # A class of a component is met by its own visitors and those of the classes beside it.
+    near = homes.filter("visiting > 0").select("home", F.explode(F.array(*[F.col("class") + d for d in (-1, 0, 1)])).alias("class"), "visiting").groupBy("home", "class").agg(many(F.col("visiting"), ROOM_SHINGLES).alias("rooms"))
+    cells = cut(homes.join(near, ["home", "class"]).select("home", "class", "blocks", "rooms"))
+    seated = sized.join(cells, ["home", "class"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # Everyone is in one block, which every room of visitors meets.
-    seated = dealt.withColumn("room", F.explode(F.sequence(F.lit(0), F.col("rooms") - 1))).select("home", "block", "room", "id", "text", "member")
-    roaming = dealt.filter(~F.col("member")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    seated = seated.withColumn("room", F.explode(F.sequence(F.lit(0), F.col("rooms") - 1))).select("home", "class", "block", "room", "id", "member").join(sets.select("id", "set"), "id")
+    roaming = sized.filter(~F.col("member")).select("home", "id", F.explode(F.array(*[F.col("class") + d for d in (-1, 0, 1)])).alias("class")).join(cells, ["home", "class"])
+    roaming = roaming.withColumn("room", F.pmod(F.xxhash64("id", F.lit(1)), F.col("rooms")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # Columns of their own names and ids: both sides come from one table.
-    roaming = roaming.select(*[F.col(c).alias(f"v_{c}") for c in ("home", "block", "room", "id", "text")])
-    keys = ["home", "block", "room"]
-    return seated.groupBy(*keys).cogroup(roaming.groupBy(*[f"v_{k}" for k in keys])).applyInArrow(_visit(size, percent), "a long, b long")
+    roaming = roaming.select("home", "class", "block", "room", "id").join(sets.select("id", "set"), "id").select(*[F.col(c).alias(f"v_{c}") for c in ("home", "class", "block", "room", "id", "set")])
+    keys = ["home", "class", "block", "room"]
+    return seated.groupBy(*keys).cogroup(roaming.groupBy(*[f"v_{k}" for k in keys])).applyInArrow(_visit(percent), "a long, b long")

@@ -24,6 +24,30 @@ def test_held_out_rows_are_not_learnt(spark, sf):
     assert key(langid.identify(docs)) == key(langid.identify(docs.withColumn("lang", F.when(held, "xx").otherwise(F.col("lang")))))
 
 
+def test_predictions_restated_from_kernels(spark, sf):
+    """Every row's language from the kernel with each landmark, by sets of cells, and the weights."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.fit(docs)
+    marks = [set(np.flatnonzero(row).tolist()) for row in model.landmarks]
+    got = {r.doc_id: r for r in langid.identify(docs, model=model).collect()}
+    for r in docs.collect():
+        if langid.has_letter(r.text):
+            own = set(np.flatnonzero(langid.presence(r.text)).tolist())
+            kernel = np.array([len(own & m) / np.sqrt(len(own) * len(m)) for m in marks])
+            margin = kernel @ model.weights + model.bias
+            p = np.exp(model.steep * (margin - margin.max()))
+            assert got[r.doc_id].lang_pred == model.languages[int(margin.argmax())] and abs(got[r.doc_id].score - p.max() / p.sum()) < 1e-3
+        else:
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0)
+
+
+def test_long_texts_and_repeated_ids_are_learnt(spark):
+    rows = [(i, ("the cat and the dog " if i % 2 else "el gato y la casa ") * 3, "en" if i % 2 else "es") for i in range(40)] + [(41, "the house of the cat " * 30_000, "en"), (41, "the", "en"), (3, "otro texto", "es"), (3, "the cat", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    first, again = ([tuple(r) for r in langid.identify(df).orderBy("doc_id", "score").collect()] for df in (docs, docs.orderBy(F.desc("doc_id"), "text")))
+    assert first == again and all(r[2] == ("en" if r[0] % 2 else "es") for r in first if r[0] != 3)
+
+
 def test_presence_is_the_set_of_hashed_ngrams():
     text = "Añb, 12 c"
     raw = b" " + bytes(32 if c < 128 and not chr(c).isalpha() else c for c in text.lower().encode()) + b" "
@@ -39,7 +63,7 @@ def test_presence_is_the_set_of_hashed_ngrams():
 
 def test_kernel_is_the_normalised_overlap():
     a, b = langid.presence("the cat"), langid.presence("the dog sat")
-    x = langid.matrix(["the cat", "the dog sat"])
+    x = langid.matrix([a, b])
     assert np.isclose(x[0] @ x[1], (a & b).sum() / np.sqrt(a.sum() * b.sum()))
 
 

@@ -61,6 +61,22 @@ def test_group_of_copies_around_the_threshold(spark):
     check(texts, neardup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect())
 
 
+@pytest.mark.parametrize("block, room", [(600, 900), (50_000, 300), (400, 400_000)])
+def test_groups_of_unequal_sizes_in_many_blocks_and_rooms(spark, monkeypatch, block, room):
+    """Copies cut to many lengths, so that sets of the same bucket lie in several size classes, blocks and rooms."""
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", block)
+    monkeypatch.setattr(neardup, "ROOM_SHINGLES", room)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(240)]
+    texts = {}
+    for i in range(150):
+        words = base[: rng.randrange(60, 240)]
+        for _ in range(rng.randrange(0, 14)):
+            words[rng.randrange(len(words))] = f"e{rng.randrange(40)}"
+        texts[i] = " ".join(words)
+    check(texts, neardup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect())
+
+
 def test_chain_of_links(spark):
     words = [f"c{i}" for i in range(400)]
     texts = {i: " ".join(words[i * 8 : i * 8 + 120]) for i in range(30)}
