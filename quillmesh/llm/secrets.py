@@ -39,6 +39,7 @@ import random
 import re
 import string
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -51,7 +52,7 @@ from quillmesh.llm.common import map_arrow, place, remembered
 
 FIT_ROWS, FIT_CHARS, MADE, WINDOW = 200, 400_000, 1500, 32
 #: Chunks that a worker remembers before it begins anew; characters that are tagged together (a longer text alone).
-REMEMBER, SLICE = 300_000, 1_000_000
+REMEMBER, SLICE = 600_000, 1_000_000
 
 # The base patterns, and the least length of what they find.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -101,46 +102,64 @@ class _Class(dict):
 _CLASS = _Class()
 _CHANGE = re.compile(r"(?<=d)[^d]|(?<=u)[^u]|(?<=l)[^l]|(?<=s)[^s]")
 _SETS = {"".join(k for k, bit in zip("dlsu", bits, strict=True) if bit): n for n, bits in enumerate(np.ndindex(2, 2, 2, 2))}
-LENGTHS = (2, 4, 6, 8, 12, 16, 20, 24, 32, 48)
-CHANGES, ENTROPIES, DIGITS, HEXES, HARSH = (0.05, 0.15, 0.3, 0.45), (1.5, 2.5, 3, 3.5, 4, 4.5), (0.01, 0.1, 0.3, 0.5, 0.8, 1), (16, 24, 32), (4, 5, 6, 8)
-N_SHAPES = len(_SETS) * (len(LENGTHS) + 1) * 2
-_SOFT = re.compile("[aeiouyAEIOUY]")
+_SMALL, _LETTERS, _HEXES = _SETS["l"], {_SETS[k] for k in ("l", "u", "lu")}, {_SETS[k] for k in ("d", "l", "dl")}
+LENGTHS, CHANGES, KINDS_OF, DIGITS, HEXES, HARSH = (2, 4, 6, 8, 12, 16, 20, 24, 32, 48), (0.05, 0.15, 0.3, 0.45), (4, 6, 8, 10, 13, 16, 20), (0.01, 0.1, 0.3, 0.5, 0.8, 1), (8, 16, 24, 32), (4, 5, 6, 8)
+N_LENGTHS = len(LENGTHS) + 1
+N_SHAPES = len(_SETS) * N_LENGTHS * 2
+#: Sizes of what a token shows by itself: shape, hex digits only (by length), changes of class, different characters, digits, runs of consonants.
+OWN = (N_SHAPES, len(HEXES) + 2, len(_SETS) * (len(CHANGES) + 1), N_LENGTHS * (len(KINDS_OF) + 1), len(DIGITS) + 1, len(HARSH) + 1)
+_CONSONANTS = re.compile("[^aeiouyAEIOUY]{4,}")
 _HEX_ONLY = re.compile("[0-9a-f]+")
 
 
 def shape_of(text: str) -> int:
     """Classes of characters, length and whether capitals follow small letters, as one number."""
+    length = bisect_right(LENGTHS, len(text))
+    if text.islower() and text.isalpha():
+        return (_SMALL * N_LENGTHS + length) * 2
     classes = text.translate(_CLASS)
-    return (_SETS["".join(sorted(set(classes)))] * (len(LENGTHS) + 1) + bisect_right(LENGTHS, len(text))) * 2 + ("lu" in classes)
-
-
-def own_features(t: str) -> list[str]:
-    """What a token shows by itself."""
-    n, classes = len(t), t.translate(_CLASS)
-    kinds = "".join(sorted(set(classes)))
-    length = bisect_right(LENGTHS, n)
-    changes = len(_CHANGE.findall(classes)) / max(1, n - 1) if len(kinds) > 1 else 0
-    entropy = -sum(c / n * math.log2(c / n) for c in map(t.count, set(t)))
-    harsh = max(map(len, _SOFT.split(t))) if kinds in ("l", "u", "lu") else 0
-    return [
-        "bias", f"classes {kinds}", f"length {length}", f"changes {kinds} {bisect_right(CHANGES, changes)}", f"entropy {bisect_right(ENTROPIES, entropy)}",
-        f"digits {bisect_right(DIGITS, classes.count('d') / n)}", f"classes {kinds} length {length}", f"hex {_HEX_ONLY.fullmatch(t) is not None} {bisect_right(HEXES, n)}",
-        f"starts {t[:3].lower()}" if classes[0] != "d" else "starts digit", f"harsh {bisect_right(HARSH, harsh)}", f"word {word_of(t)}",
-    ]
+    return (_SETS["".join(sorted(set(classes)))] * N_LENGTHS + length) * 2 + ("lu" in classes)
+
+
+def own_codes(t: str) -> tuple[int, ...]:
+    """A number below each of OWN."""
+    n = len(t)
+    length, changes, digits = bisect_right(LENGTHS, n), 0, 0
+    if t.islower() and t.isalpha():
+        kinds, mixed = _SMALL, 0
+    else:
+        classes = t.translate(_CLASS)
+        some = sorted(set(classes))
+        kinds, mixed = _SETS["".join(some)], "lu" in classes
+        if len(some) > 1:
+            changes = bisect_right(CHANGES, len(_CHANGE.findall(classes)) / (n - 1))
+        digits = bisect_right(DIGITS, classes.count("d") / n)
+    harsh = bisect_right(HARSH, max(map(len, found))) if kinds in _LETTERS and (found := _CONSONANTS.findall(t)) else 0
+    hexes = 1 + bisect_right(HEXES, n) if kinds in _HEXES and _HEX_ONLY.fullmatch(t) else 0
+    return (kinds * N_LENGTHS + length) * 2 + mixed, hexes, kinds * (len(CHANGES) + 1) + changes, length * (len(KINDS_OF) + 1) + bisect_right(KINDS_OF, len(set(t))), digits, harsh
 
 
 def word_of(token: str) -> str:
-    return token.lower() if len(token) <= 14 and (token.isalpha() or len(token) == 1) else f"#{''.join(sorted(set(token.translate(_CLASS))))}{len(token) > 7}"
+    n = len(token)
+    return token.lower() if n == 1 or n <= 14 and token.isalpha() else f"#{''.join(sorted(set(token.translate(_CLASS))))}{n > 7}"
+
+
+def start_of(token: str) -> str:
+    return token[:3].lower() if not token[0].isdigit() else "0"
 
 
-def file_features(text: str) -> list[str]:
+FILE = (5, 4, 7)
+
+
+def file_codes(text: str) -> tuple[int, int, int]:
+    """The file's share of digits and of assignments, and its length, each below its number of FILE."""
     n = max(1, len(text))
     digits = sum(map(text.count, string.digits)) / n
-    return [f"file digits {min(4, int(digits * 40))}", f"file = {min(3, text.count('=') * 200 // n)}", f"file length {min(6, int(math.log10(n)))}"]
+    return min(4, int(digits * 40)), min(3, text.count("=") * 200 // n), min(6, int(math.log10(n)))
 
 
-#: Places of a token whose words it sees, with the feature's name.
-NEIGHBOURS = ((1, "before"), (2, "two before"), (3, "three before"), (-1, "behind"))
+#: Places of a token whose words it sees (before it; behind, where negative).
+NEIGHBOURS = (1, 2, 3, -1)
 N_LEADS, N_PLACES = 2 + AFTER + BEFORE, 4
 EDGE = 3  # tokens between two texts
 
@@ -157,52 +176,56 @@ class _Rows:
 
     def array(self) -> np.ndarray:
         if self.new:
-            end = self.n + len(self.new)
-            if end > len(self.data):
-                self.data = np.concatenate([self.data[: self.n], np.zeros((2 * end - self.n, self.data.shape[1]), self.data.dtype)])
-            self.data[self.n : end] = self.new
-            self.n, self.new = end, []
+            self.extend(self.new)
+            self.new = []
         return self.data[: self.n]
 
+    def extend(self, rows) -> None:
+        end = self.n + len(rows)
+        if end > len(self.data):
+            self.data = np.concatenate([self.data[: self.n], np.zeros((2 * end - self.n, self.data.shape[1]), self.data.dtype)])
+        self.data[self.n : end] = rows
+        self.n = end
+
 
 class Memory(dict):
-    """chunk -> number; the tokens and shapes of chunks, and the features (by number) of each kind of token.
+    """chunk -> number; tokens of chunks, shapes, and the codes of each kind of token.
 
-    A token's row has its own features and then the one that it is to each neighbour; 0 is none.
+    A kind's codes are those of OWN, of its start and of its word; words and starts that aren't in the
+    vocabularies are 0, the edge's word is 1.
     """
 
-    OWN = 11
-
-    def __init__(self, number):
+    def __init__(self, words: dict[str, int], starts: dict[str, int]):
         super().__init__()
-        self.number, self.kinds = number, {}
-        self.features, self.shapes = _Rows(self.OWN + len(NEIGHBOURS), np.int64), _Rows(1, np.int64)
-        self.flat, self.chunks = _Rows(1, np.int64), _Rows(4, np.int64)  # first token, tokens, shape, whether it has a lead word
-        self.weighed: np.ndarray | None = None
-        edge = self.features.add([0] * self.OWN + [number(f"{name} edge") for _, name in NEIGHBOURS])
+        self.words, self.starts, self.kinds = words, starts, {}
+        self.codes, self.shapes = _Rows(len(OWN) + 2, np.int32), _Rows(1, np.int16)
+        self.flat, self.chunks = _Rows(1, np.int32), _Rows(4, np.int32)  # first token, tokens, shape, whether it has a lead word
+        self.weighed: _Rows | None = None
+        edge = self.codes.add((*[0] * len(OWN), 0, 1))
         self.shapes.add((0,))
-        self.chunks.add((self.flat.add((edge,)), EDGE, 0, 0))
-        for _ in range(EDGE - 1):
+        self.chunks.add((0, EDGE, 0, 0))
+        for _ in range(EDGE):
             self.flat.add((edge,))
 
     def __missing__(self, chunk: str) -> int:
-        number, kinds = self.number, self.kinds
-        first, tokens = None, _TOKEN.findall(chunk)
+        kinds, flat = self.kinds, self.flat
+        tokens = _TOKEN.findall(chunk)
+        first = flat.n + len(flat.new)
+        shape = None
         for t in tokens:
             kind = kinds.get(t)
             if kind is None:
-                own = own_features(t)
-                word = own[-1][5:]
-                kind = self.features.add([*map(number, own), *[number(f"{name} {word}") for _, name in NEIGHBOURS]])
-                shape = shape_of(t)
-                self.shapes.add((shape,))
-                kinds[t] = kind
-            at = self.flat.add((kind,))
-            if first is None:
-                first = at
+                own = own_codes(t)
+                shape = own[0]
+                kinds[t] = kind = self.codes.add((*own, self.starts.get(start_of(t), 0), self.words.get(word_of(t), 0)))
+                self.shapes.new.append((shape,))
+            flat.new.append((kind,))
+        bare = chunk.strip("\"'`.,;:()[]<>") or chunk[:1]
+        if shape is None or bare != tokens[-1]:
+            shape = shape_of(bare)
         lower = chunk.lower()
         lead = any(w in lower for w in _LEADS) and bool(_LEAD.search(chunk))
-        self[chunk] = found = self.chunks.add((first, len(tokens), shape_of(chunk.strip("\"'`.,;:()[]<>") or chunk[:1]), lead))
+        self[chunk] = found = self.chunks.add((first, len(tokens), shape, lead))
         return found
 
 
@@ -248,9 +271,8 @@ class Tokens:
         return out
 
 
-def grid_names() -> list[list[str]]:
-    """Names of the features of pairs: lead and chunk's shape, lead and token's shape, place and token's shape."""
-    return [[f"{name} {i} {k}" for i in range(n) for k in range(N_SHAPES)] for name, n in (("lead chunk", N_LEADS), ("lead token", N_LEADS), ("place token", N_PLACES))]
+#: Pairs: lead and chunk's shape, lead and token's shape, place and token's shape.
+GRIDS = (N_LEADS * N_SHAPES, N_LEADS * N_SHAPES, N_PLACES * N_SHAPES)
 
 
 def grid_cells(x: Tokens) -> list[np.ndarray]:
@@ -295,37 +317,42 @@ def decode(e: np.ndarray, move: np.ndarray) -> np.ndarray:
 
 
 class Field:
-    """The trained field: weights by feature and tag, and transitions."""
+    """The trained field: the vocabularies, a table of weights by tag for each feature, and transitions.
+
+    Tables are those of OWN, starts, own words, words of each of NEIGHBOURS, GRIDS and FILE, in this order.
+    """
 
-    def __init__(self, index: dict[str, int], weights: np.ndarray, transitions: np.ndarray):
-        self.index, self.weights, self.transitions = index, weights, transitions
-        self.name = hashlib.sha256(repr(sorted(index.items())).encode() + weights.tobytes() + transitions.tobytes()).hexdigest()
-        self.grids = [np.asarray([self._sum([f]) for f in names], np.float32) for names in grid_names()]
+    def __init__(self, words: dict[str, int], starts: dict[str, int], tables: list[np.ndarray], transitions: np.ndarray):
+        self.words, self.starts, self.tables, self.transitions = words, starts, tables, transitions
+        self.name = hashlib.sha256(repr((sorted(words.items()), sorted(starts.items()))).encode() + b"".join(t.tobytes() for t in tables) + transitions.tobytes()).hexdigest()
 
-    def _sum(self, features: list[str]) -> np.ndarray:
-        return self.weights[[self.index.get(f, 0) for f in features]].sum(axis=0)
+    @staticmethod
+    def sizes(words: dict[str, int], starts: dict[str, int]) -> list[int]:
+        return [*OWN, len(starts) + 1, *[len(words) + 2] * (1 + len(NEIGHBOURS)), *GRIDS, *FILE]
 
     def memory(self) -> Memory:
-        return Memory(lambda f: self.index.get(f, 0))
-
-    def _tables(self, memory: Memory) -> np.ndarray:
-        """What each kind of token adds to its own emissions, and to each neighbour's."""
-        rows, done = memory.features.array(), 0 if memory.weighed is None else len(memory.weighed)
-        if done < len(rows):
-            new = rows[done:]
-            parts = [self.weights[new[:, : Memory.OWN]].sum(axis=1), *[self.weights[new[:, Memory.OWN + i]] for i in range(len(NEIGHBOURS))]]
-            new = np.concatenate(parts, axis=1).astype(np.float32)
-            memory.weighed = new if memory.weighed is None else np.concatenate([memory.weighed, new])
-        return memory.weighed
+        return Memory(self.words, self.starts)
+
+    def _weighed(self, memory: Memory) -> np.ndarray:
+        """What each kind of token adds to its own emissions, and to those of each neighbour."""
+        if memory.weighed is None:
+            memory.weighed = _Rows(3 * (1 + len(NEIGHBOURS)), np.float32)
+        codes, own = memory.codes.array(), len(OWN) + 2
+        new = codes[memory.weighed.n :]
+        if len(new):
+            alone = sum(t[new[:, i]] for i, t in enumerate(self.tables[:own]))
+            memory.weighed.extend(np.concatenate([alone, *[t[new[:, -1]] for t in self.tables[own : own + len(NEIGHBOURS)]]], axis=1))
+        return memory.weighed.array()
 
     def emissions(self, texts: list[str], x: Tokens, memory: Memory) -> np.ndarray:
-        tables = self._tables(memory)
-        out = tables[x.kind, :3].astype(np.float64)
-        for i, (by, _) in enumerate(NEIGHBOURS, 1):
-            out += tables[x.shifted(x.kind, by), 3 * i : 3 * i + 3]
-        for table, cells in zip(self.grids, grid_cells(x), strict=True):
+        weighed = self._weighed(memory)
+        out = weighed[x.kind, :3].astype(np.float64)
+        for i, by in enumerate(NEIGHBOURS, 1):
+            out += weighed[x.shifted(x.kind, by), 3 * i : 3 * i + 3]
+        for table, cells in zip(self.tables[-6:-3], grid_cells(x), strict=True):
             out += table[cells]
-        out += np.asarray([self._sum(file_features(t)) for t in texts]).reshape(-1, 3)[x.text]
+        files = np.asarray([file_codes(t) for t in texts]).reshape(-1, 3)
+        out += sum(t[files[:, i]] for i, t in enumerate(self.tables[-3:]))[x.text]
         out[~x.real] = 0, NEVER, NEVER
         return out
 
@@ -333,7 +360,7 @@ class Field:
         """Places of secrets in each text."""
         if len(memory) > REMEMBER:
             memory.clear()
-            memory.__init__(memory.number)
+            memory.__init__(memory.words, memory.starts)
         x = Tokens(texts, memory)
         tags = decode(self.emissions(texts, x, memory), self.transitions)
         out: list[list[tuple[int, int]]] = [[] for _ in texts]
@@ -451,26 +478,28 @@ def tags_of(texts: list[str], spans: list[list[tuple[int, int]]], x: Tokens) ->
 def train(tagged: list[tuple[str, list[tuple[int, int]]]], steps: int = 80) -> Field:
     """Maximum likelihood with a small penalty, over windows of all tokens at once."""
     texts, spans = [t for t, _ in tagged], [s for _, s in tagged]
-    names: dict[str, int] = {}
-    number = lambda f: names.setdefault(f, len(names) + 1)  # noqa: E731; 0 is no feature
-    memory = Memory(number)
+    tokens = Counter(t for text in texts for chunk in text.split() for t in _TOKEN.findall(chunk))
+
+    def often(of) -> list[str]:
+        counts: Counter[str] = Counter()
+        for t, n in tokens.items():
+            counts[of(t)] += n
+        return sorted(k for k, n in counts.items() if n > 2)
+
+    words = {w: i for i, w in enumerate(often(word_of), 2)}
+    starts = {w: i for i, w in enumerate(often(start_of), 1)}
+    memory = Memory(words, starts)
     x = Tokens(texts, memory)
-    rows, own = memory.features.array(), Memory.OWN
-    columns = [*rows[x.kind, :own].T, *[rows[x.shifted(x.kind, by), own + i] for i, (by, _) in enumerate(NEIGHBOURS)]]
-    for some, cells in zip(grid_names(), grid_cells(x), strict=True):
-        used, which = np.unique(cells, return_inverse=True)
-        columns.append(np.asarray([number(some[c]) for c in used], np.int64)[which])
-    files = np.asarray([[number(f) for f in file_features(t)] for t in texts], np.int64).reshape(-1, 3)
-    columns += list(files[x.text].T)
-    features = np.stack(columns, axis=1)
+    codes = memory.codes.array().astype(np.int64)
+    files = np.asarray([file_codes(t) for t in texts], np.int64).reshape(-1, 3)
+    columns = [*codes[x.kind].T, *[codes[x.shifted(x.kind, by), -1] for by in NEIGHBOURS], *grid_cells(x), *files[x.text].T]
+    sizes = Field.sizes(words, starts)
+    firsts = np.cumsum([1, *sizes])  # 0 is no feature
+    features = np.stack([c + f for c, f in zip(columns, firsts, strict=False)], axis=1)
     features[~x.real] = 0
+    size = int(firsts[-1])
     # Features seen less than three times tell nothing.
-    kept = np.bincount(features.ravel(), minlength=len(names) + 1) > 2
-    kept[0] = False
-    new = np.cumsum(kept) * kept
-    features = new[features]
-    index = {f: int(new[i]) for f, i in names.items() if new[i] > 0}
-    size = len(index) + 1
+    features[np.bincount(features.ravel(), minlength=size)[features] < 3] = 0
 
     gold_all = tags_of(texts, spans, x)
     n = len(gold_all)
@@ -511,14 +540,19 @@ def train(tagged: list[tuple[str, list[tuple[int, int]]]], steps: int = 80) -> F
             state[a] = 0.9 * state[a] + 0.1 * g
             state[b] = 0.99 * state[b] + 0.01 * g * g
             p -= 0.15 * (state[a] / (1 - 0.9**step)) / (np.sqrt(state[b] / (1 - 0.99**step)) + 1e-8)
-    return Field(index, weights, move)
+    weights = weights.astype(np.float32)
+    return Field(words, starts, [weights[a:b] for a, b in zip(firsts, firsts[1:], strict=False)], move)
 
 
 def fit(docs: DataFrame) -> Field:
     """A field trained on a bounded sample of docs, and on invented sentences."""
     usable = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull() & F.col("id").isNotNull())
-    like = r"(?i)(passw(or)?d|secret|token|api_?key)[\"']? *[:=]|[0-9a-f]{24}" + r"|AKIA[A-Z0-9]{16}"
-    sized = usable.select("id", F.xxhash64("id").alias("h"), F.length("text").alias("n"), F.col("text").rlike(like).alias("match"))
+    lower = F.lower("text")
+    like = F.lit(False)
+    for word in ("passw", "secret", "token", "api_key", "apikey"):
+        like = like | lower.contains(word)
+    like = like | F.col("text").contains("AKIA") | F.col("text").rlike("[0-9a-f]{24}")
+    sized = usable.select("id", F.xxhash64("id").alias("h"), F.length("text").alias("n"), like.alias("match"))
     chosen = []
     for part in (sized.filter("match"), sized):
         chars = 0
