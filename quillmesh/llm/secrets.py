@@ -2,7 +2,8 @@
 
 Base patterns (assign, access, hex) are found as regular expressions say. The field tags every token
 of every text B (a secret begins), I (inside) or O. Tokens are runs of letters, digits, ``_+/-``, or
-single marks; chunks are what white space parts. Emissions see the token's shape (length, classes of
+single marks; chunks are what white space parts, and no secret goes on beyond its chunk: the first
+token of one is never I. Emissions see the token's shape (length, classes of
 characters, their changes and variety, beginnings), its place in its chunk and the chunk's shape, the
 neighbouring words (three before, one after, and how far the nearest lead word such as password or
 token is, together with the shapes) and the file (share of digits, of assignments, length).
@@ -353,6 +354,7 @@ class Field:
             out += table[cells]
         files = np.asarray([file_codes(t) for t in texts]).reshape(-1, 3)
         out += sum(t[files[:, i]] for i, t in enumerate(self.tables[-3:]))[x.text]
+        out[x.place & 1 == 0, 2] = NEVER  # the first of a chunk
         out[~x.real] = 0, NEVER, NEVER
         return out
 
@@ -508,6 +510,7 @@ def train(tagged: list[tuple[str, list[tuple[int, int]]]], steps: int = 80) -> F
     pad = lambda a: np.concatenate([a, np.zeros((full - n, *a.shape[1:]), a.dtype)])
     features, gold = pad(features), pad(gold_all).reshape(windows, WINDOW)
     real = pad(x.real).reshape(windows, WINDOW)
+    first = pad(x.place & 1 == 0).reshape(windows, WINDOW)
     before, behind = np.r_[0, gold[:-1, -1]], np.r_[gold[1:, 0], 0]
     weights, move = np.zeros((size, 3)), np.zeros((3, 3))
     move[0, 2] = NEVER  # I only follows B or I
@@ -517,6 +520,7 @@ def train(tagged: list[tuple[str, list[tuple[int, int]]]], steps: int = 80) -> F
     seen -= np.einsum("nj,nk->jk", hot[:-1, -1], hot[1:, 0])  # a window's last pair is the next one's first
     for step in range(1, steps + 1 if n else 0):
         e = np.stack([np.take(weights[:, k], features).sum(axis=1) for k in range(3)], axis=1).reshape(windows, WINDOW, 3)
+        e[first, 2] = NEVER
         e[~real] = 0, NEVER, NEVER
         forward, backward = np.zeros_like(e), np.zeros_like(e)
         forward[:, 0] = e[:, 0] + move[before]
