@@ -115,7 +115,8 @@ def _groups(rows: DataFrame) -> DataFrame:
 
 def _spread(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """Each row once for every group whose estimate it takes part in: its own, its language's and all, as far as someone uses them."""
-    used = groups.select("g").distinct()
+    # Written, so that its size is known and rows aren't dealt by a hot group for the join's sake.
+    used = cut(groups.select("g").distinct())
     lang, pair = _names()
     return rows.select("u", "v", "x1", "x2", "x3", F.explode(F.array(pair, lang, F.lit("all"))).alias("g")).join(used, "g", "left_semi")
 
