@@ -66,7 +66,7 @@ _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")  # HEX's maximal runs that are
 _MIXED = re.compile(r"[a-z][A-Z]")
 #: Words near which secrets stand; a feature of the chunks around.
 _LEAD = re.compile(r"(?:pass(?:word|wd|phrase|code)|pwd|secret|token|credential|bearer|(?<![a-z])(?:api|access|auth|private|secret)?[_ -]?key)s?(?![a-z])", re.IGNORECASE | re.ASCII)
-_LEADS = ("pass", "pwd", "secret", "token", "credential", "bearer", "key")
+_LEADS = re.compile("pass|pwd|secret|token|credential|bearer|key")
 #: Chunks behind and ahead of a lead word that see it.
 AFTER, BEFORE = 6, 3
 _CHUNK = re.compile(r"\S+")
@@ -199,33 +199,29 @@ class Memory(dict):
     def __init__(self, words: dict[str, int], starts: dict[str, int]):
         super().__init__()
         self.words, self.starts, self.kinds = words, starts, {}
-        self.codes, self.shapes = _Rows(len(OWN) + 2, np.int32), _Rows(1, np.int16)
+        self.codes, self.shape_of = _Rows(len(OWN) + 2, np.int32), [0]
         self.flat, self.chunks = _Rows(1, np.int32), _Rows(4, np.int32)  # first token, tokens, shape, whether it has a lead word
         self.weighed: _Rows | None = None
         edge = self.codes.add((*[0] * len(OWN), 0, 1))
-        self.shapes.add((0,))
         self.chunks.add((0, EDGE, 0, 0))
         for _ in range(EDGE):
             self.flat.add((edge,))
 
     def __missing__(self, chunk: str) -> int:
-        kinds, flat = self.kinds, self.flat
+        kinds, new = self.kinds, self.flat.new
         tokens = _TOKEN.findall(chunk)
-        first = flat.n + len(flat.new)
-        shape = None
+        first = self.flat.n + len(new)
         for t in tokens:
             kind = kinds.get(t)
             if kind is None:
                 own = own_codes(t)
-                shape = own[0]
                 kinds[t] = kind = self.codes.add((*own, self.starts.get(start_of(t), 0), self.words.get(word_of(t), 0)))
-                self.shapes.new.append((shape,))
-            flat.new.append((kind,))
+                self.shape_of.append(own[0])
+            new.append((kind,))
+        # Most chunks are a word and marks behind it.
         bare = chunk.strip("\"'`.,;:()[]<>") or chunk[:1]
-        if shape is None or bare != tokens[-1]:
-            shape = shape_of(bare)
-        lower = chunk.lower()
-        lead = any(w in lower for w in _LEADS) and bool(_LEAD.search(chunk))
+        shape = self.shape_of[kinds[bare]] if bare in kinds else shape_of(bare)
+        lead = _LEADS.search(chunk.lower()) is not None and _LEAD.search(chunk) is not None
         self[chunk] = found = self.chunks.add((first, len(tokens), shape, lead))
         return found
 
@@ -247,7 +243,7 @@ class Tokens:
         at = np.arange(n) - self.starts[self.chunk]  # place in the chunk
         self.kind = flat[chunks[self.chunk, 0] + at]
         self.real = numbers[self.chunk] > 0
-        self.shape = memory.shapes.array()[self.kind, 0]
+        self.shape = memory.codes.array()[self.kind, 0].astype(np.int64)  # the first of OWN
         self.place = (at > 0) + 2 * (at + 1 < counts[self.chunk])
         self.text = np.repeat(np.arange(len(texts)), sizes)
         lead, self.chunk_shape = self._leads(chunks[:, 3] > 0), chunks[:, 2]
@@ -555,7 +551,7 @@ def fit(docs: DataFrame) -> Field:
     like = F.lit(False)
     for word in ("passw", "secret", "token", "api_key", "apikey"):
         like = like | lower.contains(word)
-    like = like | F.col("text").contains("AKIA") | F.col("text").rlike("[0-9a-f]{24}")
+    like = like | F.col("text").contains("AKIA")
     sized = usable.select("id", F.xxhash64("id").alias("h"), F.length("text").alias("n"), like.alias("match"))
     chosen = []
     for part in (sized.filter("match"), sized):
