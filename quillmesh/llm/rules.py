@@ -50,9 +50,18 @@ CHI_MEDIAN, CHI_975, CHI_999, WITHIN_975 = 3.3567, 11.1433, 18.4668, 0.975 / 0.9
 FLOOR = (0.03, 0.025, 0.1, 0.1)
 DIMS = range(4)
 BUCKETS, WIDTH, STEP = 512, 0.004, 0.02
+#: Group tables are broadcast where a count shows no more groups than these; beyond, they are joined like others.
+FEW_GROUPS = 20_000
 SYMBOLS = "#*$%&|<>"
 
 
+Mark = Callable[[DataFrame], DataFrame]
+
+
+def plainly(table: DataFrame) -> DataFrame:
+    return table
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once however often body uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -113,10 +122,9 @@ def _groups(rows: DataFrame) -> DataFrame:
     return pairs.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), F.when(F.col("n") >= LEAST_GROUP, pair).when(F.sum("n").over(Window.partitionBy("lang")) >= LEAST_GROUP, lang).otherwise(F.lit("all")).alias("g"))
 
 
-def _spread(rows: DataFrame, groups: DataFrame) -> DataFrame:
+def _spread(rows: DataFrame, groups: DataFrame, mark: Mark = plainly) -> DataFrame:
     """Each row once for every group whose estimate it takes part in: its own, its language's and all, as far as someone uses them."""
-    # Written, so that its size is known and rows aren't dealt by a hot group for the join's sake.
-    used = cut(groups.select("g").distinct())
+    used = mark(groups.select("g").distinct())
     lang, pair = _names()
     return rows.select("u", "v", "x1", "x2", "x3", F.explode(F.array(pair, lang, F.lit("all"))).alias("g")).join(used, "g", "left_semi")
 
@@ -143,10 +151,10 @@ def _of_each(rows: DataFrame, columns: list[Column]) -> DataFrame:
     return found.groupBy("g").agg(*[F.max(F.when(F.col("k") == i, (F.col("q") + 1) * (WIDTH if i else STEP / 4))).alias(f"q{i}") for i in range(len(columns))])
 
 
-def centred(spread: DataFrame) -> DataFrame:
+def centred(spread: DataFrame, mark: Mark = plainly) -> DataFrame:
     """g, x0.. of rows, with word lengths taken from the group's median; and that median as m."""
     middle = cut(_of_each(spread, [F.col("u")]).withColumnRenamed("q0", "m"))
-    return cut(spread.join(middle, "g").select("g", "m", (F.col("v") * (F.col("u") - F.col("m"))).alias("x0"), "x1", "x2", "x3"))
+    return cut(spread.join(mark(middle), "g").select("g", "m", (F.col("v") * (F.col("u") - F.col("m"))).alias("x0"), "x1", "x2", "x3"))
 
 
 def _sums() -> list[Column]:
@@ -178,49 +186,49 @@ def distances(rows: DataFrame) -> DataFrame:
     return rows.withColumn("d2", sum((F.col(f"z{i}") * F.col(f"z{i}") for i in DIMS), F.lit(0.0)))
 
 
-def starts(rows: DataFrame) -> DataFrame:
+def starts(rows: DataFrame, mark: Mark = plainly) -> DataFrame:
     """g, s, shapes to start from: 0 by medians and median deviations, the others by random subsets."""
     medians = cut(_of_each(rows, [F.abs(F.col("x0")), *[F.col(f"x{i}") for i in (1, 2, 3)]]).select("g", F.lit(0.0).alias("m0"), *[F.col(f"q{i}").alias(f"m{i}") for i in (1, 2, 3)]))
-    spread = _of_each(rows.join(medians, "g"), [F.abs(F.col(f"x{i}") - F.col(f"m{i}")) for i in DIMS])
+    spread = _of_each(rows.join(mark(medians), "g"), [F.abs(F.col(f"x{i}") - F.col(f"m{i}")) for i in DIMS])
     deviation = lambda i: F.greatest(1.4826 * F.col(f"q{i}"), F.lit(FLOOR[i]))
     zero = medians.join(spread, "g").select("g", F.lit(0).alias("s"), *[f"m{i}" for i in DIMS], *[(deviation(i) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in DIMS for j in range(i + 1)], sum((2 * F.log(deviation(i)) for i in DIMS), F.lit(0.0)).alias("det"))
     # A start is the vectors of the least hashes: one of each seed.
     seeds = [(s, k) for s in range(1, RANDOM + 1) for k in range(SUBSET)]
     draw = lambda s, k: F.xxhash64(*[F.col(f"x{i}") for i in DIMS], F.lit(100 * s + k))
     least = cut(rows.groupBy("g").agg(*[F.min(draw(s, k)).alias(f"h{s}_{k}") for s, k in seeds]))
-    picked = rows.join(least, "g").select("g", *[f"x{i}" for i in DIMS], F.filter(F.array(*[F.when(draw(s, k) == F.col(f"h{s}_{k}"), F.lit(100 * s + k)) for s, k in seeds]), lambda x: x.isNotNull()).alias("seeds")).filter(F.size("seeds") > 0)
+    picked = rows.join(mark(least), "g").select("g", *[f"x{i}" for i in DIMS], F.filter(F.array(*[F.when(draw(s, k) == F.col(f"h{s}_{k}"), F.lit(100 * s + k)) for s, k in seeds]), lambda x: x.isNotNull()).alias("seeds")).filter(F.size("seeds") > 0)
     picked = picked.select("g", *[f"x{i}" for i in DIMS], F.explode("seeds").alias("seed")).distinct().withColumn("s", F.floor(F.col("seed") / 100).cast("int"))
     return cut(zero.unionByName(_shape(picked.groupBy("g", "s").agg(*_sums()), ["g", "s"])))
 
 
-def concentrate(rows: DataFrame, shapes: DataFrame) -> DataFrame:
+def concentrate(rows: DataFrame, shapes: DataFrame, mark: Mark = plainly) -> DataFrame:
     """One concentration step of every g, s of shapes."""
-    near = distances(rows.join(shapes, "g")).select("g", "s", *[f"x{i}" for i in DIMS], _bucket(F.log1p("d2"), STEP).alias("bucket"))
+    near = distances(rows.join(mark(shapes), "g")).select("g", "s", *[f"x{i}" for i in DIMS], _bucket(F.log1p("d2"), STEP).alias("bucket"))
     limit = cut(quantiles(near, ["g", "s"], SHARE).select("g", "s", "q"))
-    inside = near.join(limit, ["g", "s"]).filter(F.col("bucket") <= F.col("q"))
+    inside = near.join(mark(limit), ["g", "s"]).filter(F.col("bucket") <= F.col("q"))
     out = cut(_shape(inside.groupBy("g", "s").agg(*_sums()), ["g", "s"]))
     release(limit)
     return out
 
 
-def estimate(rows: DataFrame) -> DataFrame:
+def estimate(rows: DataFrame, mark: Mark = plainly) -> DataFrame:
     """g, x0.. -> g, m, l, and n, the group's rows; see the module's head."""
-    shapes = starts(rows)
+    shapes = starts(rows, mark)
     for _ in range(2):
-        shapes = concentrate(rows, shapes)
+        shapes = concentrate(rows, shapes, mark)
     best = shapes.groupBy("g").agg(F.min(F.struct("det", "s")).alias("least"))
     shapes = cut(shapes.join(best, "g").filter(F.col("s") == F.col("least.s")).drop("least"))
     falling = True
     while falling:
         # A step never raises a determinant, but for halves that end at a bucket's edge; a group that has settled stays.
-        following = concentrate(rows, shapes).select("g", F.struct("*").alias("new"))
+        following = concentrate(rows, shapes, mark).select("g", F.struct("*").alias("new"))
         both = shapes.join(following, "g").withColumn("falls", F.col("new.det") < F.col("det") - 1e-3)
         falling = not both.filter("falls").isEmpty()
         shapes = cut(both.select("g", *[F.when(F.col("falls"), F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in shapes.columns if c != "g"]))
     shapes = shapes.drop("s")
-    near = distances(rows.join(shapes, "g")).select("g", *[f"x{i}" for i in DIMS], "d2", _bucket(F.log1p("d2"), STEP).alias("bucket"))
+    near = distances(rows.join(mark(shapes), "g")).select("g", *[f"x{i}" for i in DIMS], "d2", _bucket(F.log1p("d2"), STEP).alias("bucket"))
     scale = cut(quantiles(near, ["g"], 0.5).select("g", F.greatest(F.expm1((F.col("q") + 1) * STEP) / CHI_MEDIAN, F.lit(1.0)).alias("scale"), F.col("n").alias("rows")))
-    inside = near.join(scale, "g").filter(F.col("d2") <= CHI_975 * F.col("scale"))
+    inside = near.join(mark(scale), "g").filter(F.col("d2") <= CHI_975 * F.col("scale"))
     return cut(_shape(inside.groupBy("g").agg(*_sums()), ["g"], WITHIN_975).join(scale.select("g", F.col("rows").alias("n")), "g"))
 
 
@@ -233,11 +241,14 @@ def judge(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, the base counts, base_failed, distance and kept for every row of docs."""
     rows = cut(vectors(counts(docs)))
     groups = cut(_groups(rows))
+    # Hot groups' rows needn't move where the group tables can: as their number, checked here, allows.
+    mark = F.broadcast if groups.count() <= FEW_GROUPS else plainly
     # The estimates are made of documents that pass the base rules; what fails them is rejected anyway.
-    fit = centred(_spread(rows.filter(~base_failed()), groups))
-    shape = cut(estimate(fit).join(fit.select("g", "m").distinct(), "g"))
+    fit = centred(_spread(rows.filter(~base_failed()), groups, mark), mark)
+    shape = cut(estimate(fit, mark).join(mark(fit.select("g", "m").distinct()), "g"))
     release(fit)
-    mine = rows.join(groups, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
-    far = distances(mine.join(shape, "g", "left").withColumn("x0", F.col("v") * (F.col("u") - F.col("m"))))
+    own = cut(groups.join(mark(shape), "g", "left"))
+    mine = rows.join(mark(own), F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
+    far = distances(mine.withColumn("x0", F.col("v") * (F.col("u") - F.col("m"))))
     failed = base_failed()
     return far.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), F.when(failed, F.lit(False)).otherwise(F.coalesce(F.col("d2") <= cutoff(F.col("n")), F.lit(True))).alias("kept"), F.col("d2").alias("distance"))
