@@ -173,6 +173,8 @@ def build(spark: SparkSession, ir: DataFrame, target: str, folder: str, dim: int
     store.write("chunks_vec", embed(store.read("chunks"), "chunk_id", dim, model))
     numbered = atoms.select(F.xxhash64("atom_id").alias("key"), "atom_id", F.concat_ws(". ", "name", "description").alias("text"))
     store.write("atoms_vec", embed(numbered, "key", dim, model).join(numbered.select("key", "atom_id"), "key").select("atom_id", "embedding"))
+    named = store.read("communities").select("community_id", F.concat_ws(". ", "label", "summary").alias("text"))
+    store.write("communities_vec", embed(named, "community_id", dim, model))
     store.write("meta", spark.createDataFrame([("schema_version", "2.0"), ("target_paper_id", target), ("vector_dim", str(dim))], "key string, value string"))
     return store
 

@@ -7,6 +7,7 @@ Python (dicts and lists), as tools do; what can be large stays a DataFrame.
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Callable, Sequence
 from typing import Any
 
@@ -77,10 +78,10 @@ class Engine:
         return {"component": component, "atoms": rows(atoms), "edges": rows(edges)}
 
     def find_atom(self, question: str, limit: int = 5) -> list[dict]:
-        terms = R.question_tokens(question, 1)
+        terms = list(dict.fromkeys(re.findall("[a-z0-9_-]+", question.lower())))
         if not terms:
             return []
-        found = R.find_atoms(self.t["atoms"], self.t["atoms_vec"], terms, self._vector(question), limit)
+        found = R.find_atoms(self.t["atoms"], self.t["atom_evidence"], self.t["atoms_vec"], terms, self._vector(question), limit, question)
         return rows(found.join(self.t["atoms"], "atom_id").orderBy(F.col("score").desc(), "atom_id"))
 
     def _atom(self, ident: str) -> DataFrame:
@@ -126,19 +127,8 @@ class Engine:
     def route_query_only(self, question: str) -> str:
         return self.spark.range(1).select(T.route(F.lit(question)).alias("m")).first().m
 
-    def _chunks(self, question: str, limit: int, cap: int, kinds: Sequence[str] | None = None, prefer: str | None = None, papers: DataFrame | None = None) -> DataFrame:
-        terms = R.question_tokens(question)
-        pool = self.t["chunks"]
-        if kinds:
-            pool = pool.filter(F.col("chunk_kind").isin(*kinds))
-        if papers is not None:
-            pool = pool.join(papers, "paper_id", "left_semi")
-        if terms:
-            found = R.candidates(pool, self.t["chunks_vec"], terms, self._vector(question), limit, prefer)
-        else:
-            near = R.nearest(self.t["chunks_vec"], "chunk_id", self._vector(question), limit * R.OVERSAMPLE)
-            found = near.join(pool, "chunk_id").select("chunk_id", "paper_id", (-F.col("distance")).alias("score"))
-        return R.diversify(found, "paper_id", R.by_score(), cap, limit).select("chunk_id", "paper_id", "score")
+    def _matches(self, question: str, limit: int) -> R.Matches:
+        return R.match(self.t["chunks"], self.t["chunks_vec"], R.question_tokens(question), self._vector(question), limit * R.OVERSAMPLE)
 
     def _shown(self, found: DataFrame, full: bool) -> list[dict]:
         text = F.col("text") if full else F.substring("text", 1, 240)
@@ -146,19 +136,20 @@ class Engine:
         return rows(told.orderBy(F.col("score").desc(), "chunk_id"))
 
     def query_chunks(self, question: str, limit: int = 8, full: bool = False, max_per_paper: int = 2, kinds: Sequence[str] | None = None, prefer_kind: str | None = None) -> list[dict]:
-        return self._shown(self._chunks(question, limit, max_per_paper, kinds, prefer_kind), full)
+        return self._shown(R.query_chunks(self._matches(question, limit), limit, max_per_paper, prefer_kind, kinds), full)
 
     def query(self, question: str, mode: str = "auto", limit: int = 8, full: bool = False) -> dict:
         route = self.route_query_only(question) if mode == "auto" else mode
-        members, terms = self.t["community_papers"], R.question_tokens(question) or [question]
-        top = lambda k: R.top_communities(self.t["papers"], members, terms, k)
-        local = lambda: R.query_local(self._chunks(question, 2 * limit, 2 * limit), members, top(1), limit)
-        everywhere = lambda: R.query_global(self.t["chunks"], self.t["papers"], self.t["atoms"], members, self.t["community_atoms"], top(3), limit)
+        members, terms = self.t["community_papers"], R.question_tokens(question)
+        found = self._matches(question, 2 * limit)
+        top = R.top_communities(self.t["communities"], self.t["communities_vec"], terms, self._vector(question), 3)
+        local = lambda: R.query_local(R.query_chunks(found, 2 * limit, 2 * limit), members, top.orderBy("distance", "community_id").limit(1), limit)
+        everywhere = lambda: R.query_global(found, self.t["papers"], self.t["atoms"], members, self.t["community_atoms"], top, limit)
         if route == "global":
-            found = everywhere()
-            listed = rows(found.orderBy("community_id", "kind", "place"))
+            listed = rows(everywhere().orderBy("community_id", "kind", "place"))
             if listed:
-                return {"mode": "global", "route": route, "items": listed}
+                told = rows(self.t["communities"].join(top, "community_id").orderBy("distance", "community_id"))
+                return {"mode": "global", "route": route, "communities": told, "items": listed}
             return {"mode": "local", "route": route, "items": self._shown(local(), full)}
         if route == "local":
             items = self._shown(local(), full)

@@ -75,13 +75,40 @@ def similar_pairs(items: DataFrame, least: float) -> DataFrame:
     return full.filter(F.size(F.array_intersect("ta", "tb")) >= least * F.size(F.array_union("ta", "tb"))).select("a", "b")
 
 
-def exact(items: DataFrame, tokens: Column) -> DataFrame:
-    """Atoms of one category and token set become the first of them; users are united, the greatest priority and longest description kept."""
+def exact(items: DataFrame, tokens: Column, usage: DataFrame) -> DataFrame:
+    """Atoms of one category and token set become the first of them; users (atom_id, paper_id) are united, the greatest priority and longest description kept."""
     keyed = items.withColumn("key", F.array_join(tokens, " "))
+    users = keyed.select("category", "key", "atom_id").join(usage.select("atom_id", "paper_id"), "atom_id").groupBy("category", "key").agg(F.array_join(F.array_sort(F.collect_set("paper_id")), ",").alias("used_by"))
     first = F.min(F.struct("seq", "atom_id", "name")).alias("first")
     longest = F.max(F.struct(F.length("description"), -F.col("seq"), F.col("description").alias("text"))).alias("longest")
     out = keyed.groupBy("category", "key").agg(first, longest, F.max("priority").alias("priority"), F.count("*").alias("merged"))
-    return out.select(F.col("first.atom_id").alias("atom_id"), "category", F.col("first.name").alias("name"), F.col("longest.text").alias("description"), "priority", "merged")
+    out = out.join(users, ["category", "key"], "left")
+    return out.select(F.col("first.atom_id").alias("atom_id"), "category", F.col("first.name").alias("name"), F.col("longest.text").alias("description"), "priority", "merged", F.coalesce("used_by", F.lit("")).alias("used_by"))
+
+
+def exact_homes(items: DataFrame, tokens: Column) -> DataFrame:
+    """atom_id, kept_as: the first atom of each atom's category and token set."""
+    keyed = items.withColumn("key", F.array_join(tokens, " "))
+    first = keyed.groupBy("category", "key").agg(F.min_by("atom_id", "seq").alias("kept_as"))
+    return keyed.join(first, ["category", "key"]).select("atom_id", "kept_as")
+
+
+def by_vector(items: DataFrame, vectors: DataFrame) -> DataFrame:
+    """atom_id, kept_as by cosine (greedy); an atom without a vector is kept as itself."""
+    sighted = items.join(vectors, "atom_id", "left")
+    alike = greedy(sighted.filter("embedding IS NOT NULL").select("atom_id", "seq", "category", "embedding"), "cosine")
+    return alike.unionByName(sighted.filter("embedding IS NULL").select("atom_id", F.col("atom_id").alias("kept_as")))
+
+
+def deduplicated(items: DataFrame, vectors: DataFrame, description: Column, name: Column) -> DataFrame:
+    """atom_id, kept_as of every atom: by exact tokens, then of those kept by similar tokens, then of those by vectors."""
+    one = exact_homes(items, description)
+    kept = lambda rows, homes: rows.join(homes.filter("atom_id = kept_as").select("atom_id"), "atom_id", "left_semi")
+    items = kept(items, one)
+    two = greedy(items.select("atom_id", "seq", "category", name.alias("tokens")), "jaccard")
+    three = by_vector(kept(items, two), vectors)
+    follow = lambda homes, following: homes.join(following.select(F.col("atom_id").alias("kept_as"), F.col("kept_as").alias("then")), "kept_as").select("atom_id", F.col("then").alias("kept_as"))
+    return follow(follow(one, two), three)
 
 
 def greedy(items: DataFrame, alike: str, out: str = "atom_id string, kept_as string") -> DataFrame:

@@ -47,13 +47,40 @@ def kappa(rows: DataFrame, a: str, b: str) -> DataFrame:
     return total.crossJoin(chance).select(value.alias("kappa"))
 
 
-def gates(papers: DataFrame, atoms: DataFrame, evidence: DataFrame) -> DataFrame:
-    """gate, passed, hard: the acceptance checks of a compiled corpus."""
+#: Files that tools answer for, and the ways of reading them past the tools that are blocked.
+PROTECTED = (
+    "research/wiki/atoms/", "research/wiki/papers/", "research/wiki/communities/", "research/evidence/", "research/graph.json", "research/research.db", "research/embeddings.npy", "research/embeddings.json",
+)
+DIRECT_TOOLS = ("Read", "Glob", "Grep")
+
+
+def path_policy(calls: DataFrame) -> DataFrame:
+    """calls (tool, path and any others) with blocked: a direct tool on a protected path; a call without a path is open."""
+    path = F.coalesce("path", F.lit(""))
+    protected = F.lit(False)
+    for part in PROTECTED:
+        protected = protected | path.contains(part)
+    return calls.withColumn("blocked", F.coalesce(F.col("tool").isin(*DIRECT_TOOLS), F.lit(False)) & protected)
+
+
+def promoted(answers: DataFrame) -> DataFrame:
+    """answer, atoms, communities, chunks of the answers worth a page: two atoms or more of different communities, or three chunks or more.
+
+    answers: answer, atom_id, community_id, chunk (each null where a row says nothing of it).
+    """
+    got = answers.groupBy("answer").agg(F.countDistinct("atom_id").alias("atoms"), F.countDistinct("community_id").alias("communities"), F.countDistinct("chunk").alias("chunks"))
+    return got.filter("atoms >= 2 and communities >= 2 or chunks >= 3")
+
+
+def gates(papers: DataFrame, atoms: DataFrame, evidence: DataFrame, chunks: DataFrame) -> DataFrame:
+    """gate, passed, hard: the acceptance checks of a compiled corpus. All evidence must resolve to a chunk, which is hard where there is any."""
     p = papers.agg(F.count("*").alias("papers"), F.count(F.when(F.col("acquired"), 1)).alias("got"), F.countDistinct("acquired_via").alias("sources"))
-    every = p.crossJoin(atoms.agg(F.count("*").alias("atoms"), F.countDistinct("defined_by").alias("definers"))).crossJoin(evidence.agg(F.count("*").alias("links")))
+    known = chunks.select("paper_id", "paragraph_id").distinct().withColumn("there", F.lit(1))
+    resolved = evidence.join(known, ["paper_id", "paragraph_id"], "left").agg(F.count("*").alias("links"), F.count("there").alias("found"))
+    every = p.crossJoin(atoms.agg(F.count("*").alias("atoms"), F.countDistinct("defined_by").alias("definers"))).crossJoin(resolved)
     n, some = F.col, lambda x: F.greatest(F.lit(1), x)
     checks = {
-        "coverage": (100.0 * n("got") / some(n("papers")) >= 70, F.lit(False)), "atoms": (n("atoms") >= 30, F.lit(False)), "evidence": (n("links") > 0, n("links") > 0),
+        "coverage": (100.0 * n("got") / some(n("papers")) >= 70, F.lit(False)), "atoms": (n("atoms") >= 30, F.lit(False)), "evidence": ((n("links") > 0) & (n("found") == n("links")), n("links") > 0),
         "sources": (n("sources") >= 2, F.lit(False)), "papers": (n("papers") >= 5, F.lit(True)), "definers": (n("definers") / some(n("got")) >= 0.6, F.lit(False)),
     }
     rows = F.array(*[F.struct(F.lit(k).alias("gate"), passed.alias("passed"), hard.alias("hard")) for k, (passed, hard) in checks.items()])

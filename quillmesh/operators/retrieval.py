@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmesh.operators.materialise import cut
 from quillmesh.operators.ranking import diversify, top_per_group
 
 #: BM25 of full-text indexes and of Okapi; fusion; oversampling.
@@ -21,6 +23,11 @@ def index_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 
 
+def atom_tokens(text: Column) -> Column:
+    """Tokens of the index of atoms, which keep _ and -."""
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_-]+"), F.lit(0))
+
+
 def question_tokens(question: str, least: int = 3) -> list[str]:
     """Distinct lower-case tokens of a question, in order; shorter ones are left out."""
     import re
@@ -38,11 +45,8 @@ def _is(term: str):
     return lambda token: token == term
 
 
-def bm25(items: DataFrame, key: str, text: Column, terms: Sequence[str]) -> DataFrame:
-    """key, score of the items that hold a term; one pass, in which only the terms' own tokens leave a row."""
-    tokens = items.select(key, index_tokens(text).alias("tokens"))
-    hits = F.filter("tokens", lambda t: t.isin(*terms))
-    rows = tokens.select(key, F.size("tokens").alias("length"), hits.alias("hits"))
+def _bm25_score(rows: DataFrame, terms: Sequence[str]) -> Column:
+    """The score of a row by its length and hits, with the statistics of all rows."""
     whole = rows.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count(F.when(F.array_contains("hits", t), 1)).alias(f"df{i}") for i, t in enumerate(terms)]).first()
     n, mean = whole["n"], whole["mean"] or 1.0
     score = F.lit(0.0)
@@ -51,22 +55,30 @@ def bm25(items: DataFrame, key: str, text: Column, terms: Sequence[str]) -> Data
         idf = math.log((n - df + 0.5) / (df + 0.5))
         tf = F.size(F.filter("hits", _is(t)))
         score = score + F.lit(idf if idf > 0 else IDF_FLOOR) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / mean))
-    return rows.filter(F.size("hits") > 0).select(key, F.round(score, 6).alias("score"))
+    return score
+
+
+def bm25(items: DataFrame, key: str, text: Column, terms: Sequence[str]) -> DataFrame:
+    """key, score of the items that hold a term; one pass over the texts, of which only lengths and the terms' own tokens are kept."""
+    tokens = items.select(key, index_tokens(text).alias("tokens"))
+    rows = cut(tokens.select(key, F.size("tokens").alias("length"), F.filter("tokens", lambda t: t.isin(*terms)).alias("hits")))
+    return rows.filter(F.size("hits") > 0).select(key, F.round(_bm25_score(rows, terms), 6).alias("score"))
 
 
 def okapi(items: DataFrame, key: str, text: Column, terms: Sequence[str]) -> DataFrame:
     """key, score by Okapi; terms more common than not weigh a quarter of the vocabulary's mean idf."""
-    index = postings(items, key, text)
-    n = items.count()
+    tokens = cut(items.select(key, atom_tokens(text).alias("tokens")))
+    size = tokens.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("length")).first()
+    n, mean = size.n, size.length / max(1, size.n)
     idf = F.log(F.lit(n + 0.5) - F.col("df")) - F.log(F.col("df") + 0.5)
-    frequency = index.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", idf)
+    frequency = cut(tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", idf))
     mean_idf = frequency.agg(F.avg("idf")).first()[0] or 0.0
-    mean = index.groupBy(key, "length").agg(F.lit(1)).agg(F.sum("length")).first()[0] or 0
-    mean = mean / max(1, n)
-    asked = index.filter(F.col("term").isin(*terms)).join(frequency.filter(F.col("term").isin(*terms)), "term")
-    weight = F.when(F.col("idf") < 0, OKAPI_EPSILON * mean_idf).otherwise(F.col("idf"))
-    part = weight * F.col("tf") * (OKAPI_K1 + 1) / (F.col("tf") + OKAPI_K1 * (1 - OKAPI_B + OKAPI_B * F.col("length") / (mean or 1.0)))
-    return asked.groupBy(key).agg(F.round(F.sum(part), 6).alias("score")).filter("score > 0")
+    weights = {r.term: OKAPI_EPSILON * mean_idf if r.idf < 0 else r.idf for r in frequency.filter(F.col("term").isin(*terms)).collect()}  # the question's terms
+    score = F.lit(0.0)
+    for t, weight in sorted(weights.items()):
+        tf = F.size(F.filter("tokens", _is(t)))
+        score = score + F.lit(float(weight)) * tf * (OKAPI_K1 + 1) / (tf + OKAPI_K1 * (1 - OKAPI_B + OKAPI_B * F.size("tokens") / (mean or 1.0)))
+    return tokens.select(key, F.round(score, 6).alias("score")).filter("score > 0")
 
 
 def distance(vector: Column, question: Sequence[float]) -> Column:
@@ -85,31 +97,83 @@ def nearest(vectors: DataFrame, key: str, question: Sequence[float], k: int) ->
     return vectors.select(key, distance(F.col("embedding"), question).alias("distance")).orderBy("distance", key).limit(k)
 
 
-def candidates(chunks: DataFrame, vectors: DataFrame, terms: Sequence[str], question: Sequence[float], limit: int, prefer: str | None = None) -> DataFrame:
-    """chunk_id, paper_id, score: keyword hits, then vector hits not among them; quality and a preferred kind add to either."""
+@dataclass(frozen=True)
+class Matches:
+    """What one pass over the chunks has of a question: rows (chunk_id, paper_id, quality, chunk_kind, score) of those that
+    hold a term (score by BM25 of the whole corpus) or are near, and near (chunk_id, distance), the k nearest by vector."""
+
+    rows: DataFrame
+    near: DataFrame
+
+
+def match(chunks: DataFrame, vectors: DataFrame, terms: Sequence[str], question: Sequence[float], k: int) -> Matches:
+    """One scan of the chunks: their hits are written once; statistics, scores and every list of a question come from there.
+
+    Kind and quality are asked only of chunks that can be answers.
+    """
+    spark = chunks.sparkSession
+    nearest_rows = nearest(vectors, "chunk_id", question, k).collect()  # k rows
+    near = spark.createDataFrame(nearest_rows, "chunk_id long, distance double")
+    hits = F.filter("tokens", lambda t: t.isin(*terms)) if terms else F.array().cast("array<string>")
+    met = (F.size("hits") > 0) | F.col("chunk_id").isin([r.chunk_id for r in nearest_rows])
+    tokens = chunks.select("chunk_id", "paper_id", index_tokens(F.col("text")).alias("tokens"), F.struct("quality", "chunk_kind").alias("told"))
+    seen = tokens.select("chunk_id", "paper_id", F.size("tokens").alias("length"), hits.alias("hits"), "told")
+    table = cut(seen.select("chunk_id", "paper_id", "length", "hits", F.when(met, F.col("told")).alias("told")))
+    met_rows = table.filter(met).select("chunk_id", "paper_id", F.coalesce("told.quality", F.lit(1.0)).alias("quality"), F.col("told.chunk_kind").alias("chunk_kind"), "length", "hits")
+    scored = _bm25_score(table, terms)
+    return Matches(met_rows.withColumn("score", F.when(F.size("hits") > 0, F.round(scored, 6))).drop("hits", "length"), near)
+
+
+def _lists(found: Matches, limit: int, kinds: Sequence[str] | None, papers: DataFrame | None, by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The keyword list, its filters before its cut, and the k nearest, cut before their filters (as a vector index answers)."""
+    rows = found.rows.filter(F.col("chunk_kind").isin(*kinds)) if kinds else found.rows
+    if papers is not None:
+        rows = rows.join(papers, "paper_id")
+    words = rows.filter("score IS NOT NULL").withColumn("base", F.col("score"))
     k = limit * OVERSAMPLE
-    words = bm25(chunks, "chunk_id", F.col("text"), terms).orderBy(F.col("score").desc(), "chunk_id").limit(k).select("chunk_id", F.col("score").alias("base"))
-    near = nearest(vectors, "chunk_id", question, k).select("chunk_id", (-F.col("distance")).alias("base")).join(words, "chunk_id", "left_anti")
-    found = words.unionByName(near).join(chunks.select("chunk_id", "paper_id", "quality", "chunk_kind"), "chunk_id")
-    boost = F.when(F.col("chunk_kind") == prefer, KIND_BOOST).otherwise(0.0) if prefer else F.lit(0.0)
-    return found.select("chunk_id", "paper_id", F.round(F.col("base") + QUALITY_WEIGHT * F.col("quality") + boost, 6).alias("score"))
+    words = top_per_group(words, list(by), by_score(), k).drop("place") if by else words.orderBy(*by_score()).limit(k)
+    near = found.near.orderBy("distance", "chunk_id").limit(k).join(rows, "chunk_id").withColumn("base", -F.col("distance"))
+    return words, near.join(words.select(*by, "chunk_id"), [*by, "chunk_id"], "left_anti")
+
+
+def _based(words: DataFrame, near: DataFrame, columns: Sequence[str], boost: Column) -> DataFrame:
+    pick = [*columns, "chunk_id", "paper_id", F.round(F.col("base") + QUALITY_WEIGHT * F.col("quality") + boost, 6).alias("score")]
+    return words.select(*pick).unionByName(near.select(*pick))
+
+
+def candidates(found: Matches, limit: int, prefer: str | None = None, kinds: Sequence[str] | None = None) -> DataFrame:
+    """chunk_id, paper_id, score: keyword hits, then vector hits not among them; quality and a preferred kind add to either."""
+    words, near = _lists(found, limit, kinds, None, ())
+    return _based(words, near, (), F.when(F.col("chunk_kind") == prefer, KIND_BOOST).otherwise(0.0) if prefer else F.lit(0.0))
+
+
+def in_papers(found: Matches, papers: DataFrame, limit: int, by: str) -> DataFrame:
+    """by, chunk_id, paper_id, score, place: the best chunks within each set of papers (by, paper_id), by keywords and vectors."""
+    words, near = _lists(found, limit, None, papers.select(by, "paper_id").distinct(), (by,))
+    return top_per_group(_based(words, near, (by,), F.lit(0.0)), [by], by_score(), limit)
 
 
 def by_score() -> list[Column]:
     return [F.col("score").desc(), F.col("chunk_id")]
 
 
-def query_chunks(chunks: DataFrame, vectors: DataFrame, terms: Sequence[str], question: Sequence[float], limit: int = 8, cap: int = 2, prefer: str | None = None) -> DataFrame:
-    return diversify(candidates(chunks, vectors, terms, question, limit, prefer), "paper_id", by_score(), cap, limit).select("chunk_id", "paper_id", "score")
+def query_chunks(found: Matches, limit: int = 8, cap: int = 2, prefer: str | None = None, kinds: Sequence[str] | None = None) -> DataFrame:
+    return diversify(candidates(found, limit, prefer, kinds), "paper_id", by_score(), cap, limit).select("chunk_id", "paper_id", "score")
+
 
+def lexical_communities(communities: DataFrame, terms: Sequence[str], k: int) -> DataFrame:
+    """community_id, distance: 1 / (how many of the terms label and summary hold), where vectors can't tell."""
+    text = F.lower(F.concat_ws(" ", F.coalesce("label", F.lit("")), F.coalesce("summary", F.lit(""))))
+    hits = sum((text.contains(t).cast("int") for t in terms), F.lit(0))
+    return communities.select("community_id", hits.alias("hits")).filter("hits > 0").select("community_id", F.round(1 / F.col("hits"), 6).alias("distance")).orderBy("distance", "community_id").limit(k)
 
-def top_communities(papers: DataFrame, members: DataFrame, terms: Sequence[str], k: int) -> DataFrame:
-    """community_id, distance: by how many of the terms the titles of its five first papers hold (1 / hits)."""
-    titled = top_per_group(members.join(papers.select("paper_id", "title", "rank"), "paper_id"), ["community_id"], [F.col("rank").desc(), F.col("paper_id")], 5)
-    text = F.lower(F.array_join(F.collect_list("title"), " "))
-    hits = sum((F.col("text").contains(t).cast("int") for t in terms), F.lit(0))
-    summary = titled.groupBy("community_id").agg(text.alias("text")).select("community_id", hits.alias("hits")).filter("hits > 0")
-    return summary.select("community_id", F.round(1 / F.col("hits"), 6).alias("distance")).orderBy("distance", "community_id").limit(k)
+
+def top_communities(communities: DataFrame, vectors: DataFrame, terms: Sequence[str], question: Sequence[float], k: int) -> DataFrame:
+    """community_id, distance of the k nearest by vector; by label and summary where there are no vectors."""
+    near = nearest(vectors.join(communities.select("community_id"), "community_id", "left_semi"), "community_id", question, k).collect()  # k rows
+    if near:
+        return communities.sparkSession.createDataFrame([(int(r.community_id), r.distance) for r in near], "community_id long, distance double")
+    return lexical_communities(communities, terms, k)
 
 
 def ranked(rows: DataFrame) -> DataFrame:
@@ -125,13 +189,14 @@ def query_local(found: DataFrame, members: DataFrame, home: DataFrame, limit: in
     return diversify(scored, "paper_id", by_score(), cap, limit).select("chunk_id", "paper_id", "in_community", F.round("score", 6).alias("score"))
 
 
-def query_global(chunks: DataFrame, papers: DataFrame, atoms: DataFrame, members: DataFrame, community_atoms: DataFrame, top: DataFrame, limit: int, k: int = 3) -> DataFrame:
-    """community_id, kind, item, place: each top community's 5 papers, 8 atoms and max(2, limit // k) chunks."""
+def query_global(found: Matches, papers: DataFrame, atoms: DataFrame, members: DataFrame, community_atoms: DataFrame, top: DataFrame, limit: int, k: int = 3) -> DataFrame:
+    """community_id, kind, item, place: each top community's 5 papers, 8 atoms and, of these papers, the question's max(2, limit // k) best chunks."""
     mine = members.join(top, "community_id", "left_semi")
     first = lambda rows, order, n: top_per_group(rows, ["community_id"], order, n)
-    p = first(mine.join(papers.select("paper_id", "rank"), "paper_id"), [F.col("rank").desc(), F.col("paper_id")], 5).select("community_id", F.lit("paper").alias("kind"), F.col("paper_id").alias("item"), "place")
-    a = first(community_atoms.join(top, "community_id", "left_semi").join(atoms.select("atom_id", "priority"), "atom_id"), [F.col("priority").desc(), F.col("atom_id")], 8).select("community_id", F.lit("atom").alias("kind"), F.col("atom_id").alias("item"), "place")
-    c = first(chunks.select("chunk_id", "paper_id", "quality").join(mine, "paper_id"), [F.col("quality").desc(), F.col("chunk_id")], max(2, limit // k)).select("community_id", F.lit("chunk").alias("kind"), F.col("chunk_id").cast("string").alias("item"), "place")
+    five = first(mine.join(papers.select("paper_id", "rank"), "paper_id"), [F.coalesce("rank", F.lit(0.0)).desc(), F.col("paper_id")], 5)
+    p = five.select("community_id", F.lit("paper").alias("kind"), F.col("paper_id").alias("item"), "place")
+    a = first(community_atoms.join(top, "community_id", "left_semi").join(atoms.select("atom_id", "priority"), "atom_id"), [F.coalesce("priority", F.lit(0.0)).desc(), F.col("atom_id")], 8).select("community_id", F.lit("atom").alias("kind"), F.col("atom_id").alias("item"), "place")
+    c = in_papers(found, five, max(2, limit // k), "community_id").select("community_id", F.lit("chunk").alias("kind"), F.col("chunk_id").cast("string").alias("item"), "place")
     return p.unionByName(a).unionByName(c)
 
 
@@ -142,13 +207,19 @@ def fuse(local: DataFrame, communities: DataFrame, limit: int) -> DataFrame:
     return one.unionByName(two).groupBy("chunk_id").agg(F.round(F.sum("gain"), 9).alias("score")).orderBy(F.col("score").desc(), "chunk_id").limit(limit)
 
 
-def find_atoms(atoms: DataFrame, vectors: DataFrame, terms: Sequence[str], question: Sequence[float], limit: int) -> DataFrame:
-    """atom_id, score: keyword hits, vector hits of a dot product of 0.2 or more, and substring hits where there is neither."""
+def atom_texts(atoms: DataFrame, evidence: DataFrame) -> DataFrame:
+    """atom_id, name, description, text: what an atom is found by, its evidence's own words included."""
+    said = evidence.groupBy("atom_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("evidence_id", F.coalesce("verbatim", F.lit("")).alias("verbatim")))), lambda e: e["verbatim"]), " ").alias("said"))
+    return atoms.join(said, "atom_id", "left").select("atom_id", "name", "description", F.concat_ws(" ", "name", "category", "description", "said").alias("text"))
+
+
+def find_atoms(atoms: DataFrame, evidence: DataFrame, vectors: DataFrame, terms: Sequence[str], question: Sequence[float], limit: int, phrase: str | None = None) -> DataFrame:
+    """atom_id, score: keyword hits, vector hits of a dot product of 0.2 or more; where there is neither, atoms that hold the whole phrase."""
     k = limit * OVERSAMPLE
-    words = okapi(atoms, "atom_id", F.concat_ws(" ", "name", "category", "description"), terms).orderBy(F.col("score").desc(), "atom_id").limit(k)
+    words = okapi(atom_texts(atoms, evidence), "atom_id", F.col("text"), terms).orderBy(F.col("score").desc(), "atom_id").limit(k)
     near = vectors.select("atom_id", dot(F.col("embedding"), question).alias("score")).filter("score >= 0.2").orderBy(F.col("score").desc(), "atom_id").limit(k).join(words, "atom_id", "left_anti")
     found = words.unionByName(near)
-    text = F.lower(F.concat_ws(" ", "name", "description"))
-    inside = atoms.filter(F.greatest(*[text.contains(t) for t in terms], F.lit(False))).select("atom_id", F.lit(1.0).alias("score"))
+    wanted = F.lit((phrase if phrase is not None else " ".join(terms)).lower())
+    inside = atoms.filter(F.lower("name").contains(wanted) | F.lower("description").contains(wanted)).select("atom_id", F.lit(1.0).alias("score"))
     none = found.agg(F.count("*").alias("n")).filter("n = 0")
     return found.unionByName(inside.join(none, F.lit(True), "left_semi")).orderBy(F.col("score").desc(), "atom_id").limit(limit)

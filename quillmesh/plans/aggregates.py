@@ -181,10 +181,10 @@ def _(c):
 
 
 @query("qa_manifest_gates", """SELECT gate, passed, hard FROM (SELECT 100.0 * count(*) FILTER (acquired) / greatest(1, count(*)) AS coverage, count(DISTINCT acquired_via) AS sources, count(*) AS papers, count(*) FILTER (acquired) AS got FROM papers) p,
-    (SELECT count(*) AS atoms, count(DISTINCT defined_by) AS definers FROM atoms) a, (SELECT count(*) AS links FROM evidence) e,
-    LATERAL (VALUES ('coverage', coverage >= 70, false), ('atoms', atoms >= 30, false), ('evidence', links > 0, links > 0), ('sources', sources >= 2, false), ('papers', papers >= 5, true), ('definers', definers::DOUBLE / greatest(1, got) >= 0.6, false)) g(gate, passed, hard)""")
+    (SELECT count(*) AS atoms, count(DISTINCT defined_by) AS definers FROM atoms) a, (SELECT count(*) AS links, count(*) FILTER ((paper_id, paragraph_id) IN (SELECT paper_id, paragraph_id FROM chunks)) AS resolved FROM evidence) e,
+    LATERAL (VALUES ('coverage', coverage >= 70, false), ('atoms', atoms >= 30, false), ('evidence', links > 0 AND resolved = links, links > 0), ('sources', sources >= 2, false), ('papers', papers >= 5, true), ('definers', definers::DOUBLE / greatest(1, got) >= 0.6, false)) g(gate, passed, hard)""")
 def _(c):
-    return evaluate.gates(c.papers, c.atoms, c.evidence)
+    return evaluate.gates(c.papers, c.atoms, c.evidence, c.chunks)
 
 
 @query("qa_wikilink_lint", """SELECT 'broken' AS problem, edge_id AS item FROM edges WHERE to_paper NOT IN (SELECT paper_id FROM papers WHERE depth < 2)
@@ -199,9 +199,16 @@ def _(c):
     return evaluate.assumptions(c.paragraphs.filter("pos = 0"), c.table("documents").filter(~F.col("text").contains("token")))
 
 
-@query("qa_path_policy", "SELECT page_id, CASE WHEN regexp_matches(url, '^https?://[^/]*(spam|casino|adult)') THEN 'blocked' ELSE 'open' END AS policy FROM pages")
+# Calls over the events: tools and paths (some of them protected, some only alike) by number.
+_PATHS = ("/work/research/wiki/atoms/a.md", "notes/research.db", "/x/research/research.db", "research/graph.json.bak", "src/main.py", "research/wiki/log.md", "/y/research/evidence/e1.json", "research/embeddings.npy")
+_TOOLS = ("Read", "Glob", "Grep", "Edit", "Bash")
+
+
+@query("qa_path_policy", f"""SELECT event_id, tool, path, tool IN ('Read', 'Glob', 'Grep') AND ({' OR '.join(f"contains(coalesce(path, ''), '{x}')" for x in evaluate.PROTECTED)}) AS blocked FROM
+    (SELECT event_id, ([{', '.join(f"'{t}'" for t in _TOOLS)}])[event_id % 5 + 1] AS tool, CASE WHEN event_id % 9 <> 8 THEN ([{', '.join(f"'{x}'" for x in _PATHS)}])[event_id % 9 + 1] END AS path FROM events)""")
 def _(c):
-    return c.table("pages").select("page_id", F.when(F.col("url").rlike("^https?://[^/]*(spam|casino|adult)"), "blocked").otherwise("open").alias("policy"))
+    at = lambda values, n: F.get(F.array(*[F.lit(v) for v in values]), (F.col("event_id") % n).cast("int"))
+    return evaluate.path_policy(c.table("events").select("event_id", at(_TOOLS, 5).alias("tool"), at(_PATHS, 9).alias("path")))
 
 
 @query("qa_session_progress", """SELECT conv_id, last_turn, decisions FROM (SELECT conv_id, max(turn) AS last_turn FROM conversations GROUP BY conv_id) LEFT JOIN (SELECT event_id % 100 AS conv_id, count(*) AS decisions FROM decisions GROUP BY 1) USING (conv_id)""")
@@ -210,10 +217,16 @@ def _(c):
     return c.table("conversations").groupBy("conv_id").agg(F.max("turn").alias("last_turn")).join(made, "conv_id", "left")
 
 
-@query("qa_promotion_rule", "SELECT paper_id, count(DISTINCT atom_id) AS atoms, count(DISTINCT community_id) AS communities FROM usage JOIN community_atoms USING (atom_id) GROUP BY paper_id HAVING count(DISTINCT community_id) >= 2 AND count(DISTINCT atom_id) >= 2 OR count(DISTINCT atom_id) >= 3")
+# An answer is a paper: the atoms that it uses, and the chunks in which the atoms that it defines are evident.
+@query("qa_promotion_rule", """SELECT answer, count(DISTINCT atom_id) AS atoms, count(DISTINCT community_id) AS communities, count(DISTINCT chunk) AS chunks FROM
+    (SELECT paper_id AS answer, atom_id, community_id, NULL AS chunk FROM usage LEFT JOIN community_atoms USING (atom_id) UNION ALL SELECT paper_id, NULL, NULL, chunk_id FROM evidence JOIN chunks USING (paper_id, paragraph_id) WHERE atom_id IN (SELECT atom_id FROM atoms WHERE seq % 2 = 0)
+     UNION ALL SELECT paper_id, NULL, NULL, chunk_id FROM chunks WHERE section_type = 'method') GROUP BY answer HAVING count(DISTINCT community_id) >= 2 AND count(DISTINCT atom_id) >= 2 OR count(DISTINCT chunk) >= 3""")
 def _(c):
-    got = c.usage.join(c.community_atoms, "atom_id").groupBy("paper_id").agg(F.countDistinct("atom_id").alias("atoms"), F.countDistinct("community_id").alias("communities"))
-    return got.filter("communities >= 2 and atoms >= 2 or atoms >= 3")
+    none = lambda kind: F.lit(None).cast(kind)
+    used = c.usage.join(c.community_atoms, "atom_id", "left").select(F.col("paper_id").alias("answer"), "atom_id", "community_id", none("long").alias("chunk"))
+    spans = c.evidence.join(c.atoms.filter("seq % 2 = 0").select("atom_id"), "atom_id", "left_semi").select("paper_id", "paragraph_id").distinct().join(c.chunks.select("paper_id", "paragraph_id", "chunk_id"), ["paper_id", "paragraph_id"]).select("paper_id", "chunk_id")
+    chunks = spans.union(c.chunks.filter("section_type = 'method'").select("paper_id", "chunk_id")).select(F.col("paper_id").alias("answer"), none("string").alias("atom_id"), none("int").alias("community_id"), F.col("chunk_id").alias("chunk"))
+    return evaluate.promoted(used.unionByName(chunks))
 
 
 @query("qa_audit_verdict", "SELECT category, atom_id, place FROM (SELECT category, atom_id, row_number() OVER (PARTITION BY category ORDER BY priority DESC, atom_id) AS place FROM atoms) WHERE place <= 25")

@@ -98,10 +98,10 @@ def _(c):
 _D = dedup_tokens_sql("description")
 
 
-@query("dedup_exact", f"""SELECT arg_min(atom_id, seq) AS atom_id, category, arg_min(name, seq) AS name, arg_max(description, (length(description), -seq)) AS description, max(priority) AS priority, count(*) AS merged
-    FROM (SELECT *, array_to_string({_D}, ' ') AS key FROM atoms) GROUP BY category, key""")
+@query("dedup_exact", f"""WITH k AS MATERIALIZED (SELECT *, array_to_string({_D}, ' ') AS key FROM atoms), u AS (SELECT category, key, string_agg(DISTINCT paper_id, ',' ORDER BY paper_id) AS used_by FROM k JOIN usage USING (atom_id) GROUP BY category, key)
+    SELECT atom_id, category, name, description, priority, merged, coalesce(used_by, '') AS used_by FROM (SELECT category, key, arg_min(atom_id, seq) AS atom_id, arg_min(name, seq) AS name, arg_max(description, (length(description), -seq)) AS description, max(priority) AS priority, count(*) AS merged FROM k GROUP BY category, key) LEFT JOIN u USING (category, key)""")
 def _(c):
-    return A.exact(c.atoms, dedup_tokens(F.col("description")))
+    return A.exact(c.atoms, dedup_tokens(F.col("description")), c.usage)
 
 
 @query("dedup_jaccard")
@@ -110,19 +110,18 @@ def _(c):
     return A.greedy(t, "jaccard")
 
 
+def _vectors(c):
+    return c.atoms.select("atom_id", "seq").join(c.vectors.select(F.col("vec_id").alias("seq"), "embedding"), "seq").select("atom_id", "embedding")
+
+
 @query("dedup_embedding")
 def _(c):
-    v = c.atoms.join(c.vectors.select(F.col("vec_id").alias("seq"), "embedding"), "seq").select("atom_id", "seq", "category", "embedding")
-    return A.greedy(v, "cosine")
+    return A.by_vector(c.atoms.select("atom_id", "seq", "category"), _vectors(c))
 
 
 @query("dedup_pipeline")
 def _(c):
-    kept = A.exact(c.atoms, dedup_tokens(F.col("description"))).select("atom_id")
-    rest = c.atoms.join(kept, "atom_id", "left_semi").select("atom_id", "seq", "category", dedup_tokens(F.concat_ws(" ", "name", "description")).alias("tokens"))
-    survivors = A.greedy(rest, "jaccard").filter("atom_id = kept_as").select("atom_id")
-    v = c.atoms.join(survivors, "atom_id", "left_semi").join(c.vectors.select(F.col("vec_id").alias("seq"), "embedding"), "seq").select("atom_id", "seq", "category", "embedding")
-    return A.greedy(v, "cosine")
+    return A.deduplicated(c.atoms, _vectors(c), dedup_tokens(F.col("description")), dedup_tokens(F.concat_ws(" ", "name", "description")))
 
 
 @query("help_evidence_span", "SELECT paper_id, pos, substr(text, 1, 1200) AS verbatim, 0 AS char_start, least(length(text), 1200) AS char_end FROM paragraphs")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillmesh.functions.text import canonical_name, canonical_name_sql
 from quillmesh.operators.ranking import top_per_group
 from quillmesh.plans.base import query
 from quillmesh.plans.scalars import dedup_tokens, dedup_tokens_sql
@@ -220,10 +221,13 @@ def _(c):
     return similar_pairs(t, 0.6)
 
 
-@query("join_align_full", """SELECT coalesce(a.canonical, b.canonical) AS canonical, coalesce(a.category, b.category) AS category, CASE WHEN a.canonical IS NULL THEN 'B_ONLY' WHEN b.canonical IS NULL THEN 'A_ONLY' ELSE 'BOTH' END AS side FROM
-    (SELECT DISTINCT category, lower(name) AS canonical FROM atoms WHERE seq % 2 = 0 OR seq % 5 = 0) a FULL JOIN (SELECT DISTINCT category, lower(name) AS canonical FROM atoms WHERE seq % 3 = 0) b ON a.category = b.category AND a.canonical = b.canonical""")
+_NAME = canonical_name_sql("name")
+
+
+@query("join_align_full", f"""SELECT coalesce(a.canonical, b.canonical) AS canonical, coalesce(a.category, b.category) AS category, CASE WHEN a.canonical IS NULL THEN 'B_ONLY' WHEN b.canonical IS NULL THEN 'A_ONLY' ELSE 'BOTH' END AS side FROM
+    (SELECT DISTINCT category, {_NAME} AS canonical FROM atoms WHERE seq % 2 = 0 OR seq % 5 = 0) a FULL JOIN (SELECT DISTINCT category, {_NAME} AS canonical FROM atoms WHERE seq % 3 = 0) b ON a.category = b.category AND a.canonical = b.canonical""")
 def _(c):
-    side = lambda f: c.atoms.filter(f).select("category", F.lower("name").alias("canonical")).distinct()
+    side = lambda f: c.atoms.filter(f).select("category", canonical_name(F.col("name")).alias("canonical")).distinct()
     a, b = side("seq % 2 = 0 or seq % 5 = 0").withColumn("in_a", F.lit(True)), side("seq % 3 = 0").withColumn("in_b", F.lit(True))
     return a.join(b, ["category", "canonical"], "full_outer").select("canonical", "category", F.when(F.col("in_a").isNull(), "B_ONLY").when(F.col("in_b").isNull(), "A_ONLY").otherwise("BOTH").alias("side"))
 

@@ -20,24 +20,33 @@ _FTS = f"""fts_tokens AS MATERIALIZED (SELECT chunk_id, {_TOKENS} AS tokens FROM
 _KNN = "knn AS (SELECT chunk_id, round(list_distance(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM vectors WHERE vec_id = 0)), 6) AS distance FROM vectors)"
 
 
-def _candidates(limit: int, prefer: str | None = None, where: str = "true") -> str:
+def _candidates(limit: int, prefer: str | None = None) -> str:
     boost = f"CASE WHEN chunk_kind = '{prefer}' THEN 0.3 ELSE 0 END" if prefer else "0"
     return f"""{_FTS}, {_KNN}, w AS (SELECT chunk_id, score AS base FROM fts ORDER BY score DESC, chunk_id LIMIT {3 * limit}), v AS (SELECT chunk_id, -distance AS base FROM knn ORDER BY distance, chunk_id LIMIT {3 * limit}),
-    found AS (SELECT chunk_id, paper_id, round(base + 0.2::DOUBLE * quality + {boost}, 6) AS score FROM (SELECT * FROM w UNION ALL SELECT * FROM v WHERE chunk_id NOT IN (SELECT chunk_id FROM w)) JOIN chunks USING (chunk_id) WHERE {where})"""
+    found AS (SELECT chunk_id, paper_id, round(base + 0.2::DOUBLE * quality + {boost}, 6) AS score FROM (SELECT * FROM w UNION ALL SELECT * FROM v WHERE chunk_id NOT IN (SELECT chunk_id FROM w)) JOIN chunks USING (chunk_id))"""
+
+
+def _inside(name: str, sets: str, limit: int) -> str:
+    """name (grp, chunk_id, paper_id, score, place) by sets (grp, paper_id): keyword hits filtered, then cut; the nearest cut, then filtered."""
+    return f"""{name}_w AS MATERIALIZED (SELECT grp, chunk_id, paper_id, quality, base FROM (SELECT grp, chunk_id, paper_id, quality, score AS base, row_number() OVER (PARTITION BY grp ORDER BY score DESC, chunk_id) AS n FROM fts JOIN chunks USING (chunk_id) JOIN {sets} USING (paper_id)) WHERE n <= {3 * limit}),
+    {name}_v AS (SELECT grp, chunk_id, paper_id, quality, -distance AS base FROM (SELECT * FROM knn ORDER BY distance, chunk_id LIMIT {3 * limit}) JOIN chunks USING (chunk_id) JOIN {sets} USING (paper_id)),
+    {name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score DESC, chunk_id) AS place FROM (SELECT grp, chunk_id, paper_id, round(base + 0.2::DOUBLE * quality, 6) AS score FROM (SELECT * FROM {name}_w UNION ALL SELECT * FROM {name}_v WHERE (grp, chunk_id) NOT IN (SELECT grp, chunk_id FROM {name}_w)))) WHERE place <= {limit})"""
 
 
 def _diverse(rows: str, columns: str, cap: int, limit: int) -> str:
     return f"SELECT {columns} FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(paper_id, '') ORDER BY score DESC, chunk_id) > {cap} AS over_cap FROM {rows}) ORDER BY over_cap, score DESC, chunk_id LIMIT {limit}"
 
 
-_TOP = f"""titled AS (SELECT community_id, title FROM (SELECT community_id, title, row_number() OVER (PARTITION BY community_id ORDER BY rank DESC, paper_id) AS place FROM community_papers JOIN papers USING (paper_id)) WHERE place <= 5),
-    top AS (SELECT community_id, round(1.0::DOUBLE / hits, 6) AS distance FROM (SELECT community_id, {' + '.join(f"CAST(contains(t, '{x}') AS INT)" for x in TERMS)} AS hits FROM (SELECT community_id, lower(string_agg(title, ' ')) AS t FROM titled GROUP BY community_id)) WHERE hits > 0 ORDER BY 2, 1 LIMIT 3)"""
+_TOP = """top AS MATERIALIZED (SELECT community_id, round(list_distance(embedding, (SELECT CAST(embedding AS DOUBLE[]) FROM vectors WHERE vec_id = 0)), 6) AS distance FROM community_vectors WHERE community_id IN (SELECT community_id FROM communities) ORDER BY 2, 1 LIMIT 3)"""
+_LEXICAL = f"""SELECT community_id, round(1.0::DOUBLE / hits, 6) AS distance FROM (SELECT community_id, {' + '.join(f"CAST(contains(lower(label || ' ' || summary), '{x}') AS INT)" for x in TERMS)} AS hits FROM communities) WHERE hits > 0 ORDER BY 2, 1 LIMIT 3"""
 _LOCAL = f"""local AS ({_diverse("(SELECT chunk_id, paper_id, paper_id IN (SELECT paper_id FROM community_papers WHERE community_id = (SELECT community_id FROM top ORDER BY distance, community_id LIMIT 1)) AS in_community, CAST(-place AS DOUBLE) + CASE WHEN paper_id IN (SELECT paper_id FROM community_papers WHERE community_id = (SELECT community_id FROM top ORDER BY distance, community_id LIMIT 1)) THEN 0.15 ELSE 0 END AS score FROM placed)", "chunk_id, paper_id, in_community, round(score, 6) AS score", 2, LIMIT)})"""
 _PLACED = f"wide AS ({_diverse('found', 'chunk_id, paper_id, score', 2 * LIMIT, 2 * LIMIT)}), placed AS (SELECT chunk_id, paper_id, row_number() OVER (ORDER BY score DESC, chunk_id) - 1 AS place FROM wide)"
-_GLOBAL = """everywhere AS (
-    SELECT community_id, 'paper' AS kind, paper_id AS item, place FROM (SELECT community_id, paper_id, row_number() OVER (PARTITION BY community_id ORDER BY rank DESC, paper_id) AS place FROM community_papers JOIN papers USING (paper_id) WHERE community_id IN (SELECT community_id FROM top)) WHERE place <= 5
+_GLOBAL = f"""five AS MATERIALIZED (SELECT * FROM (SELECT community_id, community_id AS grp, paper_id, row_number() OVER (PARTITION BY community_id ORDER BY rank DESC, paper_id) AS place FROM community_papers JOIN papers USING (paper_id) WHERE community_id IN (SELECT community_id FROM top)) WHERE place <= 5),
+    sets AS (SELECT grp, paper_id FROM five), {_inside("best", "sets", 2)},
+    everywhere AS (
+    SELECT community_id, 'paper' AS kind, paper_id AS item, place FROM five
     UNION ALL SELECT community_id, 'atom', atom_id, place FROM (SELECT community_id, atom_id, row_number() OVER (PARTITION BY community_id ORDER BY priority DESC, atom_id) AS place FROM community_atoms JOIN atoms USING (atom_id) WHERE community_id IN (SELECT community_id FROM top)) WHERE place <= 8
-    UNION ALL SELECT community_id, 'chunk', CAST(chunk_id AS VARCHAR), place FROM (SELECT community_id, chunk_id, row_number() OVER (PARTITION BY community_id ORDER BY quality DESC, chunk_id) AS place FROM chunks JOIN community_papers USING (paper_id) WHERE community_id IN (SELECT community_id FROM top)) WHERE place <= 2)"""
+    UNION ALL SELECT grp, 'chunk', CAST(chunk_id AS VARCHAR), place FROM best)"""
 _HYBRID = """SELECT chunk_id, round(sum(gain), 9) AS score FROM (SELECT chunk_id, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, chunk_id) - 1) AS gain FROM local
     UNION ALL SELECT CAST(item AS BIGINT), 1.0::DOUBLE / (61 + place) FROM everywhere WHERE kind = 'chunk') GROUP BY chunk_id ORDER BY 2 DESC, 1 LIMIT 8"""
 
@@ -60,7 +69,7 @@ def _(c):
 
 ATOM_TERMS = ("ring", "economy", "brand", "hot", "gizmo")
 _ATOM_TERMS_SQL = "(" + ", ".join(f"'{t}'" for t in ATOM_TERMS) + ")"
-_OKAPI = f"""a_len AS MATERIALIZED (SELECT atom_id, regexp_extract_all(lower(name || ' ' || category || ' ' || description), '[a-z0-9]+') AS tokens FROM atoms), a_post AS MATERIALIZED (SELECT term, atom_id, length, count(*) AS tf FROM (SELECT atom_id, len(tokens) AS length, unnest(tokens) AS term FROM a_len) GROUP BY ALL),
+_OKAPI = f"""a_said AS (SELECT atom_id, string_agg(verbatim, ' ' ORDER BY evidence_id) AS said FROM evidence GROUP BY atom_id), a_len AS MATERIALIZED (SELECT atom_id, regexp_extract_all(lower(name || ' ' || category || ' ' || description || coalesce(' ' || said, '')), '[a-z0-9_-]+') AS tokens FROM atoms LEFT JOIN a_said USING (atom_id)), a_post AS MATERIALIZED (SELECT term, atom_id, length, count(*) AS tf FROM (SELECT atom_id, len(tokens) AS length, unnest(tokens) AS term FROM a_len) GROUP BY ALL),
     a_df AS (SELECT term, ln((SELECT count(*) FROM a_len) - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM a_post GROUP BY term), a_mean AS (SELECT (SELECT avg(idf) FROM a_df) AS idf, (SELECT avg(len(tokens)) FROM a_len) AS length),
     okapi AS (SELECT atom_id, round(sum(CASE WHEN d.idf < 0 THEN 0.25 * m.idf ELSE d.idf END * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * p.length / m.length))), 6) AS score FROM a_post p JOIN a_df d USING (term), a_mean m WHERE term IN {_ATOM_TERMS_SQL} GROUP BY atom_id HAVING round(sum(CASE WHEN d.idf < 0 THEN 0.25 * m.idf ELSE d.idf END * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * p.length / m.length))), 6) > 0)"""
 _ATOM_VEC = "avec AS (SELECT atom_id, round(list_dot_product(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM vectors WHERE vec_id = 0)), 6) AS score FROM atoms JOIN vectors ON vec_id = seq)"
@@ -72,7 +81,7 @@ def atom_vectors(c):
 
 @query("ret_bm25_atoms", f"WITH {_OKAPI} SELECT atom_id, score FROM okapi ORDER BY score DESC, atom_id LIMIT 24")
 def _(c):
-    return R.okapi(c.atoms, "atom_id", F.concat_ws(" ", "name", "category", "description"), ATOM_TERMS).orderBy(F.col("score").desc(), "atom_id").limit(24)
+    return R.okapi(R.atom_texts(c.atoms, c.evidence), "atom_id", F.col("text"), ATOM_TERMS).orderBy(F.col("score").desc(), "atom_id").limit(24)
 
 
 @query("ret_knn", f"WITH {_KNN} SELECT chunk_id, distance FROM knn ORDER BY distance, chunk_id LIMIT 24")
@@ -91,50 +100,62 @@ def _(c):
 
 
 @query("find_atom", f"""WITH {_OKAPI}, {_ATOM_VEC}, aw AS (SELECT * FROM okapi ORDER BY score DESC, atom_id LIMIT 15), av AS (SELECT * FROM avec WHERE score >= 0.2 ORDER BY score DESC, atom_id LIMIT 15), both AS (SELECT * FROM aw UNION ALL SELECT * FROM av WHERE atom_id NOT IN (SELECT atom_id FROM aw))
-    SELECT * FROM (SELECT * FROM both UNION ALL SELECT atom_id, 1.0 FROM atoms WHERE (SELECT count(*) FROM both) = 0 AND regexp_matches(lower(name || ' ' || description), 'ring|economy|brand|hot|gizmo')) ORDER BY score DESC, atom_id LIMIT 5""".replace("both", "either"))
+    SELECT * FROM (SELECT * FROM both UNION ALL SELECT atom_id, 1.0 FROM atoms WHERE (SELECT count(*) FROM both) = 0 AND (contains(lower(name), 'ring economy brand hot gizmo') OR contains(lower(description), 'ring economy brand hot gizmo'))) ORDER BY score DESC, atom_id LIMIT 5""".replace("both", "either"))
 def _(c):
-    return R.find_atoms(c.atoms, atom_vectors(c), ATOM_TERMS, question_vector(c), 5)
+    return R.find_atoms(c.atoms, c.evidence, atom_vectors(c), ATOM_TERMS, question_vector(c), 5)
+
+
+def matches(c) -> R.Matches:
+    """The question's matches for the widest list of its queries."""
+    return R.match(c.chunks, c.vectors, TERMS, question_vector(c), 2 * LIMIT * R.OVERSAMPLE)
 
 
 @query("ret_query_chunks", f"WITH {_candidates(LIMIT, 'prose')} {_diverse('found', 'chunk_id, paper_id, score', 2, LIMIT)}")
 def _(c):
-    return R.query_chunks(c.chunks, c.vectors, TERMS, question_vector(c), LIMIT, 2, "prose")
+    return R.query_chunks(matches(c), LIMIT, 2, "prose")
 
 
-@query("ret_in_papers", f"WITH {_candidates(LIMIT, None, 'paper_id IN (SELECT paper_id FROM community_papers WHERE community_id IN (1, 3, 5))')} {_diverse('found', 'chunk_id, paper_id, score', 2, LIMIT)}")
+@query("ret_in_papers", f"WITH {_FTS}, {_KNN}, sets AS (SELECT DISTINCT 0 AS grp, paper_id FROM community_papers WHERE community_id IN (1, 3, 5)), {_inside('inside', 'sets', LIMIT)} SELECT chunk_id, paper_id, score FROM inside")
 def _(c):
-    inside = c.community_papers.filter(F.col("community_id").isin(1, 3, 5))
-    found = R.candidates(c.chunks, c.vectors, TERMS, question_vector(c), LIMIT).join(inside, "paper_id", "left_semi")
-    return R.diversify(found, "paper_id", R.by_score(), 2, LIMIT).select("chunk_id", "paper_id", "score")
+    return R.in_papers(matches(c), c.community_papers.filter(F.col("community_id").isin(1, 3, 5)).withColumn("set", F.lit(0)), LIMIT, "set").select("chunk_id", "paper_id", "score")
+
+
+def top(c, k: int):
+    return R.top_communities(c.communities, c.community_vectors, TERMS, question_vector(c), k)
 
 
 @query("ret_top_communities", f"WITH {_TOP} SELECT community_id, distance FROM top")
 def _(c):
-    return R.top_communities(c.papers, c.community_papers, TERMS, 3)
+    return top(c, 3).select(F.col("community_id").cast("int").alias("community_id"), "distance")
+
+
+@query("ret_top_communities_lexical", _LEXICAL)
+def _(c):
+    return R.lexical_communities(c.communities, TERMS, 3)
 
 
-def local(c):
-    wide = R.query_chunks(c.chunks, c.vectors, TERMS, question_vector(c), 2 * LIMIT, 2 * LIMIT)
-    return R.query_local(wide, c.community_papers, R.top_communities(c.papers, c.community_papers, TERMS, 1), LIMIT)
+def local(c, found, best):
+    return R.query_local(R.query_chunks(found, 2 * LIMIT, 2 * LIMIT), c.community_papers, best.orderBy("distance", "community_id").limit(1), LIMIT)
 
 
 @query("ret_query_local", f"WITH {_candidates(2 * LIMIT)}, {_TOP}, {_PLACED}, {_LOCAL} SELECT chunk_id, paper_id, in_community, score FROM local")
 def _(c):
-    return local(c)
+    return local(c, matches(c), top(c, 1))
 
 
-def everywhere(c):
-    return R.query_global(c.chunks, c.papers, c.atoms, c.community_papers, c.community_atoms, R.top_communities(c.papers, c.community_papers, TERMS, 3), LIMIT)
+def everywhere(c, found, best):
+    return R.query_global(found, c.papers, c.atoms, c.community_papers, c.community_atoms, best, LIMIT)
 
 
-@query("ret_query_global", f"WITH {_TOP}, {_GLOBAL} SELECT community_id, kind, item, place FROM everywhere")
+@query("ret_query_global", f"WITH {_FTS}, {_KNN}, {_TOP}, {_GLOBAL} SELECT community_id, kind, item, place FROM everywhere")
 def _(c):
-    return everywhere(c)
+    return everywhere(c, matches(c), top(c, 3))
 
 
 @query("ret_query_hybrid", f"WITH {_candidates(2 * LIMIT)}, {_TOP}, {_PLACED}, {_LOCAL}, {_GLOBAL} {_HYBRID}")
 def _(c):
-    return R.fuse(local(c).select("chunk_id", "score"), everywhere(c), LIMIT)
+    found, best = matches(c), top(c, 3)
+    return R.fuse(local(c, found, best).select("chunk_id", "score"), everywhere(c, found, best), LIMIT)
 
 
 def ask(c, question: str, mode: str = "auto"):

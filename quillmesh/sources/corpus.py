@@ -106,6 +106,21 @@ class Corpus:
         """Vectors of chunks: that of vec_id belongs to the first line of document vec_id."""
         return self.table("embeddings").select((F.col("vec_id") * 10000).alias("chunk_id"), "vec_id", "embedding", "label")
 
+    @cached_property
+    def communities(self) -> DataFrame:
+        """Communities of two papers or more, named after the one of the highest rank."""
+        rows = self.community_papers.join(self.papers.select("paper_id", "doc_id", "title", "rank"), "paper_id")
+        per = rows.groupBy("community_id").agg(F.count("*").alias("size"), F.max_by("title", F.struct("rank", -F.col("doc_id"))).alias("first")).filter("size >= 2")
+        label = F.concat(F.lit("Community of "), F.col("size").cast("string"), F.lit(" papers around "), "first")
+        return per.select("community_id", "size", label.alias("label"), F.concat(label, F.lit(": "), F.col("size").cast("string"), F.lit(" papers.")).alias("summary"))
+
+    @cached_property
+    def community_vectors(self) -> DataFrame:
+        """Vectors of communities: the mean of their papers' vectors, to nine places."""
+        parts = self.table("embeddings").filter(F.col("vec_id") < self.count).select(F.col("label").alias("community_id"), F.posexplode("embedding").alias("i", "x"))
+        means = parts.groupBy("community_id", "i").agg(F.round(F.avg(F.col("x").cast("double")), 9).alias("x"))
+        return means.groupBy("community_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("embedding"))
+
     @cached_property
     def equations(self) -> DataFrame:
         return self.paragraphs.select(F.concat("paper_id", F.lit("::eq-"), F.col("pos").cast("string")).alias("equation_id"), "paper_id", "section_id", F.col("text").alias("latex"))
@@ -148,6 +163,10 @@ VIEWS = {
         FROM atoms JOIN paragraphs ON defined_by = paper_id WHERE pos = 0""",
     "community_papers": "SELECT label AS community_id, 'd:' || vec_id AS paper_id FROM embeddings, n_docs WHERE vec_id < n",
     "community_atoms": "SELECT DISTINCT community_id, atom_id FROM community_papers JOIN atoms ON defined_by = paper_id",
+    "communities": """SELECT community_id, size, 'Community of ' || size || ' papers around ' || first AS label, 'Community of ' || size || ' papers around ' || first || ': ' || size || ' papers.' AS summary
+        FROM (SELECT community_id, count(*) AS size, arg_max(title, (rank, -doc_id)) AS first FROM community_papers JOIN papers USING (paper_id) GROUP BY community_id) WHERE size >= 2""",
+    "community_vectors": """SELECT community_id, list(x ORDER BY i) AS embedding FROM (SELECT community_id, i, round(avg(x::DOUBLE), 9) AS x FROM
+        (SELECT label AS community_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings, n_docs WHERE vec_id < n) GROUP BY community_id, i) GROUP BY community_id""",
     "vectors": "SELECT vec_id * 10000 AS chunk_id, vec_id, embedding, label FROM embeddings",
     "equations": "SELECT paper_id || '::eq-' || pos AS equation_id, paper_id, section_id, text AS latex FROM paragraphs",
     "grades": f"""SELECT source AS slug, (['A', 'B', 'C'])[doc_id % 3 + 1] AS condition, doc_id AS leaf_id, lang AS category, ({_list(E.STATUSES)})[toxic + 2 * (1 - quality) + 1] AS status,

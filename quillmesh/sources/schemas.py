@@ -31,6 +31,7 @@ TABLES = {
     "community_atoms": "community_id int, atom_id string",
     "chunks_vec": "chunk_id long, embedding array<float>",
     "atoms_vec": "atom_id string, embedding array<float>",
+    "communities_vec": "community_id long, embedding array<float>",
     "wiki_answers": "slug string, body string, sources array<string>",
     "meta": "key string, value string",
 }

@@ -330,3 +330,57 @@ def test_graph_shortest_uses_every_arc(spark, sf):
     walk(["d:5"], 0.0)
     want = [(path, hops, weight) for weight, path, hops in sorted(found)[:3]]
     assert [tuple(r) for r in catalogue.queries()["graph_shortest"](spark, sf).collect()] == want
+
+
+def test_subset_search_filters_before_it_cuts(spark):
+    """Hits of a small set of papers are found though a corpus-wide list of the best would hold none of them."""
+    rows = [(i, f"p{i}", "apple apple apple", 1.0, "prose") for i in range(60)] + [(100 + i, f"q{i}", "apple and many other words that make it a weaker hit for the question", 0.5, "prose") for i in range(4)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, paper_id string, text string, quality double, chunk_kind string")
+    vectors = spark.createDataFrame([(r[0], [float(r[0]), 0.0]) for r in rows], "chunk_id long, embedding array<float>")
+    found = retrieval.match(chunks, vectors, ["apple"], [0.0, 0.0], 24)
+    inside = retrieval.in_papers(found, spark.createDataFrame([(1, "q0"), (1, "q2"), (2, "q3"), (2, "p1")], "s int, paper_id string"), 3, "s").collect()
+    assert [(r.s, r.chunk_id) for r in sorted(inside, key=lambda r: (r.s, r.place))] == [(1, 100), (1, 102), (2, 1), (2, 103)]
+    assert {r.chunk_id for r in retrieval.candidates(found, 8).collect()} <= set(range(60))
+
+
+def test_communities_by_vectors_else_by_label_and_summary(spark):
+    communities = spark.createDataFrame([(1, "Around apples", "pears too"), (2, "Around steel", "apples never"), (3, "x", None)], "community_id int, label string, summary string")
+    vectors = spark.createDataFrame([(1, [0.0, 1.0]), (2, [1.0, 0.0])], "community_id long, embedding array<float>")
+    assert [r.community_id for r in retrieval.top_communities(communities, vectors, ["apples"], [1.0, 0.1], 2).collect()] == [2, 1]
+    assert [tuple(r) for r in retrieval.top_communities(communities, vectors.limit(0), ["apples", "pears"], [1.0, 0.1], 2).collect()] == [(1, 0.5), (2, 1.0)]
+
+
+def test_atoms_are_found_by_their_evidence_and_a_whole_phrase(spark):
+    made = spark.createDataFrame([("a1", "Ring Loss", "loss", "pulls things"), ("a2", "Other", "method", "a plain thing"), ("a3", "Third", "method", "nothing"), ("a4", "Fourth", "method", "more")], "atom_id string, name string, category string, description string")
+    evidence = spark.createDataFrame([("e1", "a2", "it uses zebra_stripes here"), ("e2", "a2", None)], "evidence_id string, atom_id string, verbatim string")
+    vectors = spark.createDataFrame([], "atom_id string, embedding array<float>")
+    assert [r.atom_id for r in retrieval.find_atoms(made, evidence, vectors, ["zebra_stripes"], [0.0], 5).collect()] == ["a2"]
+    assert [r.atom_id for r in retrieval.find_atoms(made, evidence, vectors, ["ing", "loss"], [0.0], 5, "ng loss").collect()] != []
+    assert [(r.atom_id, r.score) for r in retrieval.find_atoms(made, evidence, vectors, ["lain", "thi"], [0.0], 5, "lain thi").collect()] == [("a2", 1.0)]
+
+
+def test_atoms_without_vectors_are_kept_and_chains_resolved(spark):
+    items = spark.createDataFrame([("a1", 1, "m", "red fast car"), ("a2", 2, "m", "red fast car"), ("a3", 3, "m", "red fast car engine"), ("a4", 4, "m", "blue boat"), ("a5", 5, "n", "red fast car")], "atom_id string, seq int, category string, name string")
+    vectors = spark.createDataFrame([("a1", [1.0, 0.0])], "atom_id string, embedding array<float>")
+    words = F.split("name", " ")
+    homes = {r.atom_id: r.kept_as for r in atoms.deduplicated(items, vectors, words, words).collect()}
+    assert homes == {"a1": "a1", "a2": "a1", "a3": "a1", "a4": "a4", "a5": "a5"}
+
+
+def test_long_chains_get_their_layers(spark):
+    from quillmesh.operators.order import layers
+
+    items = spark.createDataFrame([(f"n{i}",) for i in range(104)] + [("x",), ("y",)], "atom_id string")
+    needs = spark.createDataFrame([(f"n{i}", f"n{i - 1}") for i in range(1, 104)] + [("x", "y"), ("y", "x")], "atom_id string, needs string")
+    assert {r.atom_id: r.layer for r in layers(items, needs).collect()} == {f"n{i}": i for i in range(104)} | {"x": None, "y": None}
+
+
+def test_evidence_gate_and_protected_paths(spark):
+    papers = spark.createDataFrame([("p1", True, "arxiv")], "paper_id string, acquired boolean, acquired_via string")
+    made = spark.createDataFrame([("a1", "p1")], "atom_id string, defined_by string")
+    spans = spark.createDataFrame([("p1", "p-0"), ("p1", "p-9")], "paper_id string, paragraph_id string")
+    chunks = spark.createDataFrame([("p1", "p-0"), ("p1", "p-1")], "paper_id string, paragraph_id string")
+    gate = lambda e: {r.gate: (r.passed, r.hard) for r in evaluate.gates(papers, made, e, chunks).collect()}["evidence"]
+    assert gate(spans) == (False, True) and gate(spans.limit(1)) == (True, True) and gate(spans.limit(0)) == (False, False)
+    calls = spark.createDataFrame([("Read", "/r/research/graph.json"), ("Edit", "/r/research/graph.json"), ("Grep", "src/graph.json"), ("Glob", None), (None, "research/research.db")], "tool string, path string")
+    assert [r.blocked for r in evaluate.path_policy(calls).collect()] == [True, False, False, False, False]
