@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import re
 import shutil
@@ -137,6 +138,14 @@ def map_arrow(df: DataFrame, run: Callable, schema: Any, most: int = 16 << 20) -
     return df.mapInArrow(run, schema)
 
 
+def _trim() -> None:
+    """Give freed memory back to the system, where the C library can."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 _held: list[Any] = [None, None]
 
 
@@ -149,5 +158,6 @@ def remembered(owner: str, make: Callable[[], Any]) -> Any:
         _held[:] = [owner, None]
         gc.collect()
         pa.default_memory_pool().release_unused()
+        _trim()
         _held[1] = make()
     return _held[1]

@@ -39,6 +39,7 @@ import math
 import random
 import re
 import string
+from array import array
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -53,7 +54,7 @@ from quillmesh.llm.common import map_arrow, place, remembered
 
 FIT_ROWS, FIT_CHARS, MADE, WINDOW = 200, 400_000, 1500, 32
 #: Chunks that a worker remembers before it begins anew; characters that are tagged together (a longer text alone).
-REMEMBER, SLICE = 600_000, 1_000_000
+REMEMBER, SLICE = 200_000, 500_000
 
 # The base patterns, and the least length of what they find.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -165,30 +166,6 @@ N_LEADS, N_PLACES = 2 + AFTER + BEFORE, 4
 EDGE = 3  # tokens between two texts
 
 
-class _Rows:
-    """A growing array of rows."""
-
-    def __init__(self, width: int, kind: type):
-        self.data, self.n, self.new = np.zeros((1024, width), kind), 0, []
-
-    def add(self, row) -> int:
-        self.new.append(row)
-        return self.n + len(self.new) - 1
-
-    def array(self) -> np.ndarray:
-        if self.new:
-            self.extend(self.new)
-            self.new = []
-        return self.data[: self.n]
-
-    def extend(self, rows) -> None:
-        end = self.n + len(rows)
-        if end > len(self.data):
-            self.data = np.concatenate([self.data[: self.n], np.zeros((2 * end - self.n, self.data.shape[1]), self.data.dtype)])
-        self.data[self.n : end] = rows
-        self.n = end
-
-
 class Memory(dict):
     """chunk -> number; tokens of chunks, shapes, and the codes of each kind of token.
 
@@ -198,33 +175,36 @@ class Memory(dict):
 
     def __init__(self, words: dict[str, int], starts: dict[str, int]):
         super().__init__()
-        self.words, self.starts, self.kinds = words, starts, {}
-        self.codes, self.shape_of = _Rows(len(OWN) + 2, np.int32), [0]
-        self.flat, self.chunks = _Rows(1, np.int32), _Rows(4, np.int32)  # first token, tokens, shape, whether it has a lead word
-        self.weighed: _Rows | None = None
-        edge = self.codes.add((*[0] * len(OWN), 0, 1))
-        self.chunks.add((0, EDGE, 0, 0))
-        for _ in range(EDGE):
-            self.flat.add((edge,))
+        self.words, self.starts, self.kinds, self.shapes = words, starts, {}, [0]
+        edge = 0
+        self.codes = array("i", (*[0] * len(OWN), 0, 1))
+        self.flat, self.chunks = array("i", [edge] * EDGE), array("i", (0, EDGE, 0, 0))  # first token, tokens, shape, whether it has a lead word
+        self.weighed: np.ndarray | None = None
 
     def __missing__(self, chunk: str) -> int:
-        kinds, new = self.kinds, self.flat.new
-        tokens = _TOKEN.findall(chunk)
-        first = self.flat.n + len(new)
+        kinds, flat = self.kinds, self.flat
+        tokens, first = _TOKEN.findall(chunk), len(flat)
         for t in tokens:
             kind = kinds.get(t)
             if kind is None:
                 own = own_codes(t)
-                kinds[t] = kind = self.codes.add((*own, self.starts.get(start_of(t), 0), self.words.get(word_of(t), 0)))
-                self.shape_of.append(own[0])
-            new.append((kind,))
+                kinds[t] = kind = len(self.shapes)
+                self.codes.extend((*own, self.starts.get(start_of(t), 0), self.words.get(word_of(t), 0)))
+                self.shapes.append(own[0])
+            flat.append(kind)
         # Most chunks are a word and marks behind it.
         bare = chunk.strip("\"'`.,;:()[]<>") or chunk[:1]
-        shape = self.shape_of[kinds[bare]] if bare in kinds else shape_of(bare)
+        shape = self.shapes[kinds[bare]] if bare in kinds else shape_of(bare)
         lead = _LEADS.search(chunk.lower()) is not None and _LEAD.search(chunk) is not None
-        self[chunk] = found = self.chunks.add((first, len(tokens), shape, lead))
+        self[chunk] = found = len(self.chunks) // 4
+        self.chunks.extend((first, len(tokens), shape, lead))
         return found
 
+    def codes_of(self, first: int = 0) -> np.ndarray:
+        """The codes of each kind of token, from the first asked for on."""
+        width = len(OWN) + 2
+        return np.frombuffer(self.codes, np.int32)[first * width :].reshape(-1, width).copy()
+
 
 class Tokens:
     """The tokens of some texts side by side, EDGE empty ones after each: kind, shape, chunk and what the chunk says."""
@@ -234,7 +214,7 @@ class Tokens:
         sizes = np.asarray([len(c) + 1 for c in split])
         self.ends = np.cumsum(sizes)  # chunks of each text, with the edge
         numbers = np.fromiter(chain.from_iterable(chain(map(memory.__getitem__, c), (0,)) for c in split), np.int64, int(self.ends[-1]) if texts else 0)
-        chunks, flat = memory.chunks.array()[numbers], memory.flat.array()[:, 0]
+        chunks, flat = np.array(memory.chunks, np.int64).reshape(-1, 4)[numbers], np.array(memory.flat, np.int64)
         self.first_chunk = self.ends - sizes
         counts = chunks[:, 1]
         self.starts = np.cumsum(counts) - counts  # first token of each chunk
@@ -243,7 +223,7 @@ class Tokens:
         at = np.arange(n) - self.starts[self.chunk]  # place in the chunk
         self.kind = flat[chunks[self.chunk, 0] + at]
         self.real = numbers[self.chunk] > 0
-        self.shape = memory.codes.array()[self.kind, 0].astype(np.int64)  # the first of OWN
+        self.shape = np.array(memory.shapes, np.int64)[self.kind]
         self.place = (at > 0) + 2 * (at + 1 < counts[self.chunk])
         self.text = np.repeat(np.arange(len(texts)), sizes)
         lead, self.chunk_shape = self._leads(chunks[:, 3] > 0), chunks[:, 2]
@@ -332,14 +312,13 @@ class Field:
 
     def _weighed(self, memory: Memory) -> np.ndarray:
         """What each kind of token adds to its own emissions, and to those of each neighbour."""
-        if memory.weighed is None:
-            memory.weighed = _Rows(3 * (1 + len(NEIGHBOURS)), np.float32)
-        codes, own = memory.codes.array(), len(OWN) + 2
-        new = codes[memory.weighed.n :]
+        done, own = 0 if memory.weighed is None else len(memory.weighed), len(OWN) + 2
+        new = memory.codes_of(done)
         if len(new):
             alone = sum(t[new[:, i]] for i, t in enumerate(self.tables[:own]))
-            memory.weighed.extend(np.concatenate([alone, *[t[new[:, -1]] for t in self.tables[own : own + len(NEIGHBOURS)]]], axis=1))
-        return memory.weighed.array()
+            parts = np.concatenate([alone, *[t[new[:, -1]] for t in self.tables[own : own + len(NEIGHBOURS)]]], axis=1)
+            memory.weighed = parts if memory.weighed is None else np.concatenate([memory.weighed, parts])
+        return memory.weighed
 
     def emissions(self, texts: list[str], x: Tokens, memory: Memory) -> np.ndarray:
         weighed = self._weighed(memory)
@@ -488,7 +467,7 @@ def train(tagged: list[tuple[str, list[tuple[int, int]]]], steps: int = 80) -> F
     starts = {w: i for i, w in enumerate(often(start_of), 1)}
     memory = Memory(words, starts)
     x = Tokens(texts, memory)
-    codes = memory.codes.array().astype(np.int64)
+    codes = memory.codes_of().astype(np.int64)
     files = np.asarray([file_codes(t) for t in texts], np.int64).reshape(-1, 3)
     columns = [*codes[x.kind].T, *[codes[x.shifted(x.kind, by), -1] for by in NEIGHBOURS], *grid_cells(x), *files[x.text].T]
     sizes = Field.sizes(words, starts)
