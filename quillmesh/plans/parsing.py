@@ -187,3 +187,30 @@ def _(c):
 
     gate = Gate(c.spark, {"edges": c.edges, "papers": c.papers})
     return gate.frame("SELECT p.acquired_via, count(*) AS n, round(avg(e.confidence), 6) AS mean FROM edges e JOIN papers p ON p.paper_id = e.to_paper WHERE p.year >= ? GROUP BY p.acquired_via HAVING count(*) > 1", [2000])
+
+
+# Documents as Markdown: every third paragraph a heading (each second of these of references), an equation in every fourth line.
+_MD = """md AS (SELECT doc_id, nr, CASE WHEN nr % 6 = 2 THEN '# Some References' WHEN nr % 6 = 5 THEN '## Part' WHEN nr % 4 = 1 THEN line || ' $$x_' || nr || '$$ and $$ y $$' ELSE line END AS line FROM (SELECT doc_id, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INT) AS nr, unnest(string_split(text, chr(10))) AS line FROM documents)),
+    placed AS (SELECT *, count(*) FILTER (regexp_matches(line, '^#{1,4} ')) OVER (PARTITION BY doc_id ORDER BY nr) AS section, last_value(CASE WHEN regexp_matches(line, '^#{1,4} ') THEN contains(lower(line), 'reference') END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY nr) AS in_refs FROM md)"""
+
+
+def _markdown(c):
+    at = F.col("at")
+    lines = c.table("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    line = F.when(at % 6 == 2, "# Some References").when(at % 6 == 5, "## Part").when(at % 4 == 1, F.concat("line", F.lit(" $$x_"), at.cast("string"), F.lit("$$ and $$ y $$"))).otherwise(F.col("line"))
+    return lines.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
+
+
+@query("parse_md_references", f"""WITH {_MD} SELECT doc_id, 'ref-' || n AS ref_id, '[' || n || ']' AS marker, trim(line) AS raw FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY nr) AS n FROM placed WHERE in_refs AND NOT regexp_matches(line, '^#{{1,4}} ') AND trim(line) <> '')""")
+def _(c):
+    from quillmesh.operators.documents import markdown_references
+
+    return markdown_references(_markdown(c))
+
+
+@query("parse_md_equations", f"""WITH {_MD}, e AS (SELECT doc_id, nr, section, unnest(regexp_extract_all(line, '[$][$](.+?)[$][$]', 1)) AS latex, generate_subscripts(regexp_extract_all(line, '[$][$](.+?)[$][$]', 1), 1) AS pos FROM placed WHERE NOT coalesce(in_refs, false) AND NOT regexp_matches(line, '^#{{1,4}} '))
+    SELECT doc_id, 'eq-' || row_number() OVER (PARTITION BY doc_id ORDER BY nr, pos) AS id, CASE WHEN section > 0 THEN 'sec-' || section END AS section, trim(latex) AS latex FROM e""")
+def _(c):
+    from quillmesh.operators.documents import markdown_equations
+
+    return markdown_equations(_markdown(c))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions import ids
 from quillmesh.functions import text as T
-from quillmesh.operators import atoms, evaluate, graph, memory, parse, ranking, retrieval, scoring, sinks
+from quillmesh.operators import atoms, documents, evaluate, graph, memory, parse, ranking, retrieval, scoring, sinks
 from quillmesh.operators.sqlgate import Gate
 from quillmesh.plans.scalars import dedup_tokens, jaccard
 
@@ -384,3 +384,25 @@ def test_evidence_gate_and_protected_paths(spark):
     assert gate(spans) == (False, True) and gate(spans.limit(1)) == (True, True) and gate(spans.limit(0)) == (False, False)
     calls = spark.createDataFrame([("Read", "/r/research/graph.json"), ("Edit", "/r/research/graph.json"), ("Grep", "src/graph.json"), ("Glob", None), (None, "research/research.db")], "tool string, path string")
     assert [r.blocked for r in evaluate.path_policy(calls).collect()] == [True, False, False, False, False]
+
+
+def test_tables_references_equations_and_backends(spark):
+    items = spark.createDataFrame(
+        [(1, 0, "section_header", "A", None, None, None, None), (1, 1, "table", None, "", ["Table 1:", "sizes"], "old", [[("a",), ("b",)], [("1",), (None,)]]), (1, 2, "table", None, "said itself", None, None, None), (2, 0, "table", None, None, None, "plain", [])],
+        "doc_id long, at int, label string, text string, caption_text string, captions array<string>, caption string, grid array<array<struct<text: string>>>",
+    )
+    assert sorted(tuple(r) for r in documents.tables(items).collect()) == [(1, "tab-1", "sec-1", "Table 1: sizes", [["a", "b"], ["1", ""]]), (1, "tab-2", "sec-1", "said itself", None), (2, "tab-1", None, "plain", None)]
+    files = spark.createDataFrame([(1, "$$ x $$ first\n# One\ntext $$a=b$$ and $$c$$\n## References\nSmith 2020\n\n$$no$$ Jones\n# After\n$$d$$"), (2, "none")], "doc_id long, text string")
+    assert sorted(tuple(r) for r in documents.markdown_references(files).collect()) == [(1, "ref-1", "[1]", "Smith 2020"), (1, "ref-2", "[2]", "$$no$$ Jones")]
+    assert sorted(tuple(r) for r in documents.markdown_equations(files).collect()) == [(1, "eq-1", None, "x"), (1, "eq-2", "sec-1", "a=b"), (1, "eq-3", "sec-1", "c"), (1, "eq-4", "sec-3", "d")]
+    kinds = spark.createDataFrame([(1, "pdf", "one"), (2, "pdf", "two"), (3, "tex", "one"), (4, "pdf", "none")], "doc_id long, kind string, text string")
+    only = lambda word: lambda df: df.filter(F.col("text") == word).select("doc_id", F.col("text").alias("body"))
+    rows = documents.parsed_in_turn(kinds, [("first", "pdf", only("one")), ("second", "pdf", lambda df: df.filter("text <> 'none'").select("doc_id", F.col("text").alias("body")))]).collect()
+    assert sorted((r.doc_id, r.backend, r.body) for r in rows if r.backend) == [(1, "first", "one"), (2, "second", "two")] and sorted(r.doc_id for r in rows if not r.backend) == [3, 4]
+
+
+def test_model_grades(spark):
+    leaves = spark.createDataFrame([(x,) for x in "abcde"], "leaf_id string")
+    answers = spark.createDataFrame([("a", 'So: {"status": "pass", "rationale": "' + "r" * 300 + '"} end'), ("b", "no object"), ("c", "{broken} }"), ("d", '{"rationale": 1}')], "leaf_id string, answer string")
+    got = {r.leaf_id: (r.status, r.rationale) for r in documents.graded(leaves, answers).collect()}
+    assert got == {"a": ("pass", "r" * 200), "b": ("fail", "grader did not return JSON"), "c": ("fail", "json decode failed"), "d": ("fail", "1"), "e": ("fail", "grader did not return JSON")}
