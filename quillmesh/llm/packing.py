@@ -21,8 +21,11 @@ import heapq
 import math
 import os
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +46,14 @@ REMEMBER, LONGEST = 800_000, 40
 _STOP = re.compile(rb"(?<=[a-z0-9])([.,])(?=\s|\Z)")
 
 
+def _packed(ids: list[int]) -> bytes:
+    """Ids as little-endian 32-bit numbers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class _Known(dict):
     """Ids by chunk; what isn't remembered is looked up among the step's own chunks."""
 
@@ -83,14 +94,11 @@ class ChunkEncoder:
         fresh: dict[bytes, bytes] = {}
         for i in range(0, len(unseen), 20_000):
             some = unseen[i : i + 20_000]
-            for chunk, found in zip(some, self.tokenizer.encode_batch_fast([c.decode("utf-8") for c in some], add_special_tokens=False), strict=True):
-                fresh[chunk] = np.asarray(found.ids, "<u4").tobytes()
+            found = self.tokenizer.encode_batch_fast([c.decode("utf-8") for c in some], add_special_tokens=False)
+            fresh.update(zip(some, [_packed(f.ids) for f in found], strict=True))
         known.fresh = fresh
-        for chunk, ids in fresh.items():
-            if len(known) >= REMEMBER:
-                break
-            if len(chunk) <= LONGEST:
-                known[chunk] = ids
+        if (room := REMEMBER - len(known)) > 0:
+            known.update(islice(((c, ids) for c, ids in fresh.items() if len(c) <= LONGEST), room))
         out = [b"".join(map(known.__getitem__, chunks)) for chunks in split]
         known.fresh = {}
         return out
