@@ -20,7 +20,6 @@ from __future__ import annotations
 import heapq
 import math
 import os
-import re
 import sys
 import zlib
 from array import array
@@ -43,7 +42,8 @@ BLOCK, BLOCK_WINDOWS, TASK_ITEMS = 1024, 64, 16_384
 REMEMBER, LONGEST = 800_000, 40
 
 
-_STOP = re.compile(rb"(?<=[a-z0-9])([.,])(?=\s|\Z)")
+#: Ends of words before whose last mark the tokenizer cuts.
+_STOPS = frozenset(bytes((c, mark)) for c in b"abcdefghijklmnopqrstuvwxyz0123456789" for mark in b".,")
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -70,7 +70,8 @@ class ChunkEncoder:
     digits meet punctuation; so no token spans ASCII white space, nor the place before a full stop
     or comma that ends a word, and the ids of the chunks cut there, joined, are the text's ids.
     As it lower-cases, chunks are lower-cased (A-Z only) unless the text may hold a special token.
-    Frequent chunks are met early and remembered; the memory is bounded.
+    Arrow splits the texts, numbers their different words and joins the ids; Python sees each
+    different word of a step once. Frequent chunks are met early and remembered; the memory is bounded.
     """
 
     def __init__(self, path: str):
@@ -79,18 +80,21 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known = _Known()
+        self.marks = {mark: _packed(self.tokenizer.encode(chr(mark), add_special_tokens=False).ids) for mark in b".,"}
 
     @staticmethod
-    def chunks(text: str) -> list[bytes]:
-        raw = text.encode("utf-8")
-        if b"<|" not in raw:
-            raw = raw.lower()
-        return _STOP.sub(rb" \1", raw).split()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        split = [self.chunks(t) for t in texts]
-        unseen = list(set().union(*split).difference(known))
+    def words(texts: pa.Array) -> pa.ListArray:
+        """What white space parts in each text, lower-cased; empty strings may stand at the ends."""
+        texts = pc.fill_null(texts, "")
+        lower = pc.ascii_lower(texts)
+        special = pc.match_substring(texts, "<|")
+        return pc.ascii_split_whitespace(pc.if_else(special, texts, lower) if pc.any(special).as_py() else lower)
+
+    def ids_of(self, words: list[bytes]) -> list[bytes]:
+        """The ids of different words."""
+        known, marks = self.known, self.marks
+        chunks = [w[:-1] if w[-2:] in _STOPS else w for w in words]
+        unseen = list(set(chunks).difference(known))
         fresh: dict[bytes, bytes] = {}
         for i in range(0, len(unseen), 20_000):
             some = unseen[i : i + 20_000]
@@ -99,10 +103,23 @@ class ChunkEncoder:
         known.fresh = fresh
         if (room := REMEMBER - len(known)) > 0:
             known.update(islice(((c, ids) for c, ids in fresh.items() if len(c) <= LONGEST), room))
-        out = [b"".join(map(known.__getitem__, chunks)) for chunks in split]
+        out = [ids if c is w else ids + marks[w[-1]] for w, c, ids in zip(words, chunks, map(known.__getitem__, chunks), strict=True)]
         known.fresh = {}
         return out
 
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        words = self.words(texts)
+        coded = words.flatten().dictionary_encode()
+        ids = self.ids_of(coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist())
+        # Longer than the texts: 64-bit places.
+        joined = pa.array(ids, pa.large_binary()).take(coded.indices)
+        if not len(joined):
+            return [b""] * len(texts)
+        _, places, data = joined.buffers()
+        ends = np.frombuffer(places, np.int64)[joined.offset :][words.offsets.to_numpy() - words.offsets[0].as_py()].tolist()
+        view = memoryview(data) if data else memoryview(b"")
+        return [bytes(view[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+
 
 def _parts(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about so many bytes, at least a row each, so that a step's memory is bounded."""
@@ -118,9 +135,9 @@ def pieces(docs: DataFrame, vocabulary: str, window: int = 4096, end_id: int = 2
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = remembered(f"packing {vocabulary}", lambda: ChunkEncoder(vocabulary))
         for batch in batches:
-            for part in _parts(batch, 4_000_000):
+            for part in _parts(batch, 8_000_000):
                 rows = []
-                encoded = encoder.encode([t or "" for t in part.column(1).to_pylist()])
+                encoded = encoder.encode(part.column(1))
                 for doc_id, buf in zip(part.column(0).to_pylist(), encoded, strict=True):
                     buf += tail
                     total = len(buf) // 4

@@ -2,6 +2,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -96,3 +97,26 @@ def test_many_windows_by_the_same_steps():
     lengths = [2100] * 300
     found = packing.pack_block(lengths, 4096)
     assert np.bincount(found, lengths).max() <= 4096
+
+
+def test_each_different_word_is_looked_up_once():
+    class Counting(packing._Known):
+        asked = 0
+
+        def __getitem__(self, chunk):
+            Counting.asked += 1
+            return super().__getitem__(chunk)
+
+    encoder = packing.ChunkEncoder(registry.vocabulary())
+    encoder.known = Counting()
+    texts = ["One two. three, " * 5_000, None, "one TWO." * 3]
+    assert encoder.encode(pa.array(texts)) == [np.asarray(ids_of(t)[:-1], "<u4").tobytes() for t in texts]
+    assert Counting.asked <= 10
+
+
+def test_ids_of_odd_texts_are_the_tokenizers():
+    rng = np.random.default_rng(5)
+    marks = list("aB1.,;'\n\t \x0b\x0c\x1cé<|>  Σ\x00\u0085") + ["<|endoftext|>", "z. ", "9, "]
+    texts = ["".join(rng.choice(marks, rng.integers(0, 60))) for _ in range(2_000)]
+    found = packing.ChunkEncoder(registry.vocabulary()).encode(pa.array(["cut", *texts]).slice(1))
+    assert found == [np.asarray(ids_of(t)[:-1], "<u4").tobytes() for t in texts]
