@@ -64,6 +64,11 @@ ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
 KINDS = ("assign", "access", "hex", "crf")
 
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")  # HEX's maximal runs that are long enough
+_HEX_DIGITS = "0123456789abcdef"
+#: Bytes as 1 where they are hex digits, else 0; and as many of the former as a hex span has at least.
+_IS_HEX, _LONG_HEX = bytes(chr(b) in _HEX_DIGITS for b in range(256)), b"\1" * HEX_LEAST
+#: Where none of these is, in small letters, ASSIGN finds nothing.
+_NAMES = ("passw", "secret", "token", "apikey", "api_key")
 _MIXED = re.compile(r"[a-z][A-Z]")
 #: Words near which secrets stand; a feature of the chunks around.
 _LEAD = re.compile(r"(?:pass(?:word|wd|phrase|code)|pwd|secret|token|credential|bearer|(?<![a-z])(?:api|access|auth|private|secret)?[_ -]?key)s?(?![a-z])", re.IGNORECASE | re.ASCII)
@@ -79,12 +84,15 @@ NEVER = -1e9
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind's number, end), sorted."""
     out = []
-    for m in ASSIGN.finditer(text):
-        if m.end(2) - m.start(2) >= ASSIGN_LEAST:
-            out.append((m.start(), 0, m.end()))
+    lower = text.lower()
+    if any(name in lower for name in _NAMES):
+        for m in ASSIGN.finditer(text):
+            if m.end(2) - m.start(2) >= ASSIGN_LEAST:
+                out.append((m.start(), 0, m.end()))
     if "AKIA" in text:
         out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= ACCESS_LEAST]
-    out += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
+    if _LONG_HEX in text.encode("utf-8", "replace").translate(_IS_HEX):
+        out += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     return sorted(out)
 
 
@@ -104,14 +112,13 @@ class _Class(dict):
 _CLASS = _Class()
 _CHANGE = re.compile(r"(?<=d)[^d]|(?<=u)[^u]|(?<=l)[^l]|(?<=s)[^s]")
 _SETS = {"".join(k for k, bit in zip("dlsu", bits, strict=True) if bit): n for n, bits in enumerate(np.ndindex(2, 2, 2, 2))}
-_SMALL, _LETTERS, _HEXES = _SETS["l"], {_SETS[k] for k in ("l", "u", "lu")}, {_SETS[k] for k in ("d", "l", "dl")}
+_SMALL, _CAPITAL, _LETTERS, _HEXES = _SETS["l"], _SETS["lu"], {_SETS[k] for k in ("l", "u", "lu")}, {_SETS[k] for k in ("d", "l", "dl")}
 LENGTHS, CHANGES, KINDS_OF, DIGITS, HEXES, HARSH = (2, 4, 6, 8, 12, 16, 20, 24, 32, 48), (0.05, 0.15, 0.3, 0.45), (4, 6, 8, 10, 13, 16, 20), (0.01, 0.1, 0.3, 0.5, 0.8, 1), (8, 16, 24, 32), (4, 5, 6, 8)
 N_LENGTHS = len(LENGTHS) + 1
 N_SHAPES = len(_SETS) * N_LENGTHS * 2
 #: Sizes of what a token shows by itself: shape, hex digits only (by length), changes of class, different characters, digits, runs of consonants.
 OWN = (N_SHAPES, len(HEXES) + 2, len(_SETS) * (len(CHANGES) + 1), N_LENGTHS * (len(KINDS_OF) + 1), len(DIGITS) + 1, len(HARSH) + 1)
 _CONSONANTS = re.compile("[^aeiouyAEIOUY]{4,}")
-_HEX_ONLY = re.compile("[0-9a-f]+")
 
 
 def shape_of(text: str) -> int:
@@ -129,6 +136,8 @@ def own_codes(t: str) -> tuple[int, ...]:
     length, changes, digits = bisect_right(LENGTHS, n), 0, 0
     if t.islower() and t.isalpha():
         kinds, mixed = _SMALL, 0
+    elif t[0].isupper() and (rest := t[1:]).islower() and rest.isalpha():
+        kinds, mixed, changes = _CAPITAL, 0, bisect_right(CHANGES, 1 / (n - 1))
     else:
         classes = t.translate(_CLASS)
         some = sorted(set(classes))
@@ -136,8 +145,8 @@ def own_codes(t: str) -> tuple[int, ...]:
         if len(some) > 1:
             changes = bisect_right(CHANGES, len(_CHANGE.findall(classes)) / (n - 1))
         digits = bisect_right(DIGITS, classes.count("d") / n)
-    harsh = bisect_right(HARSH, max(map(len, found))) if kinds in _LETTERS and (found := _CONSONANTS.findall(t)) else 0
-    hexes = 1 + bisect_right(HEXES, n) if kinds in _HEXES and _HEX_ONLY.fullmatch(t) else 0
+    harsh = bisect_right(HARSH, max(map(len, found))) if n > 3 and kinds in _LETTERS and (found := _CONSONANTS.findall(t)) else 0
+    hexes = 1 + bisect_right(HEXES, n) if kinds in _HEXES and not t.strip(_HEX_DIGITS) else 0
     return (kinds * N_LENGTHS + length) * 2 + mixed, hexes, kinds * (len(CHANGES) + 1) + changes, length * (len(KINDS_OF) + 1) + bisect_right(KINDS_OF, len(set(t))), digits, harsh
 
 

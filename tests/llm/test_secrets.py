@@ -204,3 +204,39 @@ def test_lead_words_alone_are_no_secrets():
     f = trained()
     for text in ("the token count of each sentence was set to 512 in config", "a password is required before the first question", "the key idea of this paper is attention", "use JavaScript and getElementById for the special value"):
         assert f.spans(text) == [], text
+
+
+def test_patterns_run_only_over_texts_that_may_match(monkeypatch):
+    seen = []
+
+    class Watched:
+        def __init__(self, pattern):
+            self.pattern = pattern
+
+        def finditer(self, text):
+            seen.append(text)
+            return self.pattern.finditer(text)
+
+    monkeypatch.setattr(secrets, "ASSIGN", Watched(secrets.ASSIGN))
+    monkeypatch.setattr(secrets, "_HEX", Watched(secrets._HEX))
+    texts = ["plain words of a text, no name = value " * 50, "abcdef0123 " * 50, "ApI_kEy = abcdef1", "x" + "0a" * 12, "PASSWD:" + "0a" * 12, "é" + "0a" * 11 + "0 a"]
+    assert [secrets.base_spans(t) for t in texts] == [plain_base(t) for t in texts]
+    assert seen == [texts[2], texts[3], texts[4], texts[4]]
+
+
+def test_base_spans_of_odd_texts_are_the_patterns():
+    rng = random.Random(7)
+    parts = ["password", "PASSWD", "Secret", "tOKEN", "api_key", "APIKEY", "apİkey", "toKen", "ſecret", "AKIA", "=", ": ", '" : "', " ", "\n", "é", "0123456789abcdef", "deadbeef", "ABCDEFGH01234567", "x", ".", "\ud800"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 9))) for _ in range(3_000)]
+    assert [secrets.base_spans(t) for t in texts] == [plain_base(t) for t in texts]
+
+
+def test_codes_of_capitalised_words_are_those_of_their_classes():
+    for t in ("Hello", "Été", "Xq", "X", "ǅabc", "Ⓐbc", "Ab1", "ABc", "Straßenbahnhaltestelle", "Bcdfghjk", "Ab中", "deadbeef", "cafe1", "0123"):
+        classes = t.translate(secrets._CLASS)
+        kinds = secrets._SETS["".join(sorted(set(classes)))]
+        changes = sum(a != b for a, b in itertools.pairwise(classes)) / max(1, len(t) - 1)
+        found = secrets.own_codes(t)
+        assert found[0] == secrets.shape_of(t)
+        assert found[2] == kinds * (len(secrets.CHANGES) + 1) + sum(c <= changes for c in secrets.CHANGES)
+        assert (found[1] > 0) == (re.fullmatch("[0-9a-f]+", t) is not None)
