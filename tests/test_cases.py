@@ -223,6 +223,18 @@ def test_k_shortest_equals_enumeration(spark):
     assert [(r.path, r.hops) for r in graph.k_shortest(g, "n0", "n8", 6, 8).collect()] == every
 
 
+def test_paths_are_searched_among_their_own_arcs(spark):
+    """Arcs that no path of so many hops takes are left out; parallel ones and repeats count once, by the lightest."""
+    far = [(f"far{i}", f"far{i + 1}", 0.1) for i in range(50)]
+    pairs = [("s", "m", 1.0), ("s", "m", 3.0), ("s", "m", 1.0), ("m", "t", 1.0), ("s", "x", 1.0), ("x", "y", 1.0), ("y", "t", 1.5), ("t", "far0", 0.1), ("s", "far9", 0.1)]
+    g = arcs(spark, pairs + far)
+    assert {tuple(r) for r in graph.within(g, "s", "t", 1).collect()} == set()
+    near = {(r.a, r.b): r.w for r in graph.within(g, "s", "t", 3).collect()}
+    assert near["s", "m"] == 1.0 and {("m", "t"), ("s", "x"), ("x", "y"), ("y", "t")} <= set(near) and len(near) < 15
+    assert [tuple(r) for r in graph.k_shortest(g, "s", "t", 3, 3).collect()] == [(0, "s>m>t", 2, 2.0), (1, "s>x>y>t", 3, 3.5)]
+    assert [tuple(r) for r in graph.bounded_paths(g, "s", "t", 3, 3).collect()] == [("s>m>t", 2, 2.0), ("s>x>y>t", 3, 3.5)]
+
+
 def test_breadth_first(spark):
     g = arcs(spark, [("a", "b", 1.0), ("b", "c", 1.0), ("c", "d", 1.0), ("a", "c", 1.0)])
     assert {r.node: r.hop for r in graph.breadth_first(g, "a", 2, 10).collect()} == {"a": 0, "b": 1, "c": 1, "d": 2}
