@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.functions.text import hits, hits_sql, quote
@@ -137,3 +137,23 @@ def scholarly(citations: Column, influential: Column, year: Column) -> Column:
 
 def scholarly_sql(citations: str, influential: str, year: str) -> str:
     return f"(0.3::DOUBLE * ln(1 + coalesce({citations}, 0)::DOUBLE) + 0.4::DOUBLE * ln(1 + coalesce({influential}, 0)::DOUBLE) + 0.3::DOUBLE * greatest(0.0::DOUBLE, 1 - (2026 - coalesce(nullif({year}, 0), 2000)) / 30.0::DOUBLE))"
+
+
+def _subsets(tokens: str, size: Column) -> Column:
+    """Each set of so many of the sorted tokens, as one string; for a title's tokens, of which there are at most some 15."""
+    masks = F.filter(F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), F.size(tokens)) - 1), lambda m: F.bit_count(m) == size)
+    return F.transform(masks, lambda m: F.array_join(F.filter(tokens, lambda x, i: F.call_function("shiftright", m, i).bitwiseAND(1) == 1), " "))
+
+
+def resolved(refs: DataFrame, records: DataFrame, least: int = 3) -> DataFrame:
+    """ref, record: the first record whose title has at least max(least, half) of the reference's distinct tokens.
+
+    refs: ref, tokens; records: record, tokens. A record has t of a reference's tokens if and only if both have a set of t
+    tokens. So the first record of each such set is looked up, and references are never paired with all records of a token.
+    """
+    wanted = F.greatest(F.lit(least), F.floor(F.size("tokens") / 2).cast("int"))
+    sought = refs.select("ref", F.array_sort("tokens").alias("tokens"), wanted.alias("t")).filter(F.size("tokens") >= F.col("t"))
+    sizes = F.broadcast(sought.select("t").distinct())  # a few numbers
+    titles = records.groupBy(F.array_sort("tokens").alias("tokens")).agg(F.min("record").alias("record"))
+    firsts = titles.join(sizes, F.size("tokens") >= F.col("t")).select("record", F.explode(_subsets("tokens", F.col("t"))).alias("key")).groupBy("key").agg(F.min("record").alias("record"))
+    return sought.select("ref", F.explode(_subsets("tokens", F.col("t"))).alias("key")).join(firsts, "key").groupBy("ref").agg(F.min("record").alias("record"))

@@ -187,11 +187,11 @@ _REF_TOKENS = "list_distinct(list_filter(regexp_extract_all(lower(title), '[a-z0
     m AS (SELECT a.doc_id AS ref, b.doc_id AS record, a.n, count(*) AS common FROM t a JOIN t b ON a.token = b.token AND NOT a.acquired AND b.acquired GROUP BY ALL)
     SELECT ref, min(record) AS record FROM m WHERE common >= greatest(3, n // 2) GROUP BY ref""")
 def _(c):
+    from quillmesh.operators.scoring import resolved
+
     words = F.array_distinct(F.filter(F.regexp_extract_all(F.lower("title"), F.lit("[a-z0-9]+"), F.lit(0)), lambda x: F.length(x) > 3))
-    t = c.papers.select("doc_id", "acquired", F.size(words).alias("n"), F.explode(words).alias("token"))
-    refs, records = t.filter("not acquired").withColumnRenamed("doc_id", "ref"), t.filter("acquired").select(F.col("doc_id").alias("record"), "token")
-    both = refs.join(records, "token").groupBy("ref", "record", "n").agg(F.count("*").alias("both"))
-    return both.filter(F.col("both") >= F.greatest(F.lit(3), F.floor(F.col("n") / 2))).groupBy("ref").agg(F.min("record").alias("record"))
+    t = c.papers.select("doc_id", "acquired", words.alias("tokens"))
+    return resolved(t.filter("not acquired").select(F.col("doc_id").alias("ref"), "tokens"), t.filter("acquired").select(F.col("doc_id").alias("record"), "tokens"))
 
 
 _BIB_SQL = "(SELECT 'd:' || doc_id AS from_paper, 'd:' || ((doc_id * 3 + 1) % n) AS to_paper FROM documents, n_docs UNION ALL SELECT from_paper, to_paper FROM edges WHERE slot < 2)"

@@ -235,6 +235,19 @@ def test_paths_are_searched_among_their_own_arcs(spark):
     assert [tuple(r) for r in graph.bounded_paths(g, "s", "t", 3, 3).collect()] == [("s>m>t", 2, 2.0), ("s>x>y>t", 3, 3.5)]
 
 
+def test_references_are_resolved_by_sets_of_tokens(spark):
+    rng = random.Random(3)
+    titles = [(i, sorted(rng.sample("abcdefghijkl", rng.randint(0, 10)))) for i in range(160)]
+    refs, records = titles[::4], [t for t in titles if t[0] % 4] + [(500, ["a", "b", "c"]), (499, ["a", "b", "c"])]
+    want = {}
+    for ref, x in refs:
+        found = [record for record, y in records if len(set(x) & set(y)) >= max(3, len(x) // 2)]
+        if found:
+            want[ref] = min(found)
+    got = scoring.resolved(spark.createDataFrame(refs, "ref long, tokens array<string>"), spark.createDataFrame(records, "record long, tokens array<string>"))
+    assert {r.ref: r.record for r in got.collect()} == want and len(want) > 10
+
+
 def test_breadth_first(spark):
     g = arcs(spark, [("a", "b", 1.0), ("b", "c", 1.0), ("c", "d", 1.0), ("a", "c", 1.0)])
     assert {r.node: r.hop for r in graph.breadth_first(g, "a", 2, 10).collect()} == {"a": 0, "b": 1, "c": 1, "d": 2}
