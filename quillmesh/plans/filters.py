@@ -170,8 +170,8 @@ def _(c):
 def _(c):
     from quillmesh.operators.graph import shared_pairs
 
-    used = c.usage.join(c.atoms.select("atom_id", "category"), "atom_id")
-    return shared_pairs(used, "category", 2)
+    pairs = shared_pairs(c.usage_numbers, c.atom_numbers, "category", 2)
+    return pairs.select("category", *c.paper_pair("paper_a", "paper_b"), "shared")
 
 
 @query("join_edge_paragraph", """SELECT paper_id, pos, arg_max(to_paper, (confidence, -slot)) AS definer FROM paragraphs JOIN edges ON from_paper = paper_id AND edges.paragraph_id = paragraphs.paragraph_id GROUP BY paper_id, pos""")

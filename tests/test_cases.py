@@ -248,6 +248,23 @@ def test_references_are_resolved_by_sets_of_tokens(spark):
     assert {r.ref: r.record for r in got.collect()} == want and len(want) > 10
 
 
+def test_shared_pairs_equal_brute_force(spark):
+    """Repeats of a use count once; papers may be numbers; pairs are shuffled as lists."""
+    rng = random.Random(4)
+    category = {a: "xyz"[a % 3] for a in range(30)}
+    uses = [(rng.randrange(30), rng.randrange(12)) for _ in range(200)]
+    usage, items = spark.createDataFrame(uses + uses[:50], "atom_id long, paper_id long"), spark.createDataFrame(list(category.items()), "atom_id long, category string")
+    for least in (2, 3):
+        want = {}
+        for k in "xyz":
+            for x in range(12):
+                for y in range(x + 1, 12):
+                    n = len({a for a, p in uses if p == x and category[a] == k} & {a for a, p in uses if p == y and category[a] == k})
+                    if n >= least:
+                        want[k, x, y] = n
+        assert {tuple(r)[:3]: r.shared for r in graph.shared_pairs(usage, items, "category", least).collect()} == want and want
+
+
 def test_breadth_first(spark):
     g = arcs(spark, [("a", "b", 1.0), ("b", "c", 1.0), ("c", "d", 1.0), ("a", "c", 1.0)])
     assert {r.node: r.hop for r in graph.breadth_first(g, "a", 2, 10).collect()} == {"a": 0, "b": 1, "c": 1, "d": 2}
