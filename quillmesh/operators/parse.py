@@ -91,8 +91,8 @@ def expand_inputs(files: DataFrame, deepest: int = 6) -> DataFrame:
     """doc_id, name, text -> doc_id, text: each document's root (name main) with \\input and \\include put in, cycles and depth guarded."""
     pattern = re.compile(r"\\(?:input|include)\{([^}]+)\}")
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        texts = dict(zip(group["name"], group["text"], strict=True))
+    def expanded(files: Iterable[dict[str, str]]) -> str:
+        texts = {f["name"]: f["text"] for f in files}
 
         def put(name: str, seen: tuple[str, ...]) -> str:
             name = name.removesuffix(".tex")
@@ -100,9 +100,14 @@ def expand_inputs(files: DataFrame, deepest: int = 6) -> DataFrame:
                 return ""
             return pattern.sub(lambda m: put(m[1].strip(), (*seen, name)), texts[name])
 
-        return pd.DataFrame({"doc_id": [group["doc_id"].iloc[0]], "text": [put("main", ())]})
+        return put("main", ())
 
-    return files.groupBy("doc_id").applyInPandas(run, "doc_id long, text string")
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            yield pd.DataFrame({"doc_id": part["doc_id"], "text": [expanded(files) for files in part["files"]]})
+
+    grouped = files.groupBy("doc_id").agg(F.collect_list(F.struct("name", "text")).alias("files"))
+    return grouped.mapInPandas(run, "doc_id long, text string")
 
 
 def bib_entries(files: DataFrame) -> DataFrame:

@@ -265,6 +265,13 @@ def test_shared_pairs_equal_brute_force(spark):
         assert {tuple(r)[:3]: r.shared for r in graph.shared_pairs(usage, items, "category", least).collect()} == want and want
 
 
+def test_inputs_are_expanded_without_a_frame_for_each_document(spark):
+    files = spark.createDataFrame([(i, n, t) for i in range(40) for n, t in (("main", "A \\input{part.tex} \\include{main}"), ("part", f"B{i}"))] + [(99, "other", "x")], "doc_id long, name string, text string")
+    got = parse.expand_inputs(files)
+    assert {r.doc_id: r.text for r in got.collect()} == {99: ""} | {i: f"A B{i} " for i in range(40)}
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_breadth_first(spark):
     g = arcs(spark, [("a", "b", 1.0), ("b", "c", 1.0), ("c", "d", 1.0), ("a", "c", 1.0)])
     assert {r.node: r.hop for r in graph.breadth_first(g, "a", 2, 10).collect()} == {"a": 0, "b": 1, "c": 1, "d": 2}
