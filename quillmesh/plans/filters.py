@@ -237,7 +237,7 @@ def _(c):
 
 @query("set_union_distinct", "SELECT paper_id, atom_id FROM usage UNION SELECT defined_by, atom_id FROM atoms")
 def _(c):
-    return c.usage.select("paper_id", "atom_id").union(c.atoms.select("defined_by", "atom_id")).distinct()
+    return c.named(c.usage_numbers.union(c.atom_numbers.select("atom_id", "defined_by")).distinct()).select("paper_id", "atom_id")
 
 
 @query("set_candidate_merge", "SELECT chunk_id, 'words' AS source FROM chunks WHERE contains(text, 'the') UNION ALL SELECT chunk_id, 'vector' FROM vectors WHERE chunk_id NOT IN (SELECT chunk_id FROM chunks WHERE contains(text, 'the'))")

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -272,6 +273,13 @@ def test_inputs_are_expanded_without_a_frame_for_each_document(spark):
     assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_the_union_of_uses_is_made_distinct_once_by_numbers(spark, sf):
+    from quillmesh.plans import catalogue
+
+    plan = catalogue.queries()["set_union_distinct"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and re.search(r"Aggregate \[atom_id#\d+L, paper_id#\d+L\]", plan)
+
+
 def test_breadth_first(spark):
     g = arcs(spark, [("a", "b", 1.0), ("b", "c", 1.0), ("c", "d", 1.0), ("a", "c", 1.0)])
     assert {r.node: r.hop for r in graph.breadth_first(g, "a", 2, 10).collect()} == {"a": 0, "b": 1, "c": 1, "d": 2}
