@@ -63,12 +63,17 @@ def path_policy(calls: DataFrame) -> DataFrame:
     return calls.withColumn("blocked", F.coalesce(F.col("tool").isin(*DIRECT_TOOLS), F.lit(False)) & protected)
 
 
-def promoted(answers: DataFrame) -> DataFrame:
+def promoted(used: DataFrame, communities: DataFrame, chunks: DataFrame) -> DataFrame:
     """answer, atoms, communities, chunks of the answers worth a page: two atoms or more of different communities, or three chunks or more.
 
-    answers: answer, atom_id, community_id, chunk (each null where a row says nothing of it).
+    used: answer, atom_id; communities: atom_id, community_id; chunks: answer, chunk; repeats don't matter. Each is made
+    distinct by itself, so that no row is copied for each count.
     """
-    got = answers.groupBy("answer").agg(F.countDistinct("atom_id").alias("atoms"), F.countDistinct("community_id").alias("communities"), F.countDistinct("chunk").alias("chunks"))
+    count = lambda rows, what, name: rows.distinct().groupBy("answer").agg(F.count(what).alias(name))
+    atoms = count(used.select("answer", "atom_id"), "atom_id", "atoms")
+    areas = count(used.join(communities, "atom_id").select("answer", "community_id"), "community_id", "communities")
+    spans = count(chunks.select("answer", "chunk"), "chunk", "chunks")
+    got = atoms.join(areas, "answer", "full_outer").join(spans, "answer", "full_outer").na.fill(0, ["atoms", "communities", "chunks"])
     return got.filter("atoms >= 2 and communities >= 2 or chunks >= 3")
 
 

@@ -280,6 +280,20 @@ def test_the_union_of_uses_is_made_distinct_once_by_numbers(spark, sf):
     assert plan.count("Aggregate") == 1 and re.search(r"Aggregate \[atom_id#\d+L, paper_id#\d+L\]", plan)
 
 
+def test_promotion_counts_each_thing_by_itself(spark):
+    rng = random.Random(6)
+    used, areas, spans = ([(rng.randrange(9), rng.randrange(n)) for _ in range(k)] for n, k in ((6, 25), (4, 12), (9, 25)))
+    want = {}
+    for answer in range(9):
+        a = {x for p, x in used if p == answer}
+        c, s = {y for x, y in areas if x in a}, {x for p, x in spans if p == answer}
+        if len(a) >= 2 and len(c) >= 2 or len(s) >= 3:
+            want[answer] = (len(a), len(c), len(s))
+    got = evaluate.promoted(spark.createDataFrame(used, "answer long, atom_id long"), spark.createDataFrame(areas, "atom_id long, community_id long"), spark.createDataFrame(spans, "answer long, chunk long"))
+    assert {r.answer: tuple(r)[1:] for r in got.collect()} == want and want
+    assert "Expand" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_breadth_first(spark):
     g = arcs(spark, [("a", "b", 1.0), ("b", "c", 1.0), ("c", "d", 1.0), ("a", "c", 1.0)])
     assert {r.node: r.hop for r in graph.breadth_first(g, "a", 2, 10).collect()} == {"a": 0, "b": 1, "c": 1, "d": 2}
